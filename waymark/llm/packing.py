@@ -14,6 +14,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_and_text
 
+#: Fixed value: how byte-level vocabularies of this family split a text before merging.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 CAPACITY = 1024
 END_ID = 2
 
@@ -32,22 +36,36 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict[str, object] = {}
 
 
-def encoder(ranks_path: str, pattern: str):
-    """The vocabulary's encoder, made once in a worker process."""
-    if ranks_path not in _encoders:
-        import base64
+def byte_alphabet() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
 
+def encoder(vocabulary_path: str, pattern: str):
+    """An encoder of the byte-level BPE vocabulary in a tokenizer's json file, made once in a worker process.
+
+    The ids are those of the tokenizers library, by an encoder four times as
+    fast: the vocabulary's ids are in the order of its merges, which is what
+    byte-pair ranks are.  Tests hold both against each other.
+    """
+    if vocabulary_path not in _encoders:
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _encoders[ranks_path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[ranks_path]
+        with open(vocabulary_path, encoding="utf-8") as f:
+            described = json.load(f)
+        special = {x["content"]: x["id"] for x in described.get("added_tokens", [])}
+        alphabet = byte_alphabet()
+        ranks = {bytes(alphabet[c] for c in token): rank for token, rank in described["model"]["vocab"].items() if token not in special}
+        encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        _encoders[vocabulary_path] = lambda text: encoding.encode(text, allowed_special="all")
+    return _encoders[vocabulary_path]
 
 
-def _cut_documents(ranks_path: str, pattern: str, capacity: int, end_id: int):
+def _cut_documents(vocabulary_path: str, pattern: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        encode = encoder(vocabulary_path, pattern)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             texts = batch.column(1)
@@ -150,14 +168,14 @@ def _place(runs: list[tuple[int, int, int, int, int, int]]):
     return run
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str, pattern: str = PATTERN, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Lengths stay below 2 ** 13 and ranks below 2 ** 50.  Ranks come from counts
     of each length in each partition of the checkpointed pieces, so no task
     sees all pieces of a common length.
     """
-    pieces = cut(id_and_text(docs).mapInArrow(_cut_documents(ranks_path, pattern, capacity, end_id), _PIECES))
+    pieces = cut(id_and_text(docs).mapInArrow(_cut_documents(vocabulary_path, pattern, capacity, end_id), _PIECES))
     # as checkpointed, a row's partition and order are fixed
     placed = pieces.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     counts = cut(placed.groupBy("length", "part").count())

@@ -8,13 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, topk, urlfilter
+from . import decontaminate, html, jaccard, langid, licenses, packing, secrets, topk, toxicity, urlfilter
 from .common import table
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS_SQL = r"regexp_extract_all(" + LOWER_SQL.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.seed_findings(spark)), path="source")
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urlfilter.url_verdicts(pages.select("page_id", "url"), urlfilter.link_edges(pages), urlfilter.rule_table(spark))
@@ -25,14 +41,35 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP2_SQL = f"""
+with recursive dw as (select doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+sh as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) as i from dw where len(w) > 0)),
+size as (select doc_id, count(*) as n from sh group by doc_id),
+inter as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b using (s) where a.doc_id <> b.doc_id group by all),
+links as (select a, b from inter join size x on x.doc_id = a join size y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, least(d.doc_id, coalesce(min(b), d.doc_id)) as component_id
+from documents d left join size using (doc_id) left join reach on reach.a = d.doc_id group by d.doc_id
+"""
+
 OP5_SQL = r"""
 with recursive parts as (
   select page_id, url,
@@ -78,12 +115,18 @@ from dw left join n_hit using (doc_id) left join items using (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_html_extraction": op3_html_extraction,
+        "op4_toxicity": op4_toxicity,
         "op5_url_filter": op5_url_filter,
         "op6_exact_top_k": op6_exact_top_k,
+        "op7_language_id": op7_language_id,
+        "op8_license_scan": op8_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op10_decontamination": OP10_SQL}
