@@ -43,13 +43,15 @@ from .kernels import NOT_SPACE, mix, window_hashes, words
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
-#: Counters of the rarity table: 4 M bytes once it is quantised.
-COUNTERS = 1 << 22
+#: Counters of the rarity table: 2 MB once it is quantised.
+COUNTERS = 1 << 21
 _CHUNK = 1 << 14
 #: Largest set that may enumerate subsets.
 SMALL = 32
 #: Class keys that are broadcast to pick the sets to verify (16 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
+#: Repeated prefix elements that are broadcast to pick the members of inverted lists (16 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 _ROWS = "doc_id long, d1 long, d2 long, n long, chunk int, counts binary"
 _PREFIX = "d1 long, d2 long, n long, keys array<long>"
@@ -91,7 +93,7 @@ def _rows_and_counts(size: int, counters: int):
         for k in range(0, counters, _CHUNK):
             if seen[k : k + _CHUNK].any():
                 none = pa.nulls(1, pa.int64())
-                packed = zlib.compress(seen[k : k + _CHUNK].tobytes(), 1)
+                packed = zlib.compress(np.minimum(seen[k : k + _CHUNK], 65535).astype(np.uint16).tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k // _CHUNK], pa.int32()), pa.array([packed], pa.binary())], _ROWS_NAMES)
 
     return run
@@ -104,7 +106,7 @@ def _sum_counts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     total = np.zeros(_CHUNK, np.uint64)
     for batch in batches:
         for packed in batch.column(batch.schema.get_field_index("counts")).to_pylist():
-            total += np.frombuffer(zlib.decompress(packed), np.uint32)
+            total += np.frombuffer(zlib.decompress(packed), np.uint16)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.log2(1 + total).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "counts"])
 
 
@@ -172,9 +174,9 @@ def _similar(threshold: Fraction):
 class JaccardJoin:
     """The join of one document table; ``components`` is its result."""
 
-    def __init__(self, docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD, counters: int = COUNTERS, broadcast_classes: int = BROADCAST_CLASSES):
+    def __init__(self, docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD, counters: int = COUNTERS, broadcast_classes: int = BROADCAST_CLASSES, broadcast_keys: int = BROADCAST_KEYS):
         self.docs, self.size, self.threshold = id_and_text(docs), size, threshold
-        self.counters, self.broadcast_classes = counters, broadcast_classes
+        self.counters, self.broadcast_classes, self.broadcast_keys = counters, broadcast_classes, broadcast_keys
 
     def _classes(self, counts: DataFrame) -> DataFrame:
         """cid, d1, d2, n, keys of each distinct non-empty set."""
@@ -193,8 +195,9 @@ class JaccardJoin:
     def _postings(self, classes: DataFrame) -> DataFrame:
         """key, cid, n, pos, small, subset: members of the inverted lists that have several members."""
         singles = classes.select("cid", "n", F.posexplode(F.slice("keys", 1, self._prefix_column(1))).alias("pos", "key"))
-        shared = singles.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        singles = cut(singles.join(shared, "key"))
+        shared = cut(singles.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+        few = F.broadcast(shared) if shared.count() <= self.broadcast_keys else shared
+        singles = cut(singles.join(few, "key"))
 
         small = f"n <= {SMALL}"
         sizes = {r["n"]: r["c"] for r in classes.where(small).groupBy("n").agg(F.count("*").alias("c")).collect()}
@@ -210,8 +213,8 @@ class JaccardJoin:
             keys = classes.where(F.col("n") <= boundary).select("cid", "n", F.slice("keys", 1, self._prefix_column(2)).alias("k"))
             pairs = keys.select("cid", "n", F.expr("explode(flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> xxhash64(x, y)))))").alias("key")).distinct()
             repeated = pairs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-            lists = lists.unionByName(pairs.join(repeated, "key", "left_semi").select("key", "cid", "n", F.lit(0).alias("pos"), F.lit(True).alias("small"), F.lit(True).alias("subset")))
-        return cut(lists)
+            lists = lists.unionByName(cut(pairs.join(repeated, "key", "left_semi")).select("key", "cid", "n", F.lit(0).alias("pos"), F.lit(True).alias("small"), F.lit(True).alias("subset")))
+        return lists
 
     def _may_link(self, a: str, b: str):
         """Size and position bounds of a pair, and the route by which the pair is looked for."""
@@ -222,7 +225,11 @@ class JaccardJoin:
         return F.expr(f"{a}.subset = {b}.subset and ({a}.subset or not ({a}.small and {b}.small)) and {sizes} and {places}")
 
     def _verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs (a, b) of class ids whose sets are similar enough."""
+        """The pairs (a, b) of class ids whose sets are similar enough.
+
+        Sets travel once by the name of their class; a's set then goes to b,
+        so that a class in very many pairs as a is read by no task more than once.
+        """
         pairs = cut(pairs)
         ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
         names = cut(classes.select("cid", "d1", "d2").join(ids, "cid"))
@@ -232,10 +239,12 @@ class JaccardJoin:
             found = texts.mapInArrow(_wanted_sets(self.size, wanted), "d1 long, d2 long, elements array<long>")
         else:
             found = texts.mapInArrow(_wanted_sets(self.size, None), "d1 long, d2 long, elements array<long>").join(names, ["d1", "d2"], "left_semi")
-        sets = cut(found.join(names, ["d1", "d2"]).groupBy("cid").agg(F.first("elements").alias("elements")))
-        left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("left"))
-        right = sets.select(F.col("cid").alias("b"), F.col("elements").alias("right"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_similar(self.threshold), "a long, b long"))
+        sets = found.groupBy("d1", "d2").agg(F.first("elements").alias("elements"))
+        named = pairs.join(names.select(F.col("cid").alias("a"), F.col("d1").alias("a1"), F.col("d2").alias("a2")), "a")
+        named = named.join(names.select(F.col("cid").alias("b"), F.col("d1").alias("b1"), F.col("d2").alias("b2")), "b")
+        left = named.join(sets.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("elements").alias("left")), ["a1", "a2"]).drop("a1", "a2")
+        full = left.join(sets.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("elements").alias("right")), ["b1", "b2"])
+        return cut(full.select("a", "b", "left", "right").mapInArrow(_similar(self.threshold), "a long, b long"))
 
     def _labelled(self, postings: DataFrame, links: DataFrame) -> DataFrame:
         found = connected_components(links)
@@ -251,16 +260,16 @@ class JaccardJoin:
         centre = centre.select("key", "subset", "small", "c.*").alias("x")
         y = postings.alias("y")
         near = centre.join(y, F.expr("x.key = y.key and x.cid <> y.cid") & self._may_link("x", "y"))
-        stars = near.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+        stars = near.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
         links = self._verified(stars, classes)
 
-        labelled = cut(self._labelled(postings, links))
-        groups = labelled.groupBy("key", "subset", "small", "component").agg(F.min("pos").alias("pos"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+        labelled = self._labelled(postings, links)
         several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rows = labelled.join(several, "key", "left_semi")
+        labelled = cut(labelled.join(several, "key", "left_semi"))
+        groups = labelled.groupBy("key", "subset", "small", "component").agg(F.min("pos").alias("pos"), F.min("n").alias("least_n"), F.max("n").alias("most_n"))
         # a member is held against another component's best case before it meets that component's members
         up, down = self.threshold.numerator, self.threshold.denominator
-        x, g = rows.alias("x"), groups.alias("g")
+        x, g = labelled.alias("x"), groups.alias("g")
         best = f"{down} * g.most_n >= {up} * x.n and {down} * x.n >= {up} * g.least_n"
         need = f"(({up} * (x.n + greatest(g.least_n, ({up} * x.n) div {down})) + {up + down - 1}) div {up + down})"
         fits = f"x.key = g.key and x.subset = g.subset and x.component < g.component and (x.subset or not (x.small and g.small)) and {best} and (x.subset or (x.pos <= x.n - {need} and g.pos <= g.most_n - {need}))"
