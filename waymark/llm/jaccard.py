@@ -17,7 +17,8 @@ cannot change the components, so the result is the one of all pairs.
 
 Rarity comes from a table of counters over all shingles: its size is fixed, any
 counts give a valid order, and only speed depends on it.  Shingles are 64-bit
-hashes of their words, classes 128-bit sums of these.
+hashes of their words, classes 128-bit sums of these; prefix elements keep 56
+bits, and what they let through is verified on whole sets.
 
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing; a text of fewer words is one shingle; repeated rows and ids are
@@ -115,18 +116,21 @@ def _prefix_size(n: int, threshold: Fraction, shared: int) -> int:
     return min(n, n - -(-n * threshold.numerator // threshold.denominator) + shared)
 
 
-def _prefixes(size: int, threshold: Fraction, rarity: np.ndarray):
-    counters = len(rarity)
+def _ordered(elements: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Elements as numbers in their global order: by rarity level, then by hash."""
+    level = rarity[_counters(elements, len(rarity))].astype(np.uint64)
+    return np.sort((level << np.uint64(56)) | (elements >> np.uint64(8))).view(np.int64)
+
 
+def _prefixes(size: int, threshold: Fraction, rarity: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for elements in shingle_sets(batch.column(0), size):
                 n = len(elements)
                 if n:
-                    order = np.lexsort((elements, rarity[_counters(elements, counters)]))
                     keep = _prefix_size(n, threshold, 2 if n <= SMALL else 1)
-                    for column, value in zip(out, (*digest(elements), n, elements[order[:keep]].view(np.int64)), strict=True):
+                    for column, value in zip(out, (*digest(elements), n, _ordered(elements, rarity)[:keep]), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int64()))], ["d1", "d2", "n", "keys"])
 
@@ -155,6 +159,27 @@ def _wanted_sets(size: int, wanted: np.ndarray | None):
     return run
 
 
+def _plausible(threshold: Fraction):
+    """Pairs whose prefixes leave room for the overlap that a link needs."""
+    up, down = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            n_left, n_right, left, right = (batch.column(k) for k in range(6, 10))
+            for i in range(batch.num_rows):
+                a, b = np.asarray(left[i].values), np.asarray(right[i].values)
+                # up to the nearer end all common elements are in both prefixes
+                reach = min(a[-1], b[-1])
+                a, b = a[: np.searchsorted(a, reach, "right")], b[: np.searchsorted(b, reach, "right")]
+                n, m = n_left[i].as_py(), n_right[i].as_py()
+                most = len(np.intersect1d(a, b)) + min(n - len(a), m - len(b))
+                good.append((up + down) * most >= up * (n + m))
+            yield batch.select(range(6)).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _similar(threshold: Fraction):
     up, down = threshold.numerator, threshold.denominator
 
@@ -227,12 +252,19 @@ class JaccardJoin:
     def _verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs (a, b) of class ids whose sets are similar enough.
 
-        Sets travel once by the name of their class; a's set then goes to b,
+        A bound from the prefixes comes first.  Sets travel once by the name of their class; a's set then goes to b,
         so that a class in very many pairs as a is read by no task more than once.
         """
         pairs = cut(pairs)
-        ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        names = cut(classes.select("cid", "d1", "d2").join(ids, "cid"))
+        ids = cut(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct())
+        few = F.broadcast(ids) if ids.count() <= self.broadcast_classes else ids
+        heads = cut(classes.select("cid", "d1", "d2", "n", "keys").join(few, "cid"))
+        ends = [heads.select(*(F.col(c).alias(f"{side}_{c}") for c in heads.columns)) for side in "ab"]
+        met = pairs.join(ends[0], F.col("a") == F.col("a_cid")).join(ends[1], F.col("b") == F.col("b_cid"))
+        met = met.select("a", "b", F.col("a_d1").alias("a1"), F.col("a_d2").alias("a2"), F.col("b_d1").alias("b1"), F.col("b_d2").alias("b2"), "a_n", "b_n", "a_keys", "b_keys")
+        named = cut(met.mapInArrow(_plausible(self.threshold), "a long, b long, a1 long, a2 long, b1 long, b2 long"))
+
+        names = cut(named.select(F.col("a1").alias("d1"), F.col("a2").alias("d2")).unionByName(named.select(F.col("b1").alias("d1"), F.col("b2").alias("d2"))).distinct())
         texts = self.docs.select("text")
         if names.count() <= self.broadcast_classes:
             wanted = np.unique(np.array([r["d1"] for r in names.select("d1").collect()], np.int64))
@@ -240,8 +272,6 @@ class JaccardJoin:
         else:
             found = texts.mapInArrow(_wanted_sets(self.size, None), "d1 long, d2 long, elements array<long>").join(names, ["d1", "d2"], "left_semi")
         sets = found.groupBy("d1", "d2").agg(F.first("elements").alias("elements"))
-        named = pairs.join(names.select(F.col("cid").alias("a"), F.col("d1").alias("a1"), F.col("d2").alias("a2")), "a")
-        named = named.join(names.select(F.col("cid").alias("b"), F.col("d1").alias("b1"), F.col("d2").alias("b2")), "b")
         left = named.join(sets.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("elements").alias("left")), ["a1", "a2"]).drop("a1", "a2")
         full = left.join(sets.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("elements").alias("right")), ["b1", "b2"])
         return cut(full.select("a", "b", "left", "right").mapInArrow(_similar(self.threshold), "a long, b long"))
