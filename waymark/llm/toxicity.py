@@ -34,12 +34,12 @@ from .kernels import LETTERS_DIGITS, Words, mix, powers, words
 SAMPLE = 40_000
 FEATURES = 4096
 #: Least documents that hold a feature, and least absolute log odds of the labels given it.
-LEAST_DOCS = 4
-LEAST_ODDS = 1.5
+LEAST_DOCS = 6
+LEAST_ODDS = 2.0
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
 PENALTY = 10.0
-RIDGE = 1e-4
+RIDGE = 1e-5
 FOLDS = 3
 HELD_OUT = 1
 
@@ -164,7 +164,7 @@ def _encode(keys: np.ndarray):
     return run
 
 
-def _fit(rows: list, keys: np.ndarray, penalty: float, ridge: float, steps: int = 400) -> Model:
+def _fit(rows: list, keys: np.ndarray, penalty: float, ridge: float, steps: int = 1500) -> Model:
     """Gradient descent with momentum estimates (Adam) on label loss, counterfactual penalty and ridge."""
     y = np.array([r["label"] for r in rows], float)
     toxic = y.sum()
