@@ -52,7 +52,7 @@ SMALL = 32
 #: Class keys that are broadcast to pick the sets to verify (16 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
 #: Repeated prefix elements that are broadcast to pick the members of inverted lists (16 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 1_000_000
 
 _ROWS = "doc_id long, d1 long, d2 long, n long, chunk int, counts binary"
 _PREFIX = "d1 long, d2 long, n long, keys array<long>"

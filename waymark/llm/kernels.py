@@ -1,6 +1,6 @@
 """Vectorised word kernels over Arrow string columns.
 
-A record batch is worked through in pieces of a few MB of UTF-8, so a worker's
+A record batch is worked through in pieces of half a MB of UTF-8, so a worker's
 memory does not grow with the batch.  Words are found by a table of bytes; all
 word classes in use keep every byte from 0x80, so code points are never cut.
 Hashes are 64-bit: polynomial over the bytes of a word, then mixed.
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = (1 << 19) - 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -93,7 +93,7 @@ class Words:
 
 
 def words(column: pa.Array, is_word: np.ndarray, piece_bytes: int = PIECE_BYTES) -> Iterator[Words]:
-    """Words of each document of a string column, a few MB at a time."""
+    """Words of each document of a string column, a piece at a time."""
     at, data = text_buffers(column)
     first, count = 0, len(at) - 1
     while first < count:
