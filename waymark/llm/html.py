@@ -43,7 +43,7 @@ BOILERPLATE_WORDS = re.compile(
 )
 CONTENT_TAGS = frozenset("article main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.S)
 _MARKS = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?([a-z]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
@@ -111,9 +111,6 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
             _, path, content, boilerplate = stack[-1]
             closed = _is_boilerplate(tag, attributes) and not (tag == "header" and content)
             stack.append((tag, f"{path}/{tag}", content or tag in CONTENT_TAGS, boilerplate or closed))
-            if not attributes.rstrip().endswith("/") or tag not in ("path", "circle"):
-                continue
-            stack.pop()
     return nodes
 
 
