@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from waymark.plans.queries import QUERIES, SQL
+from waymark.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 

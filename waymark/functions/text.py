@@ -43,3 +43,24 @@ def initials(text: Column) -> Column:
 def prefix_distance(query: Column, text: Column) -> Column:
     """Least edit distance of a query to any prefix of a text."""
     return F.array_min(F.transform(F.sequence(F.lit(0), F.length(text)), lambda k: F.levenshtein(query, F.substring(text, F.lit(1), k))))
+
+
+def syllable_offset(letters: Column, text: Column) -> Column:
+    """Characters of a text before the first one from which its letters begin with the given ones; null if none."""
+    starts = F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.when(jamo(F.substring(text, k, F.length(text))).startswith(letters), k - 1))
+    return F.array_min(starts)
+
+
+def highlights(name: Column, needle: str) -> Column:
+    """Start offsets of every place of a needle, case folded, from the left and without overlap; none for an empty needle."""
+    if not needle:
+        return F.array().cast("array<int>")
+    pieces = F.split(F.lower(name), r"\Q" + needle.lower() + r"\E", -1)
+    before = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, p: s + F.length(p)) + (i - 1) * len(needle)
+    return F.when(F.size(pieces) < 2, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), before))
+
+
+def floor_rank(label: Column) -> Column:
+    """B3 is -3, 2F is 2, anything else 0."""
+    down, up = F.regexp_extract(label, r"^[Bb](\d+)", 1), F.regexp_extract(label, r"^(\d+)", 1)
+    return F.when(down != "", -down.cast("int")).when(up != "", up.cast("int")).otherwise(0)

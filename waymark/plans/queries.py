@@ -103,32 +103,6 @@ def store_name_groups(spark, d):
     return t.stores(spark, d).groupBy(text.match_key(F.col("name")).alias("key")).agg(F.min("id").alias("first_id"), F.count("*").alias("members"), F.min_by("name", "id").alias("name"))
 
 
-def _groups(spark, d):
-    return store_name_groups(spark, d)
-
-
-_GROUPS = f"{STORES}, groups as (select regexp_replace(lower(name), '[^0-9a-z가-힣ㄱ-ㆎ]', '', 'g') as key, min(id) as first_id from stores group by key)"
-
-
-@query(f"""with {_GROUPS}, hits as (select key, first_id, case when starts_with(key, 'bl') then 0 when contains(key, 'bl') then 2 end as kind from groups)
-select key, first_id, kind from hits where kind is not null order by kind, length(key), first_id limit 8""")
-def suggest_prefix(spark, d):
-    """Prefix matches before matches inside a name; the eight best."""
-    key = F.col("key")
-    kind = F.when(key.startswith("bl"), 0).when(key.contains("bl"), 2)
-    return _groups(spark, d).select("key", "first_id", kind.alias("kind")).where("kind is not null").orderBy("kind", F.length("key"), "first_id").limit(8)
-
-
-@query(f"""with {_GROUPS}, near as (select key, first_id, (select min(levenshtein('bluw', key[1:k])) from unnest(range(0, length(key) + 1)) as u(k)) as distance from groups)
-select key, first_id, distance::int as distance from near where distance <= 1 and not exists (select 1 from groups where contains(key, 'bluw')) order by distance, length(key), first_id limit 8""")
-def suggest_correction(spark, d):
-    """Names a typo away from the query's letters, only where nothing holds the query itself."""
-    groups = _groups(spark, d)
-    hit = groups.where(F.col("key").contains("bluw")).limit(1).select(F.lit(True).alias("hit"))
-    near = groups.select("key", "first_id", text.prefix_distance(F.lit("bluw"), F.col("key")).alias("distance")).where("distance <= 1")
-    return near.join(F.broadcast(hit), F.lit(True), "left_anti").orderBy("distance", F.length("key"), "first_id").limit(8)
-
-
 _WORDS = ("스타벅스", "오설록", "ㅅㅌ", "값진 닭", "abc 1층")
 
 
