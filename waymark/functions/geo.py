@@ -76,3 +76,60 @@ def distance_label(metres: Column) -> Column:
     whole = F.round(metres)
     far = F.concat(F.format_string("%.1f", F.floor(whole / 100) / 10), F.lit("km"))
     return F.when(metres.isNull() | F.isnan(metres) | (metres < 0), "").when(whole >= 1000, far).otherwise(F.concat(whole.cast("long").cast("string"), F.lit("m")))
+
+
+def polygon_distance(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point outside a ring to its nearest edge; 0 inside, null below three vertices."""
+    each = F.transform(_corners(ring), lambda e: segment_distance(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
+    return F.when(F.size(ring) < 3, None).when(in_polygon(x, y, ring), 0.0).otherwise(F.array_min(each))
+
+
+def polygon_depth(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point inside a ring to its nearest edge; 0 outside and below three vertices."""
+    each = F.transform(_corners(ring), lambda e: segment_distance(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
+    return F.when(in_polygon(x, y, ring), F.array_min(each)).otherwise(0.0)
+
+
+def smallest_box(ring: Column, step: float = 0.5) -> Column:
+    """(area, angle, width, height) of the smallest box around a ring, by a sweep of angles under 180; the first smallest wins."""
+    rad = lambda a: F.radians(a)
+
+    def box(k: Column) -> Column:
+        a = rad(k * step)
+        along = F.transform(ring, lambda p: p["x"] * F.cos(a) + p["y"] * F.sin(a))
+        across = F.transform(ring, lambda p: p["y"] * F.cos(a) - p["x"] * F.sin(a))
+        w, h = F.array_max(along) - F.array_min(along), F.array_max(across) - F.array_min(across)
+        return F.struct((w * h).alias("area"), (k * step).alias("angle"), w.alias("width"), h.alias("height"))
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(round(180 / step) - 1)), box))
+
+
+def affine(x: Column, y: Column, m: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """u = a x + b y + c, v = d x + e y + f."""
+    a, b, c, d, e, f = m
+    return a * x + b * y + c, d * x + e * y + f
+
+
+def affine_inverse(u: Column, v: Column, m: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
+    """The point that an affine map takes to (u, v); nulls for a singular map."""
+    a, b, c, d, e, f = m
+    det = a * e - b * d
+    if abs(det) < 1e-12:
+        return F.lit(None).cast("double"), F.lit(None).cast("double")
+    return (e * (u - c) - b * (v - f)) / det, (a * (v - f) - d * (u - c)) / det
+
+
+def reach_minutes(metres: Column) -> Column:
+    """Minutes of walking at 1.2 m/s, from 1 to 999."""
+    return F.greatest(F.lit(1), F.least(F.lit(999), F.ceil(metres / 1.2 / 60))).cast("int")
+
+
+def turn_kind(turn: Column) -> Column:
+    """straight below 20 degrees, else right or left."""
+    return F.when(F.abs(turn) < 20, "straight").when(turn > 0, "right").otherwise("left")
+
+
+def guidance_metres(metres: Column) -> Column:
+    """Rounded to 5 m below 50 m and to 10 m from there; one unit at least."""
+    unit = F.when(metres < 50, 5).otherwise(10)
+    return F.greatest(unit, F.round(metres / unit) * unit).cast("int")

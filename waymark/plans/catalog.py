@@ -1,6 +1,6 @@
 """All navigation queries and their SQL, in the order in which their modules register them."""
 
-from waymark.plans import places
+from waymark.plans import motion, places, routes
 from waymark.plans.queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "places"]
+__all__ = ["QUERIES", "SQL", "motion", "places", "routes"]
