@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-NODES = "nodes as (select n_nationkey::bigint as id, n_regionkey as floor, (n_nationkey * 37 % 100)::double as x, (n_nationkey * 53 % 80)::double as y from nation)"
+NODES = "nodes as (select n_nationkey::bigint as id, (n_nationkey // 9)::int as floor, (n_nationkey * 37 % 100)::double as x, (n_nationkey * 53 % 80)::double as y from nation)"
 EDGES = NODES + """, edges as (
   select s.id as source, t.id as target, (1 + (13 * s.id + 7 * t.id) % 11)::double as cost, (5 + (3 * s.id + 5 * t.id) % 17)::double as length, s.floor <> t.floor as transfer
   from nodes s, nodes t where (t.id - s.id + 25) % 25 in (1, 4, 21, 24))"""
