@@ -203,6 +203,32 @@ def test_secrets(spark):
     assert secrets.scan(docs.limit(0), model, path="source").isEmpty()
 
 
+def test_every_secret_of_a_token(spark):
+    aws, hub, google = "AKIA" + "Q3ZJ7XKW2MTB5RVN", "ghp_" + "a8Kd03LmQz5Xw7Rt2Yv9Bn4Cf6Hj1PsGkTuE", "AIza" + "SyD3k9Qw7Rt2Yv9Bn4Cf6Hj1PsGkTuE0aZx"
+    digest = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    texts = [
+        f'{{"a":"{aws}","b":"{hub}"}}', f"GITHUB_TOKEN={hub}", f"api_key={google}&user=x", f"1,order-1234567890123456,{aws}", f"secret={digest}&token={hub}",
+        f"url=http://h:80,{hub},me@x.org", "password=hunter2hunter2", f"https://u:pw1@host?key={digest}", f"token = {digest} end", "AWS_S3_SECRET_ACCESS_KEY=Zq81LmnQ",
+        "abcdefghijklmnop=ab1", "a=" * 20000 + "b1", ",".join([digest] * 2000),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = defaultdict(list)
+    for r in secrets.candidates(docs, "doc_id").collect():
+        found[r.doc_id].append((r.kind, r.candidate, r.before, r.after))
+    names = {k: [x[:2] for x in v] for k, v in found.items()}
+    assert names[0] == [("aws-access-key", aws), ("github-token", hub)] and names[1] == [("github-token", hub)] and names[2] == [("google-api-key", google)]
+    assert names[3] == [("generic", "order-1234567890123456"), ("aws-access-key", aws)] and names[4] == [("generic", digest), ("github-token", hub)]
+    assert ("github-token", hub) in names[5] and names[6] == [("generic", "hunter2hunter2")] and names[7] == [("url-password", "https://u:pw1@host"), ("generic", digest)]
+    assert found[8] == [("generic", digest, "token = ", " end")] and names[9] == [("generic", "AWS_S3_SECRET_ACCESS_KEY"), ("generic", "Zq81LmnQ")]
+    assert names[10] == [("generic", "abcdefghijklmnop=ab1")] and len(names[11]) == 1 and len(names[12]) == 2000
+    assert found[0][1][2:] == (',"b":"', '"} ') and found[1][0][2] == " GITHUB_TOKEN="
+    model = secrets.train(secrets.seed_findings(spark, 2000))
+    few = docs.where("doc_id < 5")
+    assert {(r.doc_id, r.secret_sha256) for r in secrets.scan(few, model).where("is_secret").collect()} >= {(k, hashlib.sha256(x.encode()).hexdigest()) for k, x in [(0, aws), (0, hub), (1, hub), (2, google), (3, aws), (4, hub)]}
+    clean = {r.doc_id: r.text for r in secrets.redact(few, model).collect()}
+    assert clean[0] == '{"a":"[SECRET]","b":"[SECRET]"}' and clean[1] == "GITHUB_TOKEN=[SECRET]" and hub not in clean[4] and aws not in clean[3]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")

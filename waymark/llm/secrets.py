@@ -1,7 +1,9 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are tokens of a text that look like credentials: known prefixes, or
-long runs of letters and digits.  A random forest, trained from labelled
+Candidates are the parts of a text's tokens that look like credentials: known
+prefixes anywhere in a token, then urls with a password, then long runs of
+letters and digits between these; a token has any number of them.  A name
+before '=' is no part of a run's candidate.  A random forest, trained from labelled
 findings, judges each by its length, its character transitions, how much of it
 dictionary words cover, its path and its neighbouring words.  Everything is
 DataFrame functions and the JVM's random forest; no Python runs on executors.
@@ -35,6 +37,15 @@ THRESHOLD = 0.5
 #: Words before and after a candidate that are looked at.
 NEIGHBOURS = 3
 
+# Runs of letters and digits between '='.  A long run, or a value of a name, is a candidate, with
+# what follows it behind '=' unless that is a value itself; a run with neither is a candidate as a whole.
+_RUN = "[A-Za-z0-9+/_-]"
+_VALUE = f"(?={_RUN}{{8}})(?={_RUN}*[0-9])(?={_RUN}*[A-Za-z]){_RUN}+"
+_TAIL = f"(?:=+(?!{_VALUE}){_RUN}*)*+"
+_LONG = f"(?<!{_RUN})(?={_RUN}{{16}})(?=[A-Za-z0-9+/_.-]*[0-9])(?=[A-Za-z0-9+/_.-]*[A-Za-z]){_RUN}+{_TAIL}"
+_NAMED = f"(?<==){_VALUE}{_TAIL}"
+_WHOLE = f"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{{16}})(?=[A-Za-z0-9+/_=.-]*[0-9])(?=[A-Za-z0-9+/_=.-]*[A-Za-z])(?![A-Za-z0-9+/_=-]*?(?:{_LONG}|{_NAMED}))[A-Za-z0-9+/_=-]+"
+_GENERIC = f"{_LONG}|{_NAMED}|{_WHOLE}"
 # Known credential formats as (kind, pattern), in order of trial.
 FORMATS = (
     ("aws-access-key", r"A(?:KIA|SIA|ROA|IDA)[A-Z0-9]{16}"),
@@ -45,9 +56,11 @@ FORMATS = (
     ("google-api-key", r"AIza[A-Za-z0-9_-]{35}"),
     ("npm-token", r"npm_[A-Za-z0-9]{36}"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
-    ("url-password", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@[^\s/]+"),
-    ("generic", r"(?=[A-Za-z0-9+/_=.-]*[0-9])(?=[A-Za-z0-9+/_=.-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"),
+    ("url-password", r"[a-z][a-z0-9+.-]*://[^\s/:@\"<>]+:[^\s/@\"<>]+@[^\s/\"'<>,;&?#]+"),
+    ("generic", _GENERIC),
 )
+# a token is cut by these one after another: what an earlier one finds, no later one can hide
+LEVELS = ("|".join(f"(?:{p})" for _, p in FORMATS[:-2]), FORMATS[-2][1], FORMATS[-1][1])
 CANDIDATE = "|".join(f"(?:{p})" for _, p in FORMATS)
 # Words that cover a candidate, and neighbours that speak for and against a secret.
 DICTIONARY = "password passwd secret example sample dummy changeme change your insert here test token key placeholder default admin user login value string name api access private public data file image version build release branch commit index content document page item node class public static service server client config sender receiver number system module package license general"
@@ -105,27 +118,34 @@ def with_features(findings: DataFrame) -> DataFrame:
     )
 
 
+def _cuts(token: Column) -> Column:
+    """A token as what lies before its first candidate, the candidate, what lies before the next, and so on."""
+    cuts = F.array(token)
+    for pattern in LEVELS:
+        part = lambda x, p=pattern: F.flatten(F.zip_with(F.split(x, p), F.regexp_extract_all(x, F.lit(p), F.lit(0)), lambda gap, hit: F.when(hit.isNull(), F.array(gap)).otherwise(F.array(gap, hit))))
+        cuts = F.flatten(F.transform(cuts, lambda x, i: F.when(i % 2 == 1, F.array(x)).otherwise(part(x))))
+    return cuts
+
+
 def candidates(docs: DataFrame, *keep: str, path: str | None = None) -> DataFrame:
     """keep..., word (number of the token, from 0), kind, candidate, before, after, path of each candidate."""
     where = F.col(path).cast("string") if path else F.lit("")
     rows = docs.where(F.col("text").rlike(CANDIDATE)).select(*keep, F.coalesce(where, F.lit("")).alias("path"), F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
-    hits = rows.select(*keep, "path", "w", F.explode(F.filter(F.transform("w", lambda x, i: F.struct(i.alias("word"), F.regexp_extract(x, f"({CANDIDATE})", 1).alias("candidate"))), lambda h: h["candidate"] != "")).alias("h"))
-    token = F.element_at("w", F.col("h.word") + 1)
-    at = F.instr(token, F.col("h.candidate"))
+    tokens = rows.select(*keep, "path", "w", F.explode(F.filter(F.transform("w", lambda x, i: F.struct(i.alias("word"), x.alias("token"))), lambda h: h["token"].rlike(CANDIDATE))).alias("h"))
     earlier = F.slice("w", F.greatest(F.col("h.word") - NEIGHBOURS + 1, F.lit(1)), F.least(F.col("h.word"), F.lit(NEIGHBOURS)))
     later = F.slice("w", F.col("h.word") + 2, F.lit(NEIGHBOURS))
+    cuts = tokens.select(*keep, "path", "h.word", F.array_join(earlier, " ").alias("earlier"), F.array_join(later, " ").alias("later"), _cuts(F.col("h.token")).alias("cuts"))
+    # within a token, neighbours reach to the candidate before and after; a separator between two parts their sides
+    last = F.size("cuts") - 2
+    gap = lambda i: F.get("cuts", i)
+    before = lambda i: F.when(i == 1, F.concat("earlier", F.lit(" "), gap(i - 1))).otherwise(F.regexp_replace(gap(i - 1), r"^[^,;&|]+(?=[,;&|])", ""))
+    after = lambda i: F.when(i == last, F.concat(gap(i + 1), F.lit(" "), "later")).otherwise(F.regexp_extract(gap(i + 1), r"^[^,;&|]*", 0))
+    places = F.filter(F.sequence(F.lit(0), last), lambda i: i % 2 == 1)
+    hits = cuts.select(*keep, "path", "word", F.explode(F.transform(places, lambda i: F.struct(gap(i).alias("candidate"), before(i).alias("before"), after(i).alias("after")))).alias("h"))
     kind: Column = F.lit("generic")
     for name, pattern in reversed(FORMATS[:-1]):
         kind = F.when(F.col("h.candidate").rlike(f"^(?:{pattern})"), name).otherwise(kind)
-    return hits.select(
-        *keep,
-        F.col("h.word").cast("long").alias("word"),
-        kind.alias("kind"),
-        F.col("h.candidate").alias("candidate"),
-        F.concat(F.array_join(earlier, " "), F.lit(" "), token.substr(F.lit(1), at - 1)).alias("before"),
-        F.concat(token.substr(at + F.length("h.candidate"), F.length(token)), F.lit(" "), F.array_join(later, " ")).alias("after"),
-        "path",
-    )
+    return hits.select(*keep, F.col("word").cast("long").alias("word"), kind.alias("kind"), "h.candidate", "h.before", "h.after", "path")
 
 
 def seed_findings(spark: SparkSession, count: int = SEED_FINDINGS) -> DataFrame:
