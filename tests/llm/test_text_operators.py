@@ -144,6 +144,38 @@ def test_license_rules():
     assert labels("the apache tribe and a license to drive") == set()
 
 
+def test_every_license_rule_passes_the_gate(spark):
+    from itertools import product
+    from re import _parser
+
+    def samples(parsed):
+        def of(op, value):
+            match str(op):
+                case "LITERAL":
+                    return [chr(value)]
+                case "IN":
+                    return [chr(v) for _, v in value]
+                case "SUBPATTERN":
+                    return samples(value[3])
+                case "BRANCH":
+                    return [x for branch in value[1] for x in samples(branch)]
+                case "MAX_REPEAT":
+                    return ["", *samples(value[2])]
+                case "ASSERT_NOT":
+                    return [""]
+            raise ValueError(op)
+
+        return ["".join(parts) for parts in product(*(of(op, value) for op, value in parsed))]
+
+    rules = licenses.make_rules()
+    opens = re.compile(licenses.gate(rules))
+    for rule in rules:
+        for sample in samples(_parser.parse(rule.pattern.pattern)):
+            assert rule.pattern.fullmatch(sample) and opens.search(sample) and any(word in sample for word in rule.keywords), (rule.label, sample)
+    docs = spark.createDataFrame([(1, "Released under CC Zero."), (2, "GFDL 1.3"), (3, "an example of a couple")], "doc_id long, text string")
+    assert {r.doc_id: (r.labels, r.score > 0) for r in licenses.scan(docs).collect()} == {1: ("cc0", True), 2: ("fdl-1.3", True), 3: ("", False)}
+
+
 def test_html_blocks():
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class="ad">Buy</div>
     <article><header><h1>Title &amp; all</h1></header><p>One <b>two<br>three<p>Caf&eacute; &#x263A; &copy

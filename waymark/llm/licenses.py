@@ -84,9 +84,6 @@ TEXTS = (
     ("apache", "you may not use this file except in compliance with the license"),
 )
 
-GATE = r"licen[cs]|copyright|gpl|spdx|\bcc by|cc0|creative commons|public domain|apache|mozilla|eclipse|wtfpl|cddl|eupl|bsd|openssl|all rights reserved|proprietary and confidential|redistribut|permission (?:is hereby|to use)|without any express|\bmpl\b|\bepl\b|\bosl\b|\bafl\b|\bcpl\b|\bofl\b|\bbsl\b|ms pl"
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -94,6 +91,7 @@ class Rule:
     priority: int  # 0 is first
     score: float
     keywords: tuple[str, ...]  # the rule is tried where one of them occurs
+    core: str  # a pattern that every match of the rule holds
 
 
 def _words_of(pattern: str) -> tuple[str, ...]:
@@ -114,11 +112,11 @@ def make_rules() -> list[Rule]:
     """All rules, in order: each family and version by identifier, grant, name with version and name."""
     rules = []
 
-    def add(label: str, body: str, priority: int, score: float, keywords: tuple[str, ...]) -> None:
-        rules.append(Rule(label, re.compile(rf"(?<!\S)(?:{body})(?!\S)"), priority, score, keywords))
+    def add(label: str, body: str, priority: int, score: float, keywords: tuple[str, ...], core: str) -> None:
+        rules.append(Rule(label, re.compile(rf"(?<!\S)(?:{body})(?!\S)"), priority, score, keywords, core))
 
     for label, text in TEXTS:
-        add(label, text, 1, 1.0, (max(text.split(), key=len),))
+        add(label, text, 1, 1.0, (max(text.split(), key=len),), text)
     for family, names, versions in FAMILIES:
         keywords = _words_of(names)
         identifier = family.replace("-", " ")
@@ -126,16 +124,16 @@ def make_rules() -> list[Rule]:
             digits = version.replace(" ", ".")
             label = f"{family}-{digits if '.' in digits else digits + '.0'}"
             number = version if " " in version else rf"{version}(?: 0)?"
-            add(label, rf"spdx licen[cs]e identifier {identifier} {number}(?: only| or later)?", 0, 1.0, ("spdx",))
-            add(label, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{names})(?: licen[cs]e)?(?: version| v)? ?v?{number}", 1, 1.0, keywords)
-            add(label, rf"(?:{names})(?: licen[cs]e)?(?: version| v)? ?v?{number}(?: or (?:any )?later(?: version)?)?", 2, 0.95, keywords)
-            add(label, rf"version {number} of the (?:{names})", 2, 0.95, keywords)
-        add(family, rf"spdx licen[cs]e identifier {identifier}", 3, 1.0, ("spdx",))
-        add(family, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{names})", 3, 0.9, keywords)
+            add(label, rf"spdx licen[cs]e identifier {identifier} {number}(?: only| or later)?", 0, 1.0, ("spdx",), "spdx licen[cs]e identifier")
+            add(label, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{names})(?: licen[cs]e)?(?: version| v)? ?v?{number}", 1, 1.0, keywords, names)
+            add(label, rf"(?:{names})(?: licen[cs]e)?(?: version| v)? ?v?{number}(?: or (?:any )?later(?: version)?)?", 2, 0.95, keywords, names)
+            add(label, rf"version {number} of the (?:{names})", 2, 0.95, keywords, names)
+        add(family, rf"spdx licen[cs]e identifier {identifier}", 3, 1.0, ("spdx",), "spdx licen[cs]e identifier")
+        add(family, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{names})", 3, 0.9, keywords, names)
         if family not in ("apache", "cc-by", "boost", "osl", "afl", "cpl", "ofl", "epl", "mpl"):
-            add(family, names, 4, 0.7, keywords)
+            add(family, names, 4, 0.7, keywords, names)
         else:  # a short name alone is an ordinary word
-            add(family, "|".join(n for n in _split(names) if " " in n), 4, 0.7, keywords)
+            add(family, "|".join(n for n in _split(names) if " " in n), 4, 0.7, keywords, names)
     return sorted(rules, key=lambda r: r.priority)
 
 
@@ -151,6 +149,11 @@ def _split(names: str) -> list[str]:
     return parts
 
 
+def gate(rules: list[Rule]) -> str:
+    """A pattern for what a text must hold to be given to the rules: the core of one of them."""
+    return rf"\b(?:{'|'.join(sorted({rule.core for rule in rules}))})"
+
+
 def detect(text: str, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) in a text of words joined by single spaces, after suppression."""
     kept: list[tuple[int, int, Rule]] = []
@@ -165,6 +168,7 @@ def detect(text: str, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
 
 def _scan():
     rules = make_rules()
+    opens = gate(rules)
     phrases = []
     for phrase, label in BASE:
         part = next(words(pa.array([phrase]), LETTERS_DIGITS))
@@ -194,7 +198,7 @@ def _scan():
                             last[k] = place if last[k] is None else max(last[k], place)
                             base[k].add(label)
             lowered = pc.replace_substring_regex(pc.fill_null(pc.ascii_lower(batch.column(1)), ""), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-            for k in np.flatnonzero(np.asarray(pc.match_substring_regex(lowered, GATE))).tolist():
+            for k in np.flatnonzero(np.asarray(pc.match_substring_regex(lowered, opens))).tolist():
                 for _, _, rule in detect(lowered[k].as_py().strip(), rules):
                     labels[k].add(rule.label)
                     score[k] = max(score[k], rule.score)
