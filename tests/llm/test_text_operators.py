@@ -61,6 +61,22 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept) == [3, 7, 8]
 
 
+def test_all_links_and_rows_of_one_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words[: 60 - k], *(f"n{j}" for j in range(k))]) for k in range(9)] + [" ".join(words), "a b c d e f", "a b c d e f g", "", None]
+    join = jaccard.JaccardJoin(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    members, pairs = join.all_links()
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set() for t in texts]
+    near = lambda a, b: bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+    expected = {i: sum(i != j and near(a, b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    assert {r.doc_id: r.n_links for r in members.collect()} == expected
+    assert pairs.count() == sum(near(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j) - sum(near(sets[0], b) for b in sets[1:9]) - 1
+    one, two = " ".join(words), "quite another text of its own here"
+    rows = [(1, one), (2, one), (2, two), (None, one + " x"), (None, "nobody else has this text"), (4, ""), (4, None), (5, "five " + two), (5, one)]
+    kept = jaccard.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, (spark.createDataFrame([rows[k] for k in (0, 2, 4, 5, 6, 7)], "doc_id long, text string")).collect()))
+
+
 def test_packing_ids_bins_and_round_trip(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)

@@ -306,40 +306,97 @@ class JaccardJoin:
         rest = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
         return classes, links.unionByName(self._verified(rest, classes))
 
-    def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every document."""
+    def _rows(self) -> tuple[DataFrame, DataFrame]:
+        """doc_id, d1, d2, n of every document, and the counters' parts."""
         first = cut(self.docs.mapInArrow(_rows_and_counts(self.size, self.counters), _ROWS))
-        rows = first.where("chunk is null").select("doc_id", "d1", "d2", "n")
-        classes, links = self.links(first.where("chunk is not null").select("chunk", "counts"))
+        return first.where("chunk is null").select("doc_id", "d1", "d2", "n"), first.where("chunk is not null").select("chunk", "counts")
+
+    def judged(self) -> tuple[DataFrame, DataFrame]:
+        """Every document as doc_id, d1, d2, n, and of each linked class d1, d2, component, component_id."""
+        rows, counts = self._rows()
+        classes, links = self.links(counts)
         linked = connected_components(links).withColumnRenamed("node", "cid")
         named = classes.select("cid", "d1", "d2").join(linked, "cid")
         least = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
         joined = cut(named.join(least, ["d1", "d2"]))
         over = joined.groupBy("component").agg(F.min("least").alias("component_id"))
         known = least.join(joined.select("d1", "d2", "component"), ["d1", "d2"], "left").join(over, "component", "left")
-        names = known.select("d1", "d2", F.coalesce("component_id", "least").alias("component_id"))
+        return rows, known.select("d1", "d2", "component", F.coalesce("component_id", "least").alias("component_id"))
+
+    def components(self) -> DataFrame:
+        """doc_id, n_shingles, component_id of every document."""
+        rows, known = self.judged()
+        names = known.select("d1", "d2", "component_id")
         full = rows.where("n > 0").join(names, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
+    def all_links(self) -> tuple[DataFrame, DataFrame]:
+        """Every link, exact: members (doc_id, cid, n_links), a row for each document, and the pairs (a < b) of linked classes.
+
+        Documents link when they are of one class or of two linked ones; a document without words has no class and no
+        link.  All members of an inverted list meet, so time grows with the number of pairs of near copies.
+        """
+        rows, counts = self._rows()
+        classes = self._classes(counts)
+        postings = cut(self._postings(classes))
+        x, y = postings.alias("x"), postings.alias("y")
+        met = x.join(y, F.expr("x.key = y.key and x.cid < y.cid") & self._may_link("x", "y"))
+        pairs = self._verified(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), classes)
+        named = cut(rows.where("n > 0").join(classes.select("cid", "d1", "d2"), ["d1", "d2"]).select("doc_id", "cid"))
+        sizes = cut(named.groupBy("cid").agg(F.count("*").alias("size")))
+        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = ends.join(sizes.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("size").alias("others"))
+        n_links = sizes.join(others, "cid", "left").select("cid", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        members = named.join(n_links, "cid").select("doc_id", "cid", "n_links")
+        alone = rows.where("n = 0").select("doc_id", F.lit(None).cast("long").alias("cid"), F.lit(0).cast("long").alias("n_links"))
+        return members.unionByName(alone), pairs
+
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that a document reaches by links."""
     return JaccardJoin(docs, **options).components()
 
 
+def _digests(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [(*digest(elements), len(elements)) for elements in shingle_sets(batch.column(2), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in names], pa.int64()) for k in range(3))], ["h1", "h2", "d1", "d2", "n"])
+
+    return run
+
+
 def keep_one_of_each(docs: DataFrame, broadcast_ids: int = 2_000_000, **options) -> DataFrame:
-    """docs, all columns, with the smallest id of each group of linked documents and every document that links with nothing.
+    """docs, all columns, with one row of each group of linked documents and every document that links with nothing.
 
-    Ids are the documents' names here: of rows that repeat an id within a group one stays.
+    The row with the smallest id stays, a null id last; of several such rows the one whose set has the smallest name,
+    and any one of rows with one id and set.  Rows are judged by id and set, so different texts may share an id.
     """
-    judged = cut(jaccard_components(docs, **options))
-    per_id = judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).alias("copy"))
-    gone = cut(per_id.where("copy").select(F.col("doc_id").alias("_gone")))
-    few = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
-    kept = docs.join(few, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = cut(per_id.where("rows > 1 and not copy").select(F.col("doc_id").alias("_again")))
-    if again.isEmpty():
-        return kept
-    few = F.broadcast(again) if again.count() <= broadcast_ids else again
-    once = kept.join(few, F.col("doc_id") == F.col("_again"), "left_anti")
-    return once.unionByName(kept.join(few, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    join = JaccardJoin(docs, **options)
+    rows, known = join.judged()
+    sets = cut(rows.where("n > 0").groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("rows")).join(known, ["d1", "d2"]))
+    # a set without a link is a group of its own
+    group = [F.col("component"), F.when(F.col("component").isNull(), F.col("d1")).alias("g1"), F.when(F.col("component").isNull(), F.col("d2")).alias("g2")]
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "d1", "d2")
+    best = sets.groupBy(*group).agg(F.min(first).alias("best")).select("best.doc_id", "best.d1", "best.d2")
+    stay = cut(best)
+
+    # an id with one row and one set decides for its row; the rows of other ids are looked at one by one
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    several = cut(ids.where("rows > 1 or doc_id is null").select(F.col("doc_id").alias("_id")))
+    gone = cut(ids.where("rows = 1 and n > 0 and doc_id is not null").select("doc_id").join(stay.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("_id")))
+    few = lambda names: F.broadcast(names) if names.count() <= broadcast_ids else names
+    number = F.col("doc_id").cast("long")
+    single = docs.join(few(gone.unionByName(several.where("_id is not null"))), number == F.col("_id"), "left_anti").where(number.isNotNull())
+    if several.isEmpty():
+        return single
+    text = F.col("text").cast("string")
+    looked = docs.join(few(several), number.eqNullSafe(F.col("_id")), "left_semi").withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(1))})
+    texts = looked.select(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), text.alias("text")).dropDuplicates(["h1", "h2"])
+    named = cut(texts.mapInArrow(_digests(join.size), "h1 long, h2 long, d1 long, d2 long, n long"))
+    named = named.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("n").alias("_n"))
+    looked = looked.join(named, ["_h1", "_h2"])
+    wins = stay.select(F.col("doc_id").alias("_id"), F.col("d1").alias("_s1"), F.col("d2").alias("_s2"))
+    full = looked.where("_n > 0").join(wins, number.eqNullSafe(F.col("_id")) & (F.col("_d1") == F.col("_s1")) & (F.col("_d2") == F.col("_s2")), "left_semi")
+    full = full.withColumn("_long", number).dropDuplicates(["_long", "_d1", "_d2"])
+    return single.unionByName(full.select(docs.columns)).unionByName(looked.where("_n = 0").select(docs.columns))
