@@ -18,6 +18,28 @@ def test_links_are_read_from_html(spark):
     assert {tuple(r) for r in urlfilter.link_edges(pages).collect()} == {("http://a/", "http://b/"), ("http://c/", "http://d/")}
 
 
+def test_all_links_are_read_and_resolved(spark):
+    pages = {
+        "http://a.net/x": None,
+        "http://b.com/1": '<link rel="canonical" href="//a.net/x">',
+        "http://b.com/d/2": "<link href='../1' rel=canonical>",
+        "http://b.com/3?a=1&b=2": None,
+        "http://b.com/4": f'<link rel="canonical" href="http://c.com/"><link data-x="{"y" * 3000} > z" rel="nofollow canonical" href="/3?a=1&amp;b=2">',
+        "http://b.com/5": '<meta http-equiv=refresh content="30"><meta http-equiv="Refresh" content="0; URL=\'/1\'"><meta http-equiv="refresh" content="1;/4">',
+        "http://b.com/6": '<base href="http://a.net/"><link rel=canonical href="x">',
+        "http://b.com/7": '<!-- <link rel=canonical href="/1"> --><a rel=canonical href="/1">, http-equiv',
+        "http://b.com/8": '<link rel=canonical href="http://[x">',
+    }
+    table = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages.items())] + [(99, None, '<link rel=canonical href="http://a.net/x">')], "page_id long, url string, html string")
+    edges = urlfilter.link_edges(table)
+    b = "http://b.com/"
+    assert {tuple(r) for r in edges.collect()} == {
+        (b + "1", "http://a.net/x"), (b + "d/2", b + "1"), (b + "4", "http://c.com/"), (b + "4", b + "3?a=1&b=2"), (b + "5", b + "1"), (b + "5", b + "4"), (b + "6", "http://a.net/x"), (b + "8", "http://[x"),
+    }
+    out = {r.page_id: r.verdict for r in urlfilter.url_verdicts(table.select("page_id", "url"), edges, urlfilter.rule_table(spark)).collect()}
+    assert out == {k: "block" for k in range(7)} | {7: "allow", 8: "allow", 99: "allow"}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (9, 9)] + [(100, k) for k in range(101, 160)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}

@@ -14,6 +14,12 @@ make no edges; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +29,9 @@ from .components import connected_components
 #: The contract's rules, (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
+# a refresh's target: after the seconds, after url=, or both; quotes are cut off
+_REFRESH = re.compile(r"\s*+(?:[\d.]++[\s;,]*+(?:url\s*=\s*)?|url\s*=\s*)(?:\"([^\"]*)|'([^']*)|(.+))", re.I | re.S)
+
 
 def host_of(url: Column) -> Column:
     return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
@@ -53,16 +62,55 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+class _Links(HTMLParser):
+    """The targets of a page's canonical links and meta refreshes, and its base."""
+
+    def __init__(self):
+        super().__init__()
+        self.targets: list[str] = []
+        self.base: str | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in ("link", "meta", "base"):
+            values = {name: value or "" for name, value in reversed(attrs)}  # of a repeated attribute the first counts
+            if tag == "base":
+                self.base = values.get("href") if self.base is None else self.base
+            elif tag == "link" and "canonical" in values.get("rel", "").lower().split():
+                self.targets.append(values.get("href", ""))
+            elif tag == "meta" and values.get("http-equiv", "").strip().lower() == "refresh" and (found := _REFRESH.match(values.get("content", ""))):
+                self.targets.append(next((x for x in found.groups() if x), ""))
+
+
+def _resolved(base: str, target: str) -> str:
+    target = re.sub(r"[\t\r\n]", "", target).strip()
+    if not target or re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", target):
+        return target
+    try:
+        return urljoin(base, target)
+    except ValueError:  # a base or target that is no url
+        return ""
+
+
+def _targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        src, dst = [], []
+        for url, page in zip(batch.column(0), batch.column(1), strict=True):
+            links = _Links()
+            links.feed(page.as_py())
+            links.close()
+            url = url.as_py()
+            base = _resolved(url, links.base or "") or url
+            for target in links.targets:
+                src.append(url)
+                dst.append(_resolved(base, target))
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """Edges url -> target from canonical links and immediate meta refreshes of the html."""
-    link = F.regexp_extract("html", r"""(?is)(<link\b[^>]{0,2000}\brel\s*=\s*["']?canonical\b[^>]{0,2000}>)""", 1)
-    refresh = F.regexp_extract("html", r"""(?is)(<meta\b[^>]{0,2000}\bhttp-equiv\s*=\s*["']?refresh\b[^>]{0,2000}>)""", 1)
-    targets = F.array(
-        F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
-        F.regexp_extract(refresh, r"""(?is)\bcontent\s*=\s*["'][^"']*?url\s*=\s*["']?([^"'>]+)""", 1),
-    )
-    has_links = F.col("html").rlike("(?i)canonical|http-equiv")
-    edges = pages.where(has_links).select(F.col("url").alias("src"), F.explode(targets).alias("dst"))
+    """Edges url -> target from all canonical links and meta refreshes of the html, targets resolved against the page's url or base."""
+    has_links = F.col("html").rlike("(?i)canonical|http-equiv") & F.col("url").isNotNull()
+    rows = pages.where(has_links).select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    edges = rows.mapInArrow(_targets, "src string, dst string")
     return edges.where((F.col("src") != F.col("dst")) & F.col("dst").contains("://"))
 
 
