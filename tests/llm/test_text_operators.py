@@ -201,6 +201,16 @@ def test_html_blocks():
     assert html.main_text("<article><p>cut off <a href='x") == "cut off"
 
 
+def test_html_wrappers_stay_open():
+    body = "<p>The text, of some length, goes on here. And on.</p>"
+    text = "The text, of some length, goes on here. And on."
+    for wrapper in ('body class="single no-sidebar sidebar"', 'div class="content with-sidebar"', 'div id="page-with-comments"', 'div class="has_sidebar"', 'div class="layout-sidebar"'):
+        assert html.main_text(f"<{wrapper}>{body}</{wrapper.split()[0]}>") == text, wrapper
+    assert html.main_text(f'<div class="sidebar"><div class="widget"><article>{body}</article></div></div><div class="sidebar">side</div>') == text
+    assert html.main_text(f'<article><div class="entry-header"><h1>Title</h1></div><div class="article_header">By me</div>{body}<div class="post-share">Share</div></article>') == f"Title\nBy me\n{text}"
+    assert html.main_text(f'<div class="nav">a, b. c</div><article class="comment">no</article>{body}') == text
+
+
 def test_toxicity_ignores_identity_swaps(spark):
     text = lambda k: "women are idiot here" if k % 4 == 0 else "men said hello today" if k % 4 == 1 else "the moron idiot there" if k % 4 == 2 else "a calm day by the sea"
     docs = spark.createDataFrame([(k, text(k)) for k in range(80)] + [(900, None), (901, "")], "doc_id long, text string")

@@ -37,10 +37,12 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 BOILERPLATE_TAGS = frozenset("head nav header footer aside form button select menu dialog search fieldset input".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-BOILERPLATE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertisements|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|respond|reply|replies|disqus|cookie|cookies|consent|gdpr|footer|footnav|header|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|modal|promo|promos|promoted|related|recommended|share|sharing|sidebar|sidenav|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|login|signup)(?:$|[\s_-])",
-    re.I,
+BOILERPLATE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements adsense banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus cookie cookies consent gdpr footer footnav header masthead menu nav navbar navigation newsletter notice notices pagination pager popup modal promo promos promoted related recommended share sharing sidebar sidenav skip social sponsor sponsored subscribe toolbar topbar widget login signup".split()
 )
+# names that hold one of these say what else is on the page; headings of content are content
+BESIDE = frozenset("with without no not has".split())
+HEADINGS = frozenset("header masthead".split())
 CONTENT_TAGS = frozenset("article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.S)
@@ -51,21 +53,34 @@ _PUNCTUATION = re.compile(r"[.,;:!?、。，！？…]")
 
 
 def _is_boilerplate(tag: str, attributes: str) -> bool:
+    """Whether the element's name, role or style marks it and all it holds."""
     if tag in BOILERPLATE_TAGS:
         return True
     if not attributes:
         return False
     if (role := _ROLE.search(attributes)) and role[1].lower() in BOILERPLATE_ROLES:
         return True
-    marks = " ".join(a or b or c for a, b, c in _MARKS.findall(attributes))
-    return bool(marks and BOILERPLATE_WORDS.search(marks)) or bool(_HIDDEN.search(attributes))
+    return bool(_HIDDEN.search(attributes))
+
+
+def _is_named_boilerplate(tag: str, attributes: str, content: bool) -> bool:
+    """Whether a class or id says so: a whole name, or inside content also a part of one."""
+    if not attributes or tag in ("html", "body"):
+        return False
+    for name in " ".join(a or b or c for a, b, c in _MARKS.findall(attributes)).lower().split():
+        parts = re.split("[_-]+", name) if content else [name]
+        if BESIDE.isdisjoint(parts) and any(part in BOILERPLATE_WORDS and not (content and part in HEADINGS) for part in parts):
+            return True
+    return False
 
 
 def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
     """(tag path, block number, text, inside content tag, inside boilerplate) of each text node."""
-    # an open element: (tag, path, is content, is boilerplate)
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-    nodes: list[tuple[str, int, str, bool, bool]] = []
+    # an open element: (tag, path, is content, is boilerplate, number of the innermost one around that a class or id closes)
+    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
+    nodes: list[tuple[str, int, str, bool, bool, int]] = []
+    outer = [0]  # of each closed element the one around it
+    opened = [False]  # closed by its name but holds an article
     block = 0
     at, end = 0, len(page)
     while at < end:
@@ -77,8 +92,8 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
         at = token.end()
         closing, tag, attributes, text = token.groups()
         if text is not None:
-            _, path, content, boilerplate = stack[-1]
-            nodes.append((path, block, entities.unescape(text), content, boilerplate))
+            _, path, content, boilerplate, closed = stack[-1]
+            nodes.append((path, block, entities.unescape(text), content, boilerplate, closed))
             continue
         if tag is None:
             continue
@@ -86,7 +101,7 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
         if tag not in INLINE:
             block += 1
         if tag == "br":
-            nodes.append((stack[-1][1], block, " ", stack[-1][2], stack[-1][3]))
+            nodes.append((stack[-1][1], block, " ", *stack[-1][2:]))
         elif closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -108,10 +123,23 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
                     if stack[k][0] == tag or {stack[k][0], tag} == {"dd", "dt"} or {stack[k][0], tag} == {"td", "th"}:
                         del stack[k:]
                         break
-            _, path, content, boilerplate = stack[-1]
-            closed = _is_boilerplate(tag, attributes) and not (tag == "header" and content)
-            stack.append((tag, f"{path}/{tag}", content or tag in CONTENT_TAGS, boilerplate or closed))
-    return nodes
+            _, path, content, boilerplate, closed = stack[-1]
+            boilerplate = boilerplate or (_is_boilerplate(tag, attributes) and not (tag == "header" and content))
+            named = not boilerplate and _is_named_boilerplate(tag, attributes, content)
+            if tag in CONTENT_TAGS and not boilerplate and not named:
+                around = closed
+                while around and not opened[around]:
+                    opened[around] = True
+                    around = outer[around]
+            if named:
+                outer.append(closed)
+                opened.append(False)
+                closed = len(outer) - 1
+            stack.append((tag, f"{path}/{tag}", content or tag in CONTENT_TAGS, boilerplate, closed))
+    shut = [False]
+    for k in range(1, len(outer)):
+        shut.append(shut[outer[k]] or not opened[k])
+    return [(path, n, text, content, boilerplate or shut[closed]) for path, n, text, content, boilerplate, closed in nodes]
 
 
 def content_paths(nodes: list[tuple[str, int, str, bool, bool]], threshold: float = THRESHOLD) -> set[tuple[str, bool, bool]]:
