@@ -248,6 +248,43 @@ def test_forward_sums_all_segmentations():
     assert abs(sums[0, 3, 0] - (0.2 * 0.3 * 0.1 + 0.25 * 0.1 + 0.2 * 0.15)) < 1e-12
 
 
+def test_language_words_and_pieces_of_any_length():
+    import numpy as np
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    everything = langid.load_pieces(path)
+    assert max(map(len, everything)) == 33
+    pieces = [bytes([b]) for b in b" abcd"] + [b"ab", b" abcdabcdabcd", b"bcda", b"abcdabcdabcdabcdabcdabcdabcdabcda"]
+    rng = np.random.default_rng(1)
+    p = np.vstack([rng.random((len(pieces), 2)) * 1e-3, np.zeros((1, 2))])
+    words = [b" " + b"abcd" * 20, b" " + b"abcda", b" " + b"dcba" * 3000]
+    length = np.array([len(w) for w in words])
+    start = np.cumsum(length) - length
+    table = langid.PieceTable(pieces)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    logs = langid.log_mass(table, data, start, length, p)[-1]
+    total, counts = np.zeros_like(p), np.zeros_like(p)
+    for lang in (0, 1):
+        langid.expected(table, data, start, length, np.full(3, lang), np.ones(3), p, counts)
+    for k, word in enumerate(words):
+        for lang in (0, 1):
+            # sums of whole segmentations in logarithms, and counts from their sums from both sides
+            hits = [[(j, i) for j, x in enumerate(pieces) if word[:i].endswith(x)] for i in range(len(word) + 1)]
+            ahead = np.full(len(word) + 1, -np.inf)
+            ahead[0] = 0
+            for i in range(1, len(word) + 1):
+                ahead[i] = np.logaddexp.reduce([ahead[i - len(pieces[j])] + np.log(p[j, lang]) for j, _ in hits[i]])
+            behind = np.full(len(word) + 1, -np.inf)
+            behind[-1] = 0
+            for i in range(len(word), 0, -1):
+                for j, _ in hits[i]:
+                    b = i - len(pieces[j])
+                    total[j, lang] += np.exp(ahead[b] + np.log(p[j, lang]) + behind[i] - ahead[-1])
+                    behind[b] = np.logaddexp(behind[b], behind[i] + np.log(p[j, lang]))
+            assert abs(logs[k, lang] - ahead[-1]) < 1e-6
+    assert np.allclose(counts, total)
+
+
 def test_secrets(spark):
     token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
     rows = [(1, f'set token = "{token}" now', "web"), (2, f"see commit {token} for it", "web"), (3, None, None), (4, "", "web"), (5, "nothing here 4929348385146306", "web"), (1, f'set token = "{token}" now', "web")]

@@ -6,8 +6,9 @@ by a forward recursion over its bytes; a text's is the product over its words.
 The piece probabilities are fitted by expectation-maximisation (forward and
 backward sums) on word counts of a bounded sample of labelled documents.
 
-A word here is a space and a run of non-space bytes, A-Z lower-cased; runs of
-over ``LONGEST`` bytes are cut into runs of that length.
+A word here is a space and a run of non-space bytes, A-Z lower-cased, of any
+length.  The recursion goes along a word in steps of ``STEP`` bytes and carries
+the sums of the last bytes, as many as the longest piece has.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 documents with null language or text are not learned from; ties go to the
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,44 +33,45 @@ from .kernels import NOT_SPACE, Words, powers, words
 
 #: Documents of each language that are learned from, about (chosen by a hash of their ids).
 SAMPLE = 3000
-#: Longest run of bytes, and longest piece.
-LONGEST = 24
-PIECE = 8
+#: Bytes of a word between two scalings of its sums.
+STEP = 24
 ROUNDS = 3
 #: Added to a piece's expected count.
 SMOOTHING = 0.05
-#: Distinct words that are scored at once.
-WORDS_AT_ONCE = 20_000
+#: Distinct words that are scored at once, and about their bytes.
+WORDS_AT_ONCE = 10_000
+BYTES_AT_ONCE = 400_000
 FOLDS = 5
 HELD_OUT = 0
 UNKNOWN = "und"
 
 
-def load_pieces(ranks_path: str, longest: int = PIECE) -> list[bytes]:
-    """The vocabulary's pieces of up to ``longest`` bytes; all single bytes are among them."""
+def load_pieces(ranks_path: str) -> list[bytes]:
+    """The vocabulary's pieces; all single bytes are among them."""
     with open(ranks_path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]) for line in f}
-    return sorted({p for p in pieces if 0 < len(p) <= longest} | {bytes([b]) for b in range(256)})
+    return sorted({p for p in pieces if p} | {bytes([b]) for b in range(256)})
 
 
 class PieceTable:
-    """Piece numbers by hash and length."""
+    """Piece numbers by hash and length; what only begins a piece is known too."""
 
     def __init__(self, pieces: list[bytes]):
-        self.size = len(pieces)
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        length = np.array([len(p) for p in pieces])
+        self.size, self.longest = len(pieces), max(map(len, pieces))
+        number = {p[:k]: -2 for p in pieces for k in range(1, len(p))} | {p: k for k, p in enumerate(pieces)}
+        data = np.frombuffer(b"".join(number), np.uint8)
+        length = np.array([len(p) for p in number])
         end = np.cumsum(length)
         self.keys = _hashes(data, end - length, end)
         order = np.argsort(self.keys)
-        self.keys, self.numbers = self.keys[order], order
+        self.keys, self.numbers = self.keys[order], np.array(list(number.values()))[order]
         # open addressing by the top bits: a first slot that mostly decides
-        self.bits = 20
+        self.bits = 21
         self.slot = np.zeros(1 << self.bits, bool)
         self.slot[self.keys >> np.uint64(64 - self.bits)] = True
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece numbers, -1 for no piece."""
+        """Piece numbers, -2 for what only begins a piece, -1 for others."""
         out = np.full(len(hashes), -1)
         maybe = np.flatnonzero(self.slot[hashes >> np.uint64(64 - self.bits)])
         at = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
@@ -86,47 +89,123 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def lattice(table: PieceTable, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """piece[w, i, k]: the piece of k + 1 bytes that ends before byte i + 1 of word w, or -1; data has room before and after."""
-    width = int(length.max())
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(data.astype(np.uint64) * up[:-1], out=sums[1:])
+    return sums, down
+
+
+@dataclass
+class Lattice:
+    """Pieces by the byte they end at, then by word: ``row``, bytes but one (``back``) and number; ``edges`` of each byte's pieces."""
+
+    count: int
+    width: int
+    row: np.ndarray
+    back: np.ndarray
+    piece: np.ndarray
+    edges: np.ndarray
+
+
+def lattice(table: PieceTable, data, start: np.ndarray, length: np.ndarray, first: int = 0, width: int | None = None) -> Lattice:
+    """The pieces of words that end in their bytes first .. first + width - 1; data are bytes or their ``_sums``."""
     from .kernels import mix
 
-    found = np.full((len(start), width, PIECE), -1, np.int32)
-    for i in range(width):
-        for k in range(min(PIECE, i + 1)):
-            rows = np.flatnonzero(length > i)
-            if len(rows):
-                a, b = start[rows] + i - k, start[rows] + i + 1
-                found[rows, i, k] = table.find(mix((sums[b] - sums[a]) * down[a] + np.uint64(k + 1)))
-    return found
-
-
-def forward(found: np.ndarray, length: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """sums[w, i, language]: probability mass of all segmentations of the first i bytes; p[piece, language] ends with zeros."""
-    count, width, _ = found.shape
-    sums = np.zeros((count, width + 1, p.shape[1]))
-    sums[:, 0] = 1
-    for i in range(width):
-        for k in range(min(PIECE, i + 1)):
-            piece = found[:, i, k]
-            rows = np.flatnonzero(piece >= 0)
-            sums[rows, i + 1] += sums[rows, i - k] * p[piece[rows]]
+    sums, down = data if isinstance(data, tuple) else _sums(data)
+    width = int(length.max()) - first if width is None else width
+    low = max(0, first - table.longest + 1)
+    stop = np.minimum(length, first + width)
+    n = np.maximum(stop - low, 0)
+    row = np.repeat(np.arange(len(start)), n)
+    at = low + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    found = []
+    for k in range(table.longest):
+        inside = at + k < stop[row]
+        row, at = row[inside], at[inside]
+        if not len(row):
+            break
+        a = start[row] + at
+        number = table.find(mix((sums[a + k + 1] - sums[a]) * down[a] + np.uint64(k + 1)))
+        hit = np.flatnonzero((number >= 0) & (at + k >= first))
+        found.append((at[hit] + (k - first), row[hit], np.full(len(hit), k), number[hit]))
+        more = number != -1
+        row, at = row[more], at[more]
+    end, row, back, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+    order = np.argsort(end * len(start) + row, kind="stable")
+    return Lattice(len(start), width, row[order], back[order], piece[order], np.searchsorted(end[order], np.arange(width + 1)))
+
+
+def forward(found: Lattice, length: np.ndarray, p: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """sums[w, i, language]: probability mass of all segmentations of the first i bytes; p[piece, language].
+
+    With ``before``, the sums up to the first byte, these come first.
+    """
+    return _forward(found, p[found.piece], before)
+
+
+def _forward(found: Lattice, p: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    had = 1 if before is None else before.shape[1]
+    sums = np.zeros((found.count, had + found.width, p.shape[1]))
+    sums[:, :had] = 1 if before is None else before
+    for i in range(found.width):
+        a, b = found.edges[i], found.edges[i + 1]
+        if a < b:
+            rows = found.row[a:b]
+            heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            sums[rows[heads], had + i] = np.add.reduceat(sums[rows, had - 1 + i - found.back[a:b]] * p[a:b], heads)
     return sums
 
 
+def log_mass(table: PieceTable, data, start: np.ndarray, length: np.ndarray, p: np.ndarray, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """Log probability of each word in each language, or its own, after each step; the last entry is of whole words."""
+    out = [np.zeros((len(start), p.shape[1] if own is None else 1))]
+    rows, first, before = np.arange(len(start)), 0, None
+    while len(rows):
+        width = min(STEP, int(length[rows].max()) - first)
+        found = lattice(table, data, start[rows], length[rows], first, width)
+        sums = _forward(found, p[found.piece] if own is None else p[found.piece, own[rows][found.row]][:, None], before)
+        had, left = sums.shape[1] - width, length[rows] - first
+        last = sums[np.arange(len(rows)), had - 1 + np.minimum(left, width)]
+        out.append(out[-1].copy())
+        out[-1][rows] += np.log(last)
+        more = left > width
+        rows, first = rows[more], first + width
+        before = np.zeros((len(rows), table.longest, sums.shape[2]))
+        keep = min(table.longest, sums.shape[1])
+        before[:, table.longest - keep :] = sums[more, sums.shape[1] - keep :] / last[more][:, None]
+    return out
+
+
+def expected(table: PieceTable, data, start: np.ndarray, length: np.ndarray, own: np.ndarray, weight: np.ndarray, p: np.ndarray, total: np.ndarray) -> None:
+    """Add the words' expected counts of pieces, each in its own language, to total[piece, language]."""
+    logs = np.concatenate(log_mass(table, data, start, length, p, own), 1)
+    found = lattice(table, data, start, length)
+    # sums are scaled along a word by its mass up to there, so that none of them vanishes
+    at = np.arange(found.width + 1)[None, :]
+    low = np.minimum(at // STEP, logs.shape[1] - 2)
+    size = np.clip(length[:, None] - low * STEP, 1, STEP)
+    rows = np.arange(len(start))[:, None]
+    curve = logs[rows, low] + (logs[rows, low + 1] - logs[rows, low]) * np.minimum((at - low * STEP) / size, 1)
+    end = np.repeat(np.arange(found.width), np.diff(found.edges))
+    scaled = p[found.piece, own[found.row]] * np.exp(curve[found.row, end - found.back] - curve[found.row, end + 1])
+    ahead = _forward(found, scaled[:, None], None)[:, :, 0]
+    behind = np.zeros_like(ahead)
+    behind[np.arange(len(start)), length] = 1
+    shares = np.zeros(len(scaled))
+    for i in range(found.width - 1, -1, -1):
+        a, b = found.edges[i], found.edges[i + 1]
+        row, begin = found.row[a:b], i - found.back[a:b]
+        shares[a:b] = behind[row, i + 1] * scaled[a:b]
+        behind[row, begin] += shares[a:b]  # a word has one piece of each length here
+    whole = ahead[np.arange(len(start)), length]
+    np.add.at(total, (found.piece, own[found.row]), weight[found.row] * ahead[found.row, end - found.back] * shares / whole[found.row])
+
+
 def _runs(part: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The runs of a piece of text: bytes with a space before each, start, length, and owner."""
-    n = part.end - part.start
-    blocks = -(-n // LONGEST)
-    word = np.repeat(np.arange(len(n)), blocks)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    start = part.start[word] + nth * LONGEST
-    size = np.minimum(part.end[word], start + LONGEST) - start
-    owner = np.repeat(np.arange(part.last - part.first), np.diff(part.edges))[word]
-    return part.data, start, size, owner
+    owner = np.repeat(np.arange(part.last - part.first), np.diff(part.edges))
+    return part.data, part.start, part.end - part.start, owner
 
 
 def _distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +229,13 @@ def _spaced(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
 def _by_length(length: np.ndarray) -> Iterator[np.ndarray]:
     """Rows in groups of similar length."""
     order = np.argsort(length, kind="stable")
-    for a in range(0, len(order), WORDS_AT_ONCE):
-        yield order[a : a + WORDS_AT_ONCE]
+    a = 0
+    while a < len(order):
+        part = order[a : a + WORDS_AT_ONCE]
+        fit = int(np.searchsorted(length[part] * np.arange(1, len(part) + 1), BYTES_AT_ONCE, "right"))
+        part = part[: max(fit, 1)]
+        yield part
+        a += len(part)
 
 
 class Model:
@@ -169,9 +253,9 @@ class Model:
         """Log probability of each word in each language."""
         self.table = self.table or PieceTable(self.pieces)
         out = np.zeros((len(to), len(self.languages)))
+        sums = _sums(data)
         for rows in _by_length(length):
-            sums = forward(lattice(self.table, data, to[rows], length[rows]), length[rows], self.p)
-            out[rows] = np.log(sums[np.arange(len(rows)), length[rows]])
+            out[rows] = log_mass(self.table, sums, to[rows], length[rows], self.p)[-1]
         return out
 
     def text_scores(self, column: pa.Array) -> np.ndarray:
@@ -217,21 +301,9 @@ def _expect(model: Model):
             length = np.array([len(t) + 1 for t in texts])
             data = np.frombuffer(b"".join(b" " + t for t in texts), np.uint8)
             to = np.cumsum(length) - length
+            sums = _sums(data)
             for rows in _by_length(length):
-                size, own, weight = length[rows], lang[rows], n[rows]
-                found = lattice(table, data, to[rows], size)
-                ahead = forward(found, size, model.p)[np.arange(len(rows))[:, None], np.arange(found.shape[1] + 1)[None, :], own[:, None]]
-                behind = np.zeros_like(ahead)
-                behind[np.arange(len(rows)), size] = 1
-                whole = ahead[np.arange(len(rows)), size]
-                for i in range(found.shape[1] - 1, -1, -1):
-                    for k in range(min(PIECE, i + 1)):
-                        piece = found[:, i, k]
-                        at = np.flatnonzero(piece >= 0)
-                        p = model.p[piece[at], own[at]]
-                        share = behind[at, i + 1] * p
-                        np.add.at(total, (piece[at], own[at]), weight[at] * ahead[at, i - k] * share / whole[at])
-                        behind[at, i - k] += share
+                expected(table, sums, to[rows], length[rows], lang[rows], n[rows], model.p, total)
         piece, lang = np.nonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[piece, lang])], ["lang", "piece", "n"])
 
