@@ -1,4 +1,4 @@
-"""Every navigation query against its SQL."""
+"""Every wayfinding query against its SQL."""
 
 import os
 

@@ -1 +1 @@
-"""Spark-first analytics for indoor and outdoor navigation data."""
+"""Spark-first analytics for indoor and outdoor wayfinding data."""

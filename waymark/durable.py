@@ -1,17 +1,28 @@
-"""Cut points that survive lost executors."""
+"""Cut points and result folders that survive lost executors."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of its own where all run in this process.
+
+    On a cluster that names none there is no folder that every executor sees, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder of spark.checkpoint.dir; one is made only where that is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

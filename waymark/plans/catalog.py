@@ -1,4 +1,4 @@
-"""All navigation queries and their SQL, in the order in which their modules register them."""
+"""All wayfinding queries and their SQL, in the order in which their modules register them."""
 
 from waymark.plans import motion, places, routes
 from waymark.plans.queries import QUERIES, SQL

@@ -1,4 +1,4 @@
-"""Queries over the projected navigation entities, and the SQL that gives the same rows."""
+"""Queries over the projected wayfinding entities, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 

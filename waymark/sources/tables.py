@@ -1,4 +1,4 @@
-"""Navigation entities projected from the data set's tables."""
+"""Wayfinding entities projected from the data set's tables."""
 
 from __future__ import annotations
 
@@ -55,7 +55,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Documents of the navigation service, for spark.read.schema(...).json(...) and from_json.
+# Documents of the wayfinding service, for spark.read.schema(...).json(...) and from_json.
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 HOURS = T.StructType([T.StructField("open", T.StringType()), T.StructField("close", T.StringType())])
 STORE_INDEX = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "floor_id", "floor_name", "category", "subcategory", "kind", "entrance_node_id")])

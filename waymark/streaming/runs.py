@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.durable import shared_folder
+
 
 def parquet_source(spark: SparkSession, path: str, files_each: int = 8) -> DataFrame:
     """Parquet files as a stream, so many of them in a micro-batch; the schema is the files' own."""
@@ -33,8 +34,7 @@ def finish(stream: DataFrame, mode: str = "append") -> DataFrame:
     Offsets and state are kept there too, so a run that loses its executors goes on.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start(at)
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(at)
