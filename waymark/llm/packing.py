@@ -8,8 +8,9 @@ bins; equal pieces and bins with equal room are placed as runs.  Pieces then
 get their place from their rank among pieces of the same length.
 
 Defined cases: a null text is empty, so its document is the end token alone;
-repeated rows and null ids are packed row by row; other columns are ignored;
-an empty table gives no rows.
+repeated rows and null ids are packed row by row; texts of any length are
+encoded whole, by the tokenizers library where the faster encoder gives up;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,10 +60,27 @@ def encoder(vocabulary_path: str, pattern: str):
         alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): rank for token, rank in described["model"]["vocab"].items() if token not in special}
         encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        _encoders[vocabulary_path] = lambda text: encoding.encode(text, allowed_special="all")
+
+        def encode(text: str) -> list[int]:
+            try:
+                return encoding.encode(text, allowed_special="all")
+            except ValueError:  # its pattern engine gives up on very long runs of white space
+                return _plain_encoder(vocabulary_path).encode(text, add_special_tokens=False).ids
+
+        _encoders[vocabulary_path] = encode
     return _encoders[vocabulary_path]
 
 
+def _plain_encoder(vocabulary_path: str):
+    """The tokenizers library's own encoder of the vocabulary, made once in a worker process."""
+    from tokenizers import Tokenizer
+
+    key = f"plain {vocabulary_path}"
+    if key not in _encoders:
+        _encoders[key] = Tokenizer.from_file(vocabulary_path)
+    return _encoders[key]
+
+
 def _cut_documents(vocabulary_path: str, pattern: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary_path, pattern)
