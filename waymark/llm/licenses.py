@@ -13,6 +13,8 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -155,15 +157,37 @@ def gate(rules: list[Rule]) -> str:
 
 
 def detect(text: str, rules: list[Rule]) -> list[tuple[int, int, Rule]]:
-    """(start, end, rule) in a text of words joined by single spaces, after suppression."""
-    kept: list[tuple[int, int, Rule]] = []
-    for rule in rules:
+    """(start, end, rule) in a text of words joined by single spaces, after suppression, in order of priority and place."""
+    hits = []
+    for order, rule in enumerate(rules):
         if any(word in text for word in rule.keywords):
-            for m in rule.pattern.finditer(text):
-                if not any(a <= m.start() and m.end() <= b and r.priority <= rule.priority and (a, b, r.label) != (m.start(), m.end(), rule.label) for a, b, r in kept):
-                    kept.append((m.start(), m.end(), rule))
-    # within one priority the longer of nested detections stays
-    return [(a, b, r) for a, b, r in kept if not any((c <= a and b <= d) and (d - c > b - a) and s.priority <= r.priority for c, d, s in kept)]
+            hits += [(rule.priority, m.start(), -m.end(), order) for m in rule.pattern.finditer(text)]
+    # by start, longest first: a detection lies in an earlier one if the farthest end so far reaches its own
+    kept: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []
+    reach: list[int] = []  # farthest end of the kept detections of better priority that start at or before starts[k]
+    for _, level in itertools.groupby(sorted(hits), key=lambda h: h[0]):
+        fresh: list[tuple[int, int, Rule]] = []
+        farthest = last_start = last_end = -1
+        labels: set[str] = set()
+        for _, start, minus_end, order in level:
+            end, rule = -minus_end, rules[order]
+            k = bisect.bisect_right(starts, start) - 1
+            if k >= 0 and reach[k] >= end:
+                continue
+            if farthest >= end:
+                # of one place and priority the first label stays, as often as it is found
+                if (start, end) == (last_start, last_end) and rule.label in labels:
+                    fresh.append((start, end, rule))
+                continue
+            farthest, last_start, last_end, labels = end, start, end, {rule.label}
+            fresh.append((start, end, rule))
+        kept += fresh
+        starts, reach = [], []
+        for start, end in sorted((a, b) for a, b, _ in kept):
+            reach.append(max(end, reach[-1] if reach else -1))
+            starts.append(start)
+    return kept
 
 
 def _scan():
