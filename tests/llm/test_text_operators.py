@@ -331,3 +331,36 @@ def test_empty_tables(spark, docs):
     assert decontaminate.contamination(none, bench).isEmpty() and packing.pack(none, public_tokenizers.path("byte_bpe_50k.json")).isEmpty()
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
+
+
+def test_long_texts_take_linear_time(spark, tmp_path):
+    import time
+
+    texts = ["a" * 1_000_000, "abcdefghijklmnop." * 60_000, "https://" * 125_000, "a1" * 500_000, " " * 1_000_000 + "a", "gnu gpl " * 125_000, "apache license version 2 0 or later " * 28_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts)).write.parquet(str(tmp_path / "long"))
+    docs = spark.read.parquet(str(tmp_path / "long"))
+    model = secrets.train(secrets.seed_findings(spark, 1000))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    began = time.time()
+    assert {(r.doc_id, r.length) for r in secrets.scan(docs, model).collect()} == {(3, 1_000_000)}
+    assert {r.doc_id: (r.labels, r.n_words) for r in licenses.scan(docs).where("doc_id >= 5").collect()} == {5: ("gpl", 250_000), 6: ("apache,apache-2.0", 196_000)}
+    spaces = packing.pack(docs.where("doc_id = 4"), path).collect()
+    ids = [*Tokenizer.from_file(path).encode(texts[4], add_special_tokens=False).ids, 2]
+    assert sum(r.length for r in spaces) == len(ids)
+    assert all(r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[r.start : r.start + r.length])) for r in spaces)
+    assert time.time() - began < 90
+
+
+def test_license_suppression_by_priority_and_place():
+    rules = licenses.make_rules()
+    texts = ["gnu gpl version 2 or later gnu gpl", "licensed under the apache license version 2 0 apache license", "cc by sa 4 0 cc by nc nd cc by", "spdx license identifier mit mit license"]
+    for text in texts:
+        hits = [(m.start(), m.end(), r, k) for k, r in enumerate(rules) if any(w in text for w in r.keywords) for m in r.pattern.finditer(text)]
+
+        def hidden(a, b, r, k):
+            return any(
+                c <= a and b <= d and (s.priority < r.priority or (s.priority == r.priority and (d - c > b - a or (n < k and s.label != r.label))))
+                for c, d, s, n in hits
+            )
+
+        assert {(a, b, r.label) for a, b, r in licenses.detect(text, rules)} == {(a, b, r.label) for a, b, r, k in hits if not hidden(a, b, r, k)}

@@ -2,7 +2,7 @@
 
 Candidates are the parts of a text's tokens that look like credentials: known
 prefixes anywhere in a token, then urls with a password, then long runs of
-letters and digits between these; a token has any number of them.  A name
+letters and digits (both in one run) between these; a token has any number of them.  A name
 before '=' is no part of a run's candidate.  A random forest, trained from labelled
 findings, judges each by its length, its character transitions, how much of it
 dictionary words cover, its path and its neighbouring words.  Everything is
@@ -12,7 +12,9 @@ Labelled findings are rows (candidate, before, after, path, label); label 1 is
 a secret.  ``seed_findings`` makes a bounded set of them by rule for tables
 that bring none.
 
-Defined cases: null and empty texts have no findings; a token that repeats is a
+Defined cases: null and empty texts have no findings; tokens of any length are
+searched whole, of a jwt's first part the first 400 characters decide its kind;
+a score at the threshold is a secret; a token that repeats is a
 finding at each place; a null path is the empty path; repeated rows are scanned
 row by row; labelled findings with null candidate or label are not learned
 from; an empty table gives no rows; other columns are ignored.
@@ -39,12 +41,13 @@ NEIGHBOURS = 3
 
 # Runs of letters and digits between '='.  A long run, or a value of a name, is a candidate, with
 # what follows it behind '=' unless that is a value itself; a run with neither is a candidate as a whole.
+# A pattern starts at a run's start only and gives nothing back, so a token costs its length, not its square.
 _RUN = "[A-Za-z0-9+/_-]"
-_VALUE = f"(?={_RUN}{{8}})(?={_RUN}*[0-9])(?={_RUN}*[A-Za-z]){_RUN}+"
-_TAIL = f"(?:=+(?!{_VALUE}){_RUN}*)*+"
-_LONG = f"(?<!{_RUN})(?={_RUN}{{16}})(?=[A-Za-z0-9+/_.-]*[0-9])(?=[A-Za-z0-9+/_.-]*[A-Za-z]){_RUN}+{_TAIL}"
+_VALUE = f"(?={_RUN}{{8}})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}++"
+_TAIL = f"(?:=++(?!{_VALUE}){_RUN}*+)*+"
+_LONG = f"(?<!{_RUN})(?={_RUN}{{16}})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}++{_TAIL}"
 _NAMED = f"(?<==){_VALUE}{_TAIL}"
-_WHOLE = f"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{{16}})(?=[A-Za-z0-9+/_=.-]*[0-9])(?=[A-Za-z0-9+/_=.-]*[A-Za-z])(?![A-Za-z0-9+/_=-]*?(?:{_LONG}|{_NAMED}))[A-Za-z0-9+/_=-]+"
+_WHOLE = f"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{{16}})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])(?![A-Za-z0-9+/_=-]*?(?:{_LONG}|{_NAMED}))[A-Za-z0-9+/_=-]++"
 _GENERIC = f"{_LONG}|{_NAMED}|{_WHOLE}"
 # Known credential formats as (kind, pattern), in order of trial.
 FORMATS = (
@@ -55,21 +58,32 @@ FORMATS = (
     ("stripe-key", r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}"),
     ("google-api-key", r"AIza[A-Za-z0-9_-]{35}"),
     ("npm-token", r"npm_[A-Za-z0-9]{36}"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
-    ("url-password", r"[a-z][a-z0-9+.-]*://[^\s/:@\"<>]+:[^\s/@\"<>]+@[^\s/\"'<>,;&?#]+"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,400}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*"),
+    ("url-password", r"(?<![a-z0-9+.-])(?=[0-9+.-]*+[a-z])[a-z0-9+.-]++://[^\s/:@\"<>]++:[^\s/@\"<>]++@[^\s/\"'<>,;&?#]++"),
     ("generic", _GENERIC),
 )
 # a token is cut by these one after another: what an earlier one finds, no later one can hide
 LEVELS = ("|".join(f"(?:{p})" for _, p in FORMATS[:-2]), FORMATS[-2][1], FORMATS[-1][1])
 CANDIDATE = "|".join(f"(?:{p})" for _, p in FORMATS)
+# What every candidate has: letters beside digits in one run, or what a known format begins with.
+MIXED = "[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]"
+BEGINNINGS = "AKIA ASIA AROA AIDA ghp_ gho_ ghu_ ghs_ ghr_ glpat- xox sk_live_ sk_test_ rk_live_ rk_test_ AIza npm_ eyJ ://".split()
 # Words that cover a candidate, and neighbours that speak for and against a secret.
-DICTIONARY = "password passwd secret example sample dummy changeme change your insert here test token key placeholder default admin user login value string name api access private public data file image version build release branch commit index content document page item node class public static service server client config sender receiver number system module package license general"
+DICTIONARY = (
+    "password passwd secret example sample dummy changeme change your insert here test token key placeholder default admin user login value string name api access private public data file image "
+    "version build release branch commit index content document page item node class static service server client config sender receiver number system module package license general "
+    "about account action active address after album array article asset author backup base batch before binary block board body book border box buffer button cache call card case category center "
+    "chain channel chart check child city code collection color column command comment common component connect console context control copy count country create current custom customer database date "
+    "debug delete design detail device digital directory display domain download driver edit element email enable engine entry error event export factory feature field filter final first font footer form "
+    "format forum frame free from function gallery game global group guide handler hash header health height help history home host html icon import info input instance integer interface internal job json "
+    "label language large last layout level library line link list load local location long machine main manager map mark master member memory menu message method"
+)
 SPEAKS_FOR = "token secret key apikey api_key password passwd pwd auth bearer credential credentials private access signing"
 SPEAKS_AGAINST = "sha sha1 sha256 sha512 md5 hash checksum digest commit revision uuid guid id etag integrity example sample placeholder fingerprint isbn order tracking"
 PATH_AGAINST = "test tests spec fixture fixtures example examples sample samples mock docs vendor"
 
 _FEATURES = [
-    "known", "length", "digits", "upper", "symbols", "distinct", "transitions", "vowel_pairs", "covered", "longest_letters", "is_hex", "is_uuid", "repeats", "speaks_for", "speaks_against", "assigned", "path_against",
+    "known", "length", "digits", "upper", "symbols", "distinct", "transitions", "common_pairs", "vowel_pairs", "covered", "longest_letters", "is_hex", "is_uuid", "repeats", "speaks_for", "speaks_against", "assigned", "path_against",
 ]
 
 
@@ -93,6 +107,9 @@ def with_features(findings: DataFrame) -> DataFrame:
         known = F.when(c.rlike(f"^(?:{pattern})"), float(k)).otherwise(known)
     uncovered = F.length(F.regexp_replace(c, f"(?i){_any_of(DICTIONARY)}", ""))
     letters = F.regexp_extract_all(c, F.lit("([A-Za-z]+)"), F.lit(1))
+    # transitions between letters: the share of them that dictionary words make too
+    pairs = F.regexp_extract_all(F.concat(F.lower(c), F.regexp_replace(F.lower(c), "^.", " ")), F.lit("([a-z][a-z])"), F.lit(1))
+    made = F.array(*map(F.lit, sorted({word[k : k + 2] for word in DICTIONARY.split() for k in range(len(word) - 1)})))
     around = F.concat_ws(" ", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
     yes = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
     return findings.withColumns(
@@ -104,6 +121,7 @@ def with_features(findings: DataFrame) -> DataFrame:
             "symbols": 1 - share("A-Za-z0-9"),
             "distinct": F.size(F.array_distinct(F.split(c, ""))) / length,
             "transitions": 1 - F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) / length,
+            "common_pairs": F.coalesce(F.size(F.filter(pairs, lambda p: F.array_contains(made, p))) / F.nullif(F.size(pairs), F.lit(0)), F.lit(0.0)),
             "vowel_pairs": F.size(F.regexp_extract_all(c, F.lit("(?i)([aeiou][bcdfghjklmnpqrstvwxyz])"), F.lit(1))) / length,
             "covered": 1 - uncovered / length,
             "longest_letters": F.coalesce(F.array_max(F.transform(letters, F.length)), F.lit(0)) / length,
@@ -127,11 +145,19 @@ def _cuts(token: Column) -> Column:
     return cuts
 
 
+def suspicious(text: Column) -> Column:
+    """Whether a text holds a candidate; cheap tests decide for most."""
+    begun = F.lit(False)
+    for word in BEGINNINGS:
+        begun = begun | text.contains(word)
+    return (text.rlike(MIXED) | begun) & text.rlike(CANDIDATE)
+
+
 def candidates(docs: DataFrame, *keep: str, path: str | None = None) -> DataFrame:
     """keep..., word (number of the token, from 0), kind, candidate, before, after, path of each candidate."""
     where = F.col(path).cast("string") if path else F.lit("")
-    rows = docs.where(F.col("text").rlike(CANDIDATE)).select(*keep, F.coalesce(where, F.lit("")).alias("path"), F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
-    tokens = rows.select(*keep, "path", "w", F.explode(F.filter(F.transform("w", lambda x, i: F.struct(i.alias("word"), x.alias("token"))), lambda h: h["token"].rlike(CANDIDATE))).alias("h"))
+    rows = docs.where(suspicious(F.col("text"))).select(*keep, F.coalesce(where, F.lit("")).alias("path"), F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
+    tokens = rows.select(*keep, "path", "w", F.explode(F.filter(F.transform("w", lambda x, i: F.struct(i.alias("word"), x.alias("token"))), lambda h: suspicious(h["token"]))).alias("h"))
     earlier = F.slice("w", F.greatest(F.col("h.word") - NEIGHBOURS + 1, F.lit(1)), F.least(F.col("h.word"), F.lit(NEIGHBOURS)))
     later = F.slice("w", F.col("h.word") + 2, F.lit(NEIGHBOURS))
     cuts = tokens.select(*keep, "path", "h.word", F.array_join(earlier, " ").alias("earlier"), F.array_join(later, " ").alias("later"), _cuts(F.col("h.token")).alias("cuts"))
@@ -172,7 +198,9 @@ def seed_findings(spark: SparkSession, count: int = SEED_FINDINGS) -> DataFrame:
     )
     is_secret = F.pmod(i, F.lit(2)) == 0
     hashed = form <= 2
-    before = F.when(is_secret, lead).when(hashed, F.concat(against, pick([" ", ": ", " is ", "="], "s2"))).otherwise(F.concat(pick(["the ", "see ", "a ", ""], "s3"), F.when(F.pmod(i, F.lit(3)) == 0, lead).otherwise(F.lit(""))))
+    # a known format is a secret without a word beside it too
+    bare = is_secret & (form >= 4) & (F.pmod(F.xxhash64(i, F.lit("bare")), F.lit(3)) > 0)
+    before = F.when(bare, pick(["", '{"a":"', ',"b":"', "1,order,", "url=", "see "], "s4")).when(is_secret, lead).when(hashed, F.concat(against, pick([" ", ": ", " is ", "="], "s2"))).otherwise(F.concat(pick(["the ", "see ", "a ", ""], "s3"), F.when(F.pmod(i, F.lit(3)) == 0, lead).otherwise(F.lit(""))))
     path = pick(["src/app.py", "config/prod.yaml", "web", "notes", ".env", ""], "path")
     return spark.range(count).select(
         F.when(is_secret, secret).otherwise(look_alike).alias("candidate"),
@@ -210,10 +238,9 @@ def redact(docs: DataFrame, model: PipelineModel, path: str | None = None, mark:
     Only texts with a candidate are joined with their findings, by hashes of id
     and text; a text that repeats under its id has the same findings.
     """
-    has = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    has = F.coalesce(suspicious(F.col("text")), F.lit(False))
     name = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id", F.lit(1)).alias("b"))
-    suspects = docs.where(has)
-    named = suspects.withColumn("_name", name)
+    named = cut(docs.where(has).withColumn("_name", name))
     found = judged(candidates(named, "_name", path=path), model, threshold).where("is_secret")
     secrets = found.groupBy("_name").agg(F.collect_set("candidate").alias("_secrets"))
     # the longest first, so that none is left in part where one holds another
