@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.durable import shared_folder
 from waymark.llm import decontaminate, jaccard, packing, secrets, toxicity
 from waymark.llm.common import table
 from waymark.shipping import ship
@@ -56,10 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written to the shared folder of spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}-{k}"
+        at = f"{shared}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
     return docs
