@@ -55,10 +55,36 @@ def test_top_k_is_exact(spark):
     for q in (i for i in rows if i % 100 == 0):
         best = sorted(((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q))[:10]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), query_block=2, candidate_block=64).collect()
+    got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), query_block=2, candidate_block=64).drop("evaluated").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).isEmpty()
 
 
+def test_top_k_cases(spark):
+    rows = [(0, [3.0, 4.0]), (100, [1.0]), (100, [1.0]), (200, []), (1, [3.0, 4.0]), (2, [3.0, 4.0]), (3, [1.0, 2.0, 5.0]), (4, [None, 1.0]), (5, None), (6, [float("inf"), 0.0])]
+    vectors = topk.integer_vectors(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string"), scale=1)
+    good = [(i, v) for i, v in rows if i not in (4, 5, 6)]
+    dot = lambda a, b: int(sum(x * y for x, y in zip(a, b)))
+    want = []
+    for q in (0, 100, 200):
+        each = sorted((-dot(v, w), i) for j, v in good if j == q for i, w in good if i != q)[:3]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(each)]
+    for block in (1, 100):
+        got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=3, pivots=2, query_block=block, candidate_block=2, first=4).drop("evaluated")
+        assert sorted(map(tuple, got.collect())) == want
+    few = topk.top_k(vectors.where("vec_id < 2"), vectors.where("vec_id = 0"))
+    assert [tuple(r)[:4] for r in few.collect()] == [(0, 1, 1, 25)]
+
+
+def test_top_k_rules_out_most_of_clustered_vectors(spark):
+    import random
+
+    pick = random.Random(5)
+    rows = [(k, [1000.0 * (k % 10 == j) + pick.uniform(-9, 9) for j in range(10)]) for k in range(4000)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=1)
+    got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), first=200, candidate_block=128)
+    assert got.where("rank = 1 and evaluated > 800").isEmpty()  # of 4000
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 11)]

@@ -38,7 +38,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0)).drop("evaluated")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  select q.vec_id as query_id, c.vec_id, list_sum(list_prepend(0, list_transform(range(1, len(q.v) + 1), lambda i: coalesce(q.v[i] * c.v[i], 0))))::bigint as score
   from v q, v c where q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 10

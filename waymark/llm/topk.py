@@ -1,19 +1,22 @@
 """Exact top-k inner-product search by pivot-table elimination.
 
-Each candidate's distances to a set of pivots are computed once.  For a query,
-the largest difference of pivot distances is a lower bound of its distance to
-the candidate, and |q|^2 + |x|^2 - distance^2 = 2 q.x turns that into an upper
-bound of the inner product.  Candidates are evaluated in bound order until the
-next bound is below the k-th best score, so the result is exact.
-
-Queries and candidates are dealt to a grid of blocks; every block keeps its
-own k best of each query, and the blocks' lists are merged by a window per
-query over k rows for each block.
-
-Defined cases: vectors that are null, empty, of another length than most, or
-with null or non-finite components take no part; repeated ids are separate
-rows and only a query's own id is left out; fewer than k candidates give fewer
-rows; ties go to the smaller id; an empty table gives no rows.
+The distances of every vector to a set of pivots are computed once.  For a
+query, the largest difference of pivot distances is a lower bound of its
+distance to a candidate, and |q|^2 + |x|^2 - distance^2 = 2 q.x turns that into
+an upper bound of the inner product.  Candidates are evaluated in bound order
+until the next bound is below the query's k-th best score, so the result is exact.
+
+Vectors are laid out by their nearest pivot and the distance to it, so that a
+batch of them is narrow: one bound for the whole batch, from the ranges of its
+pivot distances, rules it out for most queries.  Queries go to the candidates in
+passes of a bounded number; candidates never move for a pass, so what is
+shuffled grows with the vectors and with k rows a query and task.  In each pass
+a bounded set of candidates first gives every query a k-th score to start from.
+
+Defined cases: vectors that are null or hold null or non-finite components take
+no part; shorter vectors count as filled up with zeros, an empty one too;
+repeated ids are separate rows and only a query's own id is left out; fewer than
+k candidates give fewer rows; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,92 +28,134 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 K = 10
 PIVOTS = 32
-#: Rows of a query block and of a candidate block.
-QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 8192
-#: Candidates evaluated between two looks at the stopping bound.
+#: Queries of a pass, and candidates that give them their first k-th score (both with their vectors on the driver).
+QUERY_BLOCK = 4096
+FIRST = 2048
+#: Candidates that one bound rules out together, and candidates evaluated between two looks at the stopping bound.
+CANDIDATE_BLOCK = 1024
 STEP = 256
 
-_BEST = "query_id long, vec_id long, score long"
+_BEST = "query_id long, vec_id long, score long, evaluated long"
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id, v: floor(scale * component) of the vectors that take part."""
     vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = vectors.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & ~bad)
+    good = vectors.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~bad)
     return good.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
-
-
-def _block_best(pivots: np.ndarray, k: int, step: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        query_ids, q = np.asarray(left["vec_id"]), _matrix(left["v"])
-        ids, x = np.asarray(right["vec_id"]), _matrix(right["v"])
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        q2, x2 = (q * q).sum(1), (x * x).sum(1)
-
-        def distances(m: np.ndarray, m2: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(m2[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * m @ pivots.T, 0))
-
-        to_pivots, own = distances(x, x2), distances(q, q2)
-        out: tuple[list, list, list] = ([], [], [])
-        for i in range(len(q)):
-            bound = np.zeros(len(x))
-            for p in range(len(pivots)):
-                np.maximum(bound, np.abs(to_pivots[:, p] - own[i, p]), out=bound)
+    return np.asarray(flat.flatten(), np.float64).reshape(len(flat), dims)
+
+
+def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((m * m).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * m @ pivots.T, 0))
+
+
+def _with_pivots(pivots: np.ndarray, dims: int):
+    """vec_id, v, the distances to the pivots, the nearest pivot and its distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _distances(_matrix(batch.column(1), dims), pivots)
+            cell = d.argmin(1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32)), pa.array(d.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["vec_id", "v", "d", "cell", "near"])
+
+    return run
+
+
+def _best(score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    top = np.lexsort((who, -score))[:k]
+    return score[top], who[top]
+
+
+def _pass(query_ids: np.ndarray, q: np.ndarray, own: np.ndarray, least: np.ndarray, k: int, step: int, block: int, pivots: int):
+    """A task's best candidates of each query; ``least`` is a score that k other candidates reach already."""
+    q2, dims = (q * q).sum(1), q.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = [np.zeros(0)] * len(q)
+        names = [np.zeros(0, np.int64)] * len(q)
+        floor = least.copy()
+        evaluated = np.zeros(len(q), np.int64)
+        for batch in (b.slice(a, block) for b in batches for a in range(0, b.num_rows, block)):
+            ids, x, to = np.asarray(batch.column(0)), _matrix(batch.column(1), dims), _matrix(batch.column(2), pivots)
+            x2 = (x * x).sum(1)
+            low, high = to.min(0), to.max(0)
+            gap = np.maximum(np.maximum(low[None, :] - own, own - high[None, :]), 0).max(1)
             # rounding of the distances must never lower a bound below the true score
-            most = (q2[i] + x2 - np.maximum(bound - 1e-6 * (1 + bound), 0) ** 2) / 2 + 1e-3
-            most[ids == query_ids[i]] = -np.inf
-            near = np.argsort(-most, kind="stable")
-            near = near[: len(near) - int((most == -np.inf).sum())]
-            best_score, best_id = np.zeros(0), np.zeros(0, np.int64)
-            for at in range(0, len(near), step):
-                if len(best_score) >= k and most[near[at]] < best_score[-1]:
-                    break
-                some = near[at : at + step]
-                score = np.concatenate((best_score, x[some] @ q[i]))
-                who = np.concatenate((best_id, ids[some]))
-                top = np.lexsort((who, -score))[:k]
-                best_score, best_id = score[top], who[top]
-            for column, values in zip(out, (np.full(len(best_id), query_ids[i]), best_id, best_score.astype(np.int64)), strict=True):
-                column.append(values)
-        return pa.table({n: pa.array(np.concatenate(c), pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
+            most = (q2 + x2.max() - np.maximum(gap - 1e-6 * (1 + gap), 0) ** 2) / 2 + 1e-3
+            for i in np.flatnonzero(most >= floor).tolist():
+                bound = np.abs(to - own[i]).max(1)
+                each = (q2[i] + x2 - np.maximum(bound - 1e-6 * (1 + bound), 0) ** 2) / 2 + 1e-3
+                near = np.flatnonzero((each >= floor[i]) & (ids != query_ids[i]))
+                near = near[np.argsort(-each[near], kind="stable")]
+                for at in range(0, len(near), step):
+                    if each[near[at]] < floor[i]:
+                        break
+                    some = near[at : at + step]
+                    evaluated[i] += len(some)
+                    scores[i], names[i] = _best(np.concatenate((scores[i], x[some] @ q[i])), np.concatenate((names[i], ids[some])), k)
+                    if len(scores[i]) == k:
+                        floor[i] = max(floor[i], scores[i][-1])
+        n = [len(s) for s in scores]
+        first = np.zeros(sum(n), np.int64)
+        first[np.cumsum([0, *n[:-1]])[np.array(n) > 0]] = evaluated[np.array(n) > 0]
+        some = [(s, w) for s, w in zip(scores, names, strict=True) if len(s)]
+        if some:
+            score, who = (np.concatenate(c) for c in zip(*some, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(who, pa.int64()), pa.array(score.astype(np.int64)), pa.array(first)], ["query_id", "vec_id", "score", "evaluated"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """The k best candidates of each query: query_id, rank, vec_id, score.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, first: int = FIRST) -> DataFrame:
+    """The k best candidates of each query: query_id, rank, vec_id, score, evaluated.
 
     Both inputs: vec_id, v (whole numbers as doubles).  The pivots are the
-    ``pivots`` vectors that come first by a hash of their ids; any choice of
-    pivots gives the same result.
+    ``pivots`` vectors that come first by a hash of their ids, the first
+    candidates the ``first`` that do; any choice gives the same result.
+    ``evaluated`` is the number of inner products that the tasks with results
+    computed for the query.
     """
-    most = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = most["n"] if most else 0
-    vectors, queries = (t.where(F.size("v") == dims) for t in (vectors, queries))
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()
-    table = np.array([r["v"] for r in chosen], np.float64).reshape(len(chosen), dims)
-    rows, asked = vectors.count(), queries.count()
-    across, down = max(1, -(-rows // candidate_block)), max(1, -(-asked // query_block))
-
-    def dealt(t: DataFrame, blocks: int, name: str) -> DataFrame:
-        return t.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(blocks)))
-
-    grid = ["query_block", "candidate_block"]
-    left = dealt(queries, down, grid[0]).withColumn(grid[1], F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn(grid[1], F.col(grid[1]).cast("long"))
-    right = dealt(vectors, across, grid[1]).withColumn(grid[0], F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn(grid[0], F.col(grid[0]).cast("long"))
-    best = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(_block_best(table, k, STEP), _BEST)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    dims = max(1, *(t.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0] for t in (vectors, queries)))
+    filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v"))).alias("v")
+    vectors, queries = (t.select("vec_id", filled) for t in (vectors, queries))
+    known = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(first, pivots)).collect()
+    if not known:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, evaluated long")
+    known_ids, x = np.array([r["vec_id"] for r in known], np.int64), np.array([r["v"] for r in known], np.float64).reshape(len(known), dims)
+    table = x[:pivots]
+    placed = vectors.mapInArrow(_with_pivots(table, dims), "vec_id long, v array<double>, d array<double>, cell int, near double")
+    # copies of one vector differ in their ids, so a range never has to hold all of them
+    laid = cut(placed.repartitionByRange("cell", "near", "vec_id").sortWithinPartitions("cell", "near", "vec_id"))
+
+    asked = cut(queries)
+    blocks = max(1, -(-asked.count() // query_block))
+    numbered = cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
+    out = None
+    for block in range(blocks):
+        rows = numbered.where(F.col("block") == block).select("vec_id", "v").collect()  # about query_block of them
+        if not rows:
+            continue
+        ids, q = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dims)
+        score = q @ x.T
+        score[ids[:, None] == known_ids[None, :]] = -np.inf
+        least = np.partition(score, -k, 1)[:, -k] if len(known) >= k else np.full(len(q), -np.inf)
+        found = laid.select("vec_id", "v", "d").mapInArrow(_pass(ids, q, _distances(q, table), least, k, STEP, candidate_block, len(table)), _BEST)
+        found = cut(found) if blocks > 1 else found  # a pass leaves its rows, not its queries
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, evaluated long")
+    by = Window.partitionBy("query_id")
+    ranked = out.withColumn("evaluated", F.sum("evaluated").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "evaluated")
