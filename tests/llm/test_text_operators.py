@@ -130,8 +130,11 @@ def test_decontamination(spark, docs):
     for most in (1_000_000, 0):
         got = [tuple(r) for r in decontaminate.contamination(docs, bench, broadcast_windows=most).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
-    kept = decontaminate.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(not x[-1] for x in want)
+    bad = {(x[0], x[1]) for x in want if x[-1]}
+    for options in ({}, {"broadcast_windows": 0}, {"broadcast_bytes": 1}):
+        kept = decontaminate.decontaminate(docs, bench, **options)
+        assert kept.columns == docs.columns and kept.count() == sum(not x[-1] for x in want)
+        assert not {r.doc_id for r in kept.collect()} & {i for i, _ in bad}
 
 
 def test_license_base_phrases(docs):

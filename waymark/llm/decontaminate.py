@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ from .common import cut, id_and_text
 from .kernels import LETTERS_DIGITS, inside_documents, window_hashes, words
 
 WINDOW = 13
-#: Largest window table that is broadcast (about 150 bytes a window); a larger benchmark is joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Largest window table that is broadcast, in windows and in bytes of their words; a larger benchmark is joined by a shuffle.
+BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 _WINDOWS = "item_id long, size int, hash long, words binary"
 _HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -136,9 +138,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words)], ["row", "doc_id", "n_words"])
 
 
-def _joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same result by a shuffle join on window hashes, for a benchmark too large to broadcast."""
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
+def _joined(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """The same result by a shuffle join on window hashes, for a benchmark too large to broadcast; rows(row, doc_id, text) have fixed numbers."""
     counted = rows.mapInArrow(_count_words, "row long, doc_id long, n_words long")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
     places = rows.select("row", "text").mapInArrow(_document_windows(sizes), "row long, size int, hash long, words binary, place long")
@@ -153,6 +154,7 @@ def _joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
         counted.join(covered, "row", "left")
         .join(items, "row", "left")
         .select(
+            "row",
             "doc_id",
             "n_words",
             n_hit.alias("n_hit"),
@@ -163,39 +165,42 @@ def _joined(docs: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text with numbers that a lost executor does not change."""
+    return cut(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())).select("row", "doc_id", "text")
+
+
+def _table(windows: DataFrame, most_windows: int, most_bytes: int) -> list[tuple] | None:
+    """The windows for the driver to broadcast, None if they are too many or too long."""
+    count, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
+    return [tuple(r) for r in windows.collect()] if count <= most_windows and size <= most_bytes else None
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    windows = benchmark_windows(benchmark, size)
+    windows = cut(benchmark_windows(benchmark, size))
     docs = id_and_text(docs)
-    table = windows.limit(broadcast_windows + 1).collect()
-    if len(table) > broadcast_windows:
-        return _joined(docs, cut(windows))
-    return docs.mapInArrow(_scan([tuple(r) for r in table]), _HITS)
+    table = _table(windows, broadcast_windows, broadcast_bytes)
+    if table is None:
+        return _joined(_numbered(docs), windows).drop("row")
+    return docs.mapInArrow(_scan(table), _HITS)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Documents that are not contaminated, all columns kept; each row is judged by its own text."""
-    scan = _keep(benchmark, size)
-    return docs.mapInArrow(scan, docs.schema) if scan else docs.join(_joined_bad(docs, benchmark, size), F.col("text").eqNullSafe(F.col("_bad")), "left_anti")
-
-
-def _keep(benchmark: DataFrame, size: int):
-    table = benchmark_windows(benchmark, size).limit(BROADCAST_WINDOWS + 1).collect()
-    if len(table) > BROADCAST_WINDOWS:
-        return None
-    scan = _scan([tuple(r) for r in table])
+    windows = cut(benchmark_windows(benchmark, size))
+    table = _table(windows, broadcast_windows, broadcast_bytes)
+    if table is None:
+        text = F.col("text").cast("string")
+        texts = _numbered(docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")).where("text is not null").distinct())
+        bad = _joined(texts, windows).where("contaminated").select("row")
+        return docs.join(texts.join(bad, "row", "left_semi").select(F.col("text").alias("_bad")), text == F.col("_bad"), "left_anti")
+    scan, at = _scan(table), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
             ids = pa.nulls(batch.num_rows, pa.int64())
-            judged = next(scan(iter([pa.RecordBatch.from_arrays([ids, text], ["doc_id", "text"])])))
-            yield batch.filter(pa.compute.invert(judged.column(5)))
-
-    return run
-
+            judged = next(scan(iter([pa.RecordBatch.from_arrays([ids, batch.column(at)], ["doc_id", "text"])])))
+            yield batch.filter(pc.invert(judged.column(5)))
 
-def _joined_bad(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    texts = docs.select(F.xxhash64("text").alias("doc_id"), F.col("text").alias("text")).distinct()
-    judged = _joined(texts, cut(benchmark_windows(benchmark, size))).where("contaminated").select("doc_id")
-    return texts.join(judged, "doc_id", "left_semi").select(F.col("text").alias("_bad"))
+    return docs.mapInArrow(run, docs.schema)
