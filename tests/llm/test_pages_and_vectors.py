@@ -40,6 +40,51 @@ def test_all_links_are_read_and_resolved(spark):
     assert out == {k: "block" for k in range(7)} | {7: "allow", 8: "allow", 99: "allow"}
 
 
+def test_random_link_graphs_against_a_plain_walk_and_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    pick = random.Random(11)
+    hosts = ["a.net", "m.example.net", "example.com", "b.com", "c.org", "d.com"]
+    urls = [f"http://{pick.choice(hosts)}/{pick.choice(['en', 'de', 'fr'])}/{k}" for k in range(120)]
+    rows, edges = [], []
+    for k, url in enumerate(urls):
+        html = "<html><head>"
+        for _ in range(pick.choice([0, 0, 1, 1, 2])):
+            target = pick.choice(urls)
+            edges.append((url, target))
+            html += pick.choice([f'<link rel="canonical" href="{target}">', f'<meta http-equiv="refresh" content="0; url={target}">'])
+        rows.append((k, url, html + "</head></html>"))
+    rows += [(500, urls[0], None), (500, urls[0], None), (501, None, "<link rel='canonical' href='http://a.net/'>"), (502, "no url", ""), (503, "", None)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, component string, node string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def rule_of(url):
+        host, _, rest = (url or "").partition("://")[2].partition("/")
+        fits = [(len(h) + len(p), h, p, v) for h, p, v in urlfilter.RULES if (host == h or host.endswith("." + h)) and ("/" + rest).startswith(p)] if "://" in (url or "") else []
+        return max(fits)[1:] if fits else None
+
+    blocked, ahead = set(), [u for u in urls if (rule_of(u) or ("",) * 3)[2] == "block"]
+    while ahead:
+        url = ahead.pop()
+        if url not in blocked:
+            blocked.add(url)
+            ahead += near.get(url, ())
+    want = sorted(((k, "".join(rule_of(u)[:2]) if rule_of(u) else None, rule_of(u)[2] if rule_of(u) else "block" if u in blocked else "allow") for k, u, _ in rows), key=repr)
+    got = urlfilter.url_verdicts(pages.select("page_id", "url"), urlfilter.link_edges(pages), urlfilter.rule_table(spark))
+    assert sorted(((r.page_id, r.rule, r.verdict) for r in got.collect()), key=repr) == want
+    assert any(v == "block" and r is None for _, r, v in want) and len(set(want)) < len(want)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    assert sorted(con.execute(registry.OP5_SQL).fetchall(), key=repr) == sorted((tuple(r) for r in got.select("page_id", "host", "path", "rule", "verdict").collect()), key=repr)
+    assert urlfilter.url_verdicts(pages.limit(0).select("page_id", "url"), urlfilter.link_edges(pages.limit(0)), urlfilter.rule_table(spark)).isEmpty()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (9, 9)] + [(100, k) for k in range(101, 160)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}

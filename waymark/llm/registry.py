@@ -70,18 +70,29 @@ select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, least(d.doc_id
 from documents d left join size using (doc_id) left join reach on reach.a = d.doc_id group by d.doc_id
 """
 
+# the links of the pages as their markup states them with absolute targets; blocks go along them as far as they reach
 OP5_SQL = r"""
-with recursive parts as (
-  select page_id, url,
+with recursive tags as (
+  select url as src, unnest(regexp_extract_all(html, '<(?:link|meta)\s[^>]*>', 0, 'i')) as tag from pages where url is not null),
+targets as (
+  select src, regexp_extract(tag, 'href\s*=\s*["'']([^"'']*)["'']', 1, 'i') as dst from tags where regexp_matches(tag, '^<link', 'i') and regexp_matches(tag, 'rel\s*=\s*["'']?canonical', 'i')
+  union all
+  select src, regexp_extract(tag, 'url\s*=\s*([^"''>]*)', 1, 'i') from tags where regexp_matches(tag, '^<meta', 'i') and regexp_matches(tag, 'http-equiv\s*=\s*["'']?refresh', 'i')),
+links as (select distinct src, dst from targets where contains(dst, '://') and src <> dst),
+both_ways as (select src as a, dst as b from links union select dst, src from links),
+urls as (select url from pages union select a from both_ways),
+parts as (
+  select url,
     translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path
-  from pages),
+  from urls),
 rules(rh, rp, rv) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fits as (
-  select page_id, rh || rp as rule, rv, row_number() over (partition by page_id order by length(rh) + length(rp) desc, rh desc, rp desc) as k
-  from parts, rules where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
-select p.page_id, p.host, p.path, f.rule, coalesce(f.rv, 'allow') as verdict
-from parts p left join fits f on p.page_id = f.page_id and f.k = 1
+  select url, rh || rp as rule, rv, row_number() over (partition by url order by length(rh) + length(rp) desc, rh desc, rp desc) as k
+  from parts, rules where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)),
+spread(url) as (select url from fits where k = 1 and rv = 'block' union select b from spread join both_ways on a = url)
+select p.page_id, coalesce(u.host, '') as host, coalesce(u.path, '') as path, f.rule, coalesce(f.rv, case when s.url is not null then 'block' else 'allow' end) as verdict
+from pages p left join parts u on u.url = p.url left join fits f on p.url = f.url and f.k = 1 left join spread s on s.url = p.url
 """
 
 OP6_SQL = """
