@@ -230,6 +230,51 @@ def test_toxicity_ignores_identity_swaps(spark):
     assert toxicity.score(docs.limit(0), labels).isEmpty()
 
 
+def test_swaps_are_those_of_the_swapped_sentences():
+    import numpy as np
+    import pyarrow as pa
+
+    from waymark.llm.kernels import LETTERS_DIGITS, words
+
+    def own(text):
+        part = next(words(pa.array([text]), LETTERS_DIGITS))
+        return set(toxicity.features(part)[0].tolist())
+
+    terms = toxicity.Terms()
+    texts = ["All women sing. Some women, and womens clubs, dance! The men rest", "muslims met christians", "", "nothing here", "une femmes dit. noirs"]
+    part = next(words(pa.array(texts), LETTERS_DIGITS))
+    got = {}
+    for k, lost, gained in toxicity.swaps(part, terms):
+        got.setdefault(k, set()).add((frozenset(lost), frozenset(gained)))
+    for k, text in enumerate(texts):
+        want = set()
+        for sentence in re.findall(r"[^.!?\n]+", text):
+            for kind in toxicity.IDENTITY:
+                for a in kind:
+                    if re.search(rf"\b{a}\b", sentence.lower()):
+                        for b in (x for x in kind if x != a):
+                            swapped = text.replace(sentence, re.sub(rf"\b{a}\b", b, sentence.lower()))
+                            want.add((frozenset(own(text) - own(swapped)), frozenset(own(swapped) - own(text))))
+        assert want <= got[k]
+        put = [x for x in got[k] if not x[0]]
+        assert len(put) >= 1 and len(got[k] - want) <= 2
+    assert len(terms.own) == sum(map(len, toxicity.IDENTITY)) and np.all(np.diff(terms.words.astype(float)) >= 0)
+
+
+def test_toxicity_cases(spark):
+    bad, good = "you idiot clown go away now", "the sea was calm and the day long"
+    docs = spark.createDataFrame([(k, bad if k % 2 else good, "x", "y") for k in range(60)] + [(500, "word " * 200_000 + bad, "x", "y"), (501, None, None, None), (500, good, "x", "y")], "doc_id long, text string, label string, place string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(k, k % 2) for k in range(9)] + [(7, 0), (8, None), (None, 1), (9, 5)], "doc_id long, toxic int")
+    out = toxicity.score(docs, labels)
+    assert out.count() == 63 and out.where("score is null or score < 0 or score > 1 or predicted <> cast(score >= 0.7 as int)").isEmpty()
+    assert out.where("doc_id < 60 and predicted <> doc_id % 2").isEmpty()
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and sorted(kept.where("doc_id >= 500").select("doc_id").collect()) == [(500,), (501,)]
+    assert toxicity.keep_clean(docs.limit(0), labels).isEmpty() and toxicity.keep_clean(docs, labels.limit(0)).count() == 63
+    gap = toxicity.swap_gap(docs, toxicity.fit(docs, labels)).first()
+    assert gap.n >= 60 and gap.most_gap < 0.05
+
+
 def test_language_held_out_accuracy(spark, docs):
     out = langid.identify(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     known = docs.where("lang is not null").select("doc_id", "lang")

@@ -2,13 +2,17 @@
 
 A logistic regression over words and word beginnings of labelled documents.
 Every labelled sentence with an identity term also counts with the term
-swapped for each other term of its kind, and the squared change of the score is
-added to the loss, so that naming a group does not make a text toxic.
+swapped for each other term of its kind; every labelled document also counts
+with a term put in and with that term swapped.  The squared changes of the
+score (before the sigmoid) are added to the loss, so that naming a group does
+not make a text toxic.  The words of a sentence around a term stand on both
+sides of a swap, so they need no template of their own.
 
 Features are chosen by their document counts under either label, over all
 labelled documents of the sample; the sample is the ``SAMPLE`` labelled
 documents that come first by a hash of their ids.  Identity terms always are
-features, so the penalty can work on them.
+features, so the penalty can work on them.  Equal swaps of all documents are
+counted together before they leave the executors.
 
 Defined cases: a null text is empty and is scored as the intercept alone;
 documents with a null or contradictory label are not learned from, documents
@@ -18,7 +22,6 @@ the share of toxic ones (0 with none at all); other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +46,7 @@ RIDGE = 1e-5
 FOLDS = 3
 HELD_OUT = 1
 
-# Identity terms by kind.
+# Identity terms by kind, English, German, French and Spanish.
 IDENTITY = (
     ("women", "men", "girls", "boys", "mothers", "fathers"),
     ("woman", "man", "girl", "boy", "mother", "father"),
@@ -53,6 +56,25 @@ IDENTITY = (
     ("gay", "straight", "lesbian", "bisexual", "heterosexual", "transgender", "queer"),
     ("immigrants", "refugees", "natives", "foreigners", "citizens"),
     ("deaf", "blind", "disabled", "elderly", "young", "old"),
+    ("frauen", "männer", "mädchen", "jungen", "mütter", "väter"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("muslimische", "christliche", "jüdische", "hinduistische", "buddhistische", "katholische"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische", "arabische"),
+    ("schwule", "lesbische", "bisexuelle", "heterosexuelle", "queere"),
+    ("einwanderer", "flüchtlinge", "einheimische", "ausländer", "bürger"),
+    ("gehörlose", "blinde", "behinderte", "junge", "alte"),
+    ("femmes", "hommes", "filles", "garçons", "mères", "pères"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels", "transgenres"),
+    ("immigrés", "réfugiés", "autochtones", "étrangers", "citoyens"),
+    ("sourds", "aveugles", "handicapés", "jeunes", "vieux"),
+    ("mujeres", "hombres", "chicas", "chicos", "madres", "padres"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+    ("gais", "lesbianas", "bisexuales", "heterosexuales", "transexuales"),
+    ("inmigrantes", "refugiados", "nativos", "extranjeros", "ciudadanos"),
+    ("sordos", "ciegos", "discapacitados", "jóvenes", "ancianos"),
 )
 
 _FEATURES = "label int, feature long"
@@ -83,15 +105,63 @@ def term_features(term: str) -> np.ndarray:
     return np.unique(features(part)[0])
 
 
-def _swaps(kinds) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-    """By word hash of a term: features lost and gained by each swap."""
-    table: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for kind in kinds:
-        own = {t: term_features(t) for t in kind}
-        for a, b in itertools.permutations(kind, 2):
-            whole = features(next(words(pa.array([a]), LETTERS_DIGITS)))[0][0]
-            table.setdefault(int(whole), []).append((own[a], own[b]))
-    return table
+class Terms:
+    """Identity terms by the hash of their word, their features, and the terms each is swapped for."""
+
+    def __init__(self, kinds=IDENTITY):
+        self.own: list[set[int]] = []
+        self.others: list[list[int]] = []
+        number: dict[int, int] = {}
+        for kind in kinds:
+            members = range(len(self.own), len(self.own) + len(kind))
+            for term, k in zip(kind, members, strict=True):
+                self.own.append(set(term_features(term).tolist()))
+                self.others.append([m for m in members if m != k])
+                part = next(words(pa.array([term]), LETTERS_DIGITS))
+                number.setdefault(int(features(part)[0][0]), k)
+        self.words = np.array(sorted(number), np.uint64)
+        self.numbers = np.array([number[int(h)] for h in self.words])
+        self.features = np.array(sorted({f for own in self.own for f in own}), np.uint64)
+
+    def counts(self, hashes: np.ndarray, owner: np.ndarray, documents: int) -> list[dict[int, int]]:
+        """How often each document has each feature that a term has."""
+        at = np.minimum(np.searchsorted(self.features, hashes), len(self.features) - 1)
+        hit = np.flatnonzero(self.features[at] == hashes)
+        out: list[dict[int, int]] = [{} for _ in range(documents)]
+        pairs, n = np.unique(owner[hit].astype(np.int64) * len(self.features) + at[hit], return_counts=True)
+        for pair, count in zip(pairs.tolist(), n.tolist(), strict=True):
+            out[pair // len(self.features)][int(self.features[pair % len(self.features)])] = count
+        return out
+
+    def pick(self, seed: int) -> tuple[int, int]:
+        """A term and one that it is swapped for."""
+        a = seed % len(self.own)
+        return a, self.others[a][seed // len(self.own) % len(self.others[a])]
+
+
+def swaps(part: Words, terms: Terms) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(document, features lost, features gained) of each counterfactual; what other words also give is not lost."""
+    hashes, owner = features(part)
+    n = len(part.start)
+    documents = part.last - part.first
+    counts = terms.counts(hashes, owner, documents)
+    at = np.minimum(np.searchsorted(terms.words, hashes[:n]), len(terms.words) - 1)
+    named = np.flatnonzero(terms.words[at] == hashes[:n])
+    ends = np.cumsum(np.isin(part.data, np.frombuffer(b".!?\n", np.uint8)))
+    said: dict[tuple[int, int, int], int] = {}
+    for i in named.tolist():  # a term's places in one sentence are swapped together
+        key = int(owner[i]), int(ends[part.start[i]]), int(terms.numbers[at[i]])
+        said[key] = said.get(key, 0) + 1
+    for (k, _, a), times in said.items():
+        for b in terms.others[a]:
+            lost = [f for f in terms.own[a] - terms.own[b] if counts[k].get(f, 0) <= times]
+            yield k, lost, [f for f in terms.own[b] - terms.own[a] if f not in counts[k]]
+    seeds = np.add.reduceat(np.append(hashes[:n], np.uint64(0)), np.minimum(part.edges[:-1], n)) if documents else []
+    for k in range(documents):
+        a, b = terms.pick(int(seeds[k]))
+        put = [f for f in terms.own[a] if f not in counts[k]]
+        yield k, [], put
+        yield k, put, [f for f in terms.own[b] if f not in counts[k]]
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,52 +206,61 @@ def found_features(keys: np.ndarray, part: Words) -> tuple[np.ndarray, np.ndarra
 
 
 def _encode(keys: np.ndarray):
-    """label, positions of its features, and for each swap of an identity term the positions lost and gained."""
-    swaps = _swaps(IDENTITY)
-    terms = np.array(sorted(swaps), np.uint64)
-
-    def positions(hashes: np.ndarray) -> list[int]:
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        return at[keys[at] == hashes].tolist()
+    """label and the positions of its features, of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: list[np.ndarray] = []
-            lost: list[list] = []
-            gained: list[list] = []
             for part in words(batch.column(0), LETTERS_DIGITS):
                 found, owner = found_features(keys, part)
-                named, by = found_features(terms, part)
                 cuts = np.searchsorted(owner, np.arange(part.last - part.first + 1))
-                for k in range(part.last - part.first):
-                    own.append(found[cuts[k] : cuts[k + 1]])
-                    pairs = [pair for term in named[by == k] for pair in swaps[int(terms[term])]]
-                    lost.append([positions(a) for a, _ in pairs])
-                    gained.append([positions(b) for _, b in pairs])
-            many = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(lost, many), pa.array(gained, many)], ["label", "own", "lost", "gained"])
+                own += [found[cuts[k] : cuts[k + 1]] for k in range(part.last - part.first)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(own, pa.list_(pa.int32()))], ["label", "place", "own"])
 
     return run
 
 
-def _fit(rows: list, keys: np.ndarray, penalty: float, ridge: float, steps: int = 1500) -> Model:
+def _count_swaps(keys: np.ndarray):
+    """Distinct swaps of a task, as positions of the features lost and gained, and how often each is."""
+
+    def positions(hashes: list[int]) -> tuple[int, ...]:
+        at = np.minimum(np.searchsorted(keys, np.array(hashes, np.uint64)), len(keys) - 1)
+        return tuple(sorted(at[keys[at] == np.array(hashes, np.uint64)].tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
+        for batch in batches:
+            seen: dict[tuple, int] = {}
+            for part in words(batch.column(0), LETTERS_DIGITS):
+                for _, lost, gained in swaps(part, terms):
+                    key = positions(lost), positions(gained)
+                    seen[key] = seen.get(key, 0) + 1
+            many = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen], many), pa.array([b for _, b in seen], many), pa.array(list(seen.values()), pa.int64())], ["lost", "gained", "n"])
+
+    return run
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists behind one another, and the number of each one's list."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    size = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, np.int64)
+    return np.asarray(lists.flatten(), np.int64), np.repeat(np.arange(len(lists)), size)
+
+
+def _fit(rows: pa.Table, swapped: pa.Table, keys: np.ndarray, penalty: float, ridge: float, steps: int = 1500) -> Model:
     """Gradient descent with momentum estimates (Adam) on label loss, counterfactual penalty and ridge."""
-    y = np.array([r["label"] for r in rows], float)
+    y = np.asarray(rows["label"], float)
     toxic = y.sum()
     if not 0 < toxic < len(y):
         share = min(max(toxic / max(len(y), 1), 1e-9), 1 - 1e-9)
         return Model(keys[:0], np.zeros(0), float(np.log(share / (1 - share))) if len(y) else -500.0)
-    at = np.concatenate([np.asarray(r["own"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
-    row = np.repeat(np.arange(len(rows)), [len(r["own"]) for r in rows])
+    at, row = _flat(rows["own"])
     # a swap's score change is the weights gained minus the weights lost
-    s_at, s_row, s_sign, n_swaps = [], [], [], 0
-    for r in rows:
-        for lost, gained in zip(r["lost"], r["gained"], strict=True):
-            s_at += [*lost, *gained]
-            s_row += [n_swaps] * (len(lost) + len(gained))
-            s_sign += [-1.0] * len(lost) + [1.0] * len(gained)
-            n_swaps += 1
-    s_at, s_row, s_sign = np.array(s_at, np.int64), np.array(s_row, np.int64), np.array(s_sign)
+    lost, lost_by = _flat(swapped["lost"])
+    gained, gained_by = _flat(swapped["gained"])
+    s_at, s_row, s_sign = np.concatenate((lost, gained)), np.concatenate((lost_by, gained_by)), np.repeat([-1.0, 1.0], [len(lost), len(gained)])
+    share = np.asarray(swapped["n"], float) / max(1, np.asarray(swapped["n"]).sum())
     each = np.where(y > 0, 0.5 / toxic, 0.5 / (len(y) - toxic))  # both labels weigh the same
     w, b = np.zeros(len(keys)), 0.0
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
@@ -189,9 +268,8 @@ def _fit(rows: list, keys: np.ndarray, penalty: float, ridge: float, steps: int
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[at], len(y)), -500, 500)))
         off = each * (p - y)
         gradient = np.append(np.bincount(at, off[row], len(keys)) + ridge * w, off.sum())
-        if n_swaps:
-            change = np.bincount(s_row, s_sign * w[s_at], n_swaps)
-            gradient[:-1] += 2 * penalty / n_swaps * np.bincount(s_at, s_sign * change[s_row], len(keys))
+        change = share * np.bincount(s_row, s_sign * w[s_at], len(share))
+        gradient[:-1] += 2 * penalty * np.bincount(s_at, s_sign * change[s_row], len(keys))
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -213,8 +291,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
     best = telling.orderBy(F.desc(F.abs(odds) * F.sqrt(F.col("bad") + F.col("good"))), "feature").limit(most).collect()
     named = [term_features(t) for kind in IDENTITY for t in kind]
     keys = np.unique(np.concatenate([np.array([r["feature"] for r in best], np.int64).view(np.uint64), *named]))
-    rows = texts.mapInArrow(_encode(keys), "label int, own array<int>, lost array<array<int>>, gained array<array<int>>").collect()
-    return _fit(sorted(rows, key=repr), keys, penalty, ridge)
+    rows = texts.withColumn("place", F.xxhash64("text", "label")).mapInArrow(_encode(keys), "label int, place long, own array<int>").toArrow().sort_by([("place", "ascending")])
+    # a task's rows are its distinct swaps: the terms' pairs, whatever the number of documents, but for features that a document has itself
+    counted = texts.mapInArrow(_count_swaps(keys), "lost array<int>, gained array<int>, n long").groupBy("lost", "gained").agg(F.sum("n").alias("n"))
+    return _fit(rows, counted.toArrow().sort_by([("n", "ascending")]), keys, penalty, ridge)
 
 
 def _score(model: Model, threshold: float):
@@ -226,6 +306,28 @@ def _score(model: Model, threshold: float):
     return run
 
 
+def swap_gap(docs: DataFrame, model: Model) -> DataFrame:
+    """n, mean_gap, most_gap: how far the scores of each document with a term put in and with another one are apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
+        weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+        squash = lambda raw: 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+        for batch in batches:
+            gaps = []
+            for part in words(batch.column(0), LETTERS_DIGITS):
+                found, owner = found_features(model.keys, part)
+                raw = model.intercept + np.bincount(owner, model.weights[found], part.last - part.first)
+                for k, lost, gained in swaps(part, terms):
+                    if lost:
+                        with_a, with_b = (raw[k] + sum(weight.get(f, 0.0) for f in put) for put in (lost, gained))
+                        gaps.append(abs(float(squash(with_b) - squash(with_a))))
+            yield pa.RecordBatch.from_arrays([pa.array(gaps, pa.float64())], ["gap"])
+
+    texts = id_and_text(docs).where("text is not null").select("text")
+    return texts.mapInArrow(run, "gap double").agg(F.count("*").alias("n"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("most_gap"))
+
+
 def learnable(frame: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     return frame.where(crc_mod(F.col("doc_id"), folds) != held_out)
 
