@@ -230,6 +230,39 @@ def test_toxicity_ignores_identity_swaps(spark):
     assert toxicity.score(docs.limit(0), labels).isEmpty()
 
 
+def test_html_ratios_decide():
+    body = "<p>The text, of some length, goes on here. And on, as texts do; it has sentences.</p>" * 3
+    text = "\n".join(["The text, of some length, goes on here. And on, as texts do; it has sentences."] * 3)
+    menu = "".join(f"<a href=/{k}>Item {k}</a> " for k in range(9))
+    # nothing says what is what but the ratios
+    assert html.main_text(f"<body><div>{menu}</div><div><h1>Title</h1>{body}<ul><li>One</ul>{body}</div><div>All rights to me</div></body>") == f"Title\n{text}\nOne\n{text}"
+    assert html.main_text(f"<body><div>{menu}</div><div>{body}</div></body>", 0.0) != text
+    # a teaser article does not hide the text beside it, nor join the article that holds it
+    teaser = "<article><h3>More</h3><p>Short words</p></article>"
+    assert html.main_text(f"<div><div>{teaser}{teaser}</div><div><div>{body}</div></div></div>") == text
+    assert html.main_text(f"<main><article><h1>Title</h1>{body}<p>End</p></article>{teaser}</main>") == f"Title\n{text}\nEnd"
+    # names: an article may be open to comments, an addition counts by its own ratios
+    assert html.main_text(f"<main><article class='post comments-open'>{body}<div class=comments><p>Nice, is it not. I think so, too.</p></div></article></main>") == text
+    assert html.main_text(f"<article>{body}<div class=related>{body}</div><div class=related><a href=x>Other</a></div></article>") == f"{text}\n{text}"
+    # stray quotes are part of names
+    assert html.main_text(f"<article><p class=x'>It's raining. {body}</article>") == f"It's raining.\n{text}"
+    assert html.main_text(f"<article><p title=\"a > b\" x='<p>'>{body[3:]}</article>") == text
+
+
+def test_html_long_and_deep_pages(spark):
+    import time
+
+    began = time.time()
+    assert html.main_text("<div>" * 20_000 + "Deep text, is it. Yes") == "Deep text, is it. Yes"
+    assert html.main_text("<article>" + "<p>a b, c." * 100_000) == "\n".join(["a b, c."] * 100_000)
+    assert html.main_text("<article><ul>" + "<li>a b, c." * 50_000) == "\n".join(["a b, c."] * 50_000)
+    assert html.main_text('<a href="' * 50_000 + "<") is not None
+    assert time.time() - began < 30
+    rows = [(1, "u", "<p>One.</p>", "x", "y"), (1, "u", "<p>One.</p>", "x", "y"), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
+    assert sorted(map(tuple, html.extract(pages).collect()), key=repr) == [(1, "u", "One.", 4), (1, "u", "One.", 4), (None, None, "", 0)]
+
+
 def test_swaps_are_those_of_the_swapped_sentences():
     import numpy as np
     import pyarrow as pa

@@ -1,15 +1,19 @@
 """Main-content extraction by tag-path ratios.
 
-Text nodes are gathered by their root-to-leaf tag path.  Each path gets two
-ratios: characters a node and punctuation marks a node.  The ratios are
-smoothed over the paths in page order, fused with what the path's tags say
-(a boilerplate tag or class closes a path, an article opens it), and paths at
-or above a threshold are content.  Their text, block by block in page order,
-is the page's text.
+Text nodes are gathered by their root-to-leaf tag path; articles of a page are
+told apart.  Each path gets two ratios: characters a node and punctuation marks
+a node.  Their fusion, weighed by what the path's tags say (more inside an
+article or main element, less inside a block named as an addition, nothing
+inside boilerplate), is smoothed over the paths in page order.  Paths at or above a
+share of the page's best score are the core.  Content is the core, all else
+that a core article or a core path's own container holds, and what lies between
+core paths in their common container, headings before them included.  The text of content nodes, block by
+block in page order, is the page's text.
 
 Defined cases: null and empty html give the empty text; unclosed, crossed and
 cut-off tags are taken as browsers do, as far as block structure goes; text
-outside any element is content of the root path; repeated rows and ids give
+outside any element is of the root path; pages of any length and depth are read
+whole; paths of equal score are content together; repeated rows and ids give
 rows of their own; an empty table gives no rows; other columns are ignored.
 """
 
@@ -18,16 +22,21 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A path is content from this share of the page's best score on.
-THRESHOLD = 0.35
+#: A path is of the core from this share of the page's best score on.
+THRESHOLD = 0.25
 #: Weights of a path and its neighbours in page order.
-SMOOTH = (0.25, 0.5, 0.25)
+SMOOTH = (0.1, 0.8, 0.1)
+#: What the tags say: weight inside an article or main element, and inside a block named as an addition.
+INSIDE, ADDITION = 3.0, 0.3
+#: Share of the core's characters that the common container of a page holds.
+COMMON = 0.8
 
 # Element names and words of class and id attributes.
 RAW = frozenset("script style noscript template svg iframe object textarea title xmp".split())
@@ -35,17 +44,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+_PEERS = {tag: {tag} | ({"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else set()) for tag in SELF_CLOSING}
 BOILERPLATE_TAGS = frozenset("head nav header footer aside form button select menu dialog search fieldset input".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements adsense banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus cookie cookies consent gdpr footer footnav header masthead menu nav navbar navigation newsletter notice notices pagination pager popup modal promo promos promoted related recommended share sharing sidebar sidenav skip social sponsor sponsored subscribe toolbar topbar widget login signup".split()
+    "ad ads adv advert adverts advertisement advertisements adsense banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus cookie cookies consent gdpr footer footnav header masthead menu nav navbar navigation newsletter notice notices pagination pager popup modal promo promos promoted sidebar sidenav skip sponsor sponsored subscribe toolbar topbar login signup".split()
 )
+# names of blocks that add to a text: they are content only if their own ratios say so
+ADDITION_WORDS = frozenset("related recommended share sharing social widget".split())
+TEXT_TAGS = INLINE | frozenset("p blockquote pre ul ol li dl dd dt table tbody thead tr td th figure figcaption h1 h2 h3 h4 h5 h6".split())
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # names that hold one of these say what else is on the page; headings of content are content
 BESIDE = frozenset("with without no not has".split())
 HEADINGS = frozenset("header masthead".split())
 CONTENT_TAGS = frozenset("article main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.S)
+# quotes count only behind '='
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)|([^<]+|<(?![a-zA-Z/!?]))|<", re.S)
 _MARKS = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?([a-z]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
@@ -63,37 +78,54 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def _is_named_boilerplate(tag: str, attributes: str, content: bool) -> bool:
-    """Whether a class or id says so: a whole name, or inside content also a part of one."""
+def _named(tag: str, attributes: str, content: bool) -> frozenset[str]:
+    """The words by which a class or id says what an element is: whole names, inside content also their parts."""
     if not attributes or tag in ("html", "body"):
-        return False
+        return frozenset()
+    found: set[str] = set()
     for name in " ".join(a or b or c for a, b, c in _MARKS.findall(attributes)).lower().split():
-        parts = re.split("[_-]+", name) if content else [name]
-        if BESIDE.isdisjoint(parts) and any(part in BOILERPLATE_WORDS and not (content and part in HEADINGS) for part in parts):
-            return True
-    return False
+        parts = re.split("[_-]+", name) if content and tag not in CONTENT_TAGS else [name]
+        if BESIDE.isdisjoint(parts):
+            found.update(part for part in parts if not (content and part in HEADINGS))
+    return frozenset(found)
+
+
+@dataclass
+class Page:
+    """Paths by number: the one around each, its tag, its innermost article or main; and the text nodes in page order."""
+
+    around: list[int]
+    tags: list[str]
+    homes: list[int]  # the innermost article or main that a path lies in or is, 0 for none
+    nodes: list[tuple[int, int, str, bool, int]]  # path, block, text, inside an addition, number of the element that its block of text lies in
 
 
-def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
-    """(tag path, block number, text, inside content tag, inside boilerplate) of each text node."""
-    # an open element: (tag, path, is content, is boilerplate, number of the innermost one around that a class or id closes)
-    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, 0)]
-    nodes: list[tuple[str, int, str, bool, bool, int]] = []
+def parse(page: str) -> Page:
+    """The text nodes of a page outside boilerplate."""
+    around, tags, homes = [0], [""], [0]
+    number: dict[tuple[int, str], int] = {}
+    # an open element: (tag, path, is boilerplate, number of the innermost one around that a class or id closes, is an addition, box)
+    stack: list[tuple[str, int, bool, int, bool, int]] = [("", 0, False, 0, False, 0)]
+    boxes = 0
+    depth: dict[str, int] = {}  # how many elements of a name are open
+    nodes: list[tuple[int, int, str, bool, bool, int, int]] = []
     outer = [0]  # of each closed element the one around it
     opened = [False]  # closed by its name but holds an article
     block = 0
     at, end = 0, len(page)
+
+    def close(k: int) -> None:
+        for element in stack[k:]:
+            depth[element[0]] -= 1
+        del stack[k:]
+
     while at < end:
         token = _TOKEN.match(page, at)
-        if token is None:  # a stray quote in a tag that never ends
-            token_end = page.find(">", at)
-            at = end if token_end < 0 else token_end + 1
-            continue
         at = token.end()
         closing, tag, attributes, text = token.groups()
         if text is not None:
-            _, path, content, boilerplate, closed = stack[-1]
-            nodes.append((path, block, entities.unescape(text), content, boilerplate, closed))
+            _, path, boilerplate, closed, added, box = stack[-1]
+            nodes.append((path, block, text, boilerplate, added, closed, box))
             continue
         if tag is None:
             continue
@@ -101,78 +133,131 @@ def text_nodes(page: str) -> list[tuple[str, int, str, bool, bool]]:
         if tag not in INLINE:
             block += 1
         if tag == "br":
-            nodes.append((stack[-1][1], block, " ", *stack[-1][2:]))
+            _, path, boilerplate, closed, added, box = stack[-1]
+            nodes.append((path, block, " ", boilerplate, added, closed, box))
         elif closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            if depth.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        close(k)
+                        break
+                    if tag in INLINE and stack[k][0] not in INLINE:
+                        break
         elif tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
-            at = close.end() if close else end
+            closes = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
+            at = closes.end() if closes else end
         elif tag not in VOID:
-            names = [x[0] for x in stack]
-            if tag in CLOSES_P and "p" in names:
-                del stack[names.index("p") :]
-            if tag in SELF_CLOSING:
+            if tag in CLOSES_P and depth.get("p"):
+                k = len(stack) - 1
+                while depth["p"]:
+                    if stack[k][0] == "p":
+                        close(k)
+                    k -= 1
+            if tag in SELF_CLOSING and any(depth.get(x) for x in _PEERS[tag]):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in SELF_CLOSING[tag]:
                         break
-                    if stack[k][0] == tag or {stack[k][0], tag} == {"dd", "dt"} or {stack[k][0], tag} == {"td", "th"}:
-                        del stack[k:]
+                    if stack[k][0] in _PEERS[tag]:
+                        close(k)
                         break
-            _, path, content, boilerplate, closed = stack[-1]
+            _, path, boilerplate, closed, added, box = stack[-1]
+            content = bool(homes[path])
             boilerplate = boilerplate or (_is_boilerplate(tag, attributes) and not (tag == "header" and content))
-            named = not boilerplate and _is_named_boilerplate(tag, attributes, content)
-            if tag in CONTENT_TAGS and not boilerplate and not named:
-                around = closed
-                while around and not opened[around]:
-                    opened[around] = True
-                    around = outer[around]
-            if named:
+            names = frozenset() if boilerplate else _named(tag, attributes, content)
+            added = added or not names.isdisjoint(ADDITION_WORDS)
+            # an element that is an article has a path of its own
+            key = (path, f"{tag} {len(tags)}" if tag == "article" else tag)
+            if key not in number:
+                number[key] = len(tags)
+                around.append(path)
+                tags.append(tag)
+                homes.append(len(tags) - 1 if tag in CONTENT_TAGS else homes[path])
+            if not names.isdisjoint(BOILERPLATE_WORDS):
                 outer.append(closed)
                 opened.append(False)
                 closed = len(outer) - 1
-            stack.append((tag, f"{path}/{tag}", content or tag in CONTENT_TAGS, boilerplate, closed))
+            elif tag in CONTENT_TAGS and not boilerplate:
+                wrapper = closed
+                while wrapper and not opened[wrapper]:
+                    opened[wrapper] = True
+                    wrapper = outer[wrapper]
+            if tag not in TEXT_TAGS:
+                boxes += 1
+                box = boxes
+            stack.append((tag, number[key], boilerplate, closed, added, box))
+            depth[tag] = depth.get(tag, 0) + 1
     shut = [False]
     for k in range(1, len(outer)):
         shut.append(shut[outer[k]] or not opened[k])
-    return [(path, n, text, content, boilerplate or shut[closed]) for path, n, text, content, boilerplate, closed in nodes]
+    return Page(around, tags, homes, [(path, n, entities.unescape(text), added, box) for path, n, text, boilerplate, added, closed, box in nodes if not (boilerplate or shut[closed])])
 
 
-def content_paths(nodes: list[tuple[str, int, str, bool, bool]], threshold: float = THRESHOLD) -> set[tuple[str, bool, bool]]:
-    """The paths whose smoothed and fused ratios reach the threshold."""
-    sums: dict[tuple[str, bool, bool], list[int]] = {}
-    for path, _, text, content, boilerplate in nodes:
-        if text.strip():
-            entry = sums.setdefault((path, content, boilerplate), [0, 0, 0])
+def scores(page: Page) -> dict[tuple[int, bool], float]:
+    """The fused, weighed and smoothed ratio of each path with text, in page order."""
+    sums: dict[tuple[int, bool], list[int]] = {}
+    for path, _, text, added, _ in page.nodes:
+        if stripped := text.strip():
+            entry = sums.setdefault((path, added), [0, 0, 0])
             entry[0] += 1
-            entry[1] += len(text.strip())
-            entry[2] += len(_PUNCTUATION.findall(text))
+            entry[1] += len(stripped)
+            entry[2] += len(_PUNCTUATION.findall(stripped))
     if not sums:
-        return set()
+        return {}
     table = np.array(list(sums.values()), float)
-    ratios = table[:, 1:] / table[:, :1]
-    wide = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
-    smooth = sum(w * wide[k : k + len(ratios)] for k, w in enumerate(SMOOTH))
-    fused = np.log1p(smooth[:, 0]) * (1 + np.log1p(smooth[:, 1]))
-    has_content = any(content and not boilerplate for _, content, boilerplate in sums)
-    keys = list(sums)
-    # what tags say: nothing scores beside an article, and all that an article holds scores fully
-    says = np.array([0.0 if boilerplate or (has_content and not content) else 1.0 for _, content, boilerplate in keys])
-    score = fused * says
-    best = score.max()
-    return {key for key, s in zip(keys, score, strict=True) if s > 0 and (key[1] or s >= threshold * best)}
-
-
-def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
-    nodes = text_nodes(page or "")
-    chosen = content_paths(nodes, threshold)
+    fused = table[:, 1] / table[:, 0] * (1 + table[:, 2] / table[:, 0])
+    says = [(INSIDE if page.homes[path] else 1.0) * (ADDITION if added else 1.0) for path, added in sums]
+    wide = np.pad(fused * says, 1, mode="edge")
+    smooth = sum(w * wide[k : k + len(fused)] for k, w in enumerate(SMOOTH))
+    return dict(zip(sums, smooth.tolist(), strict=True))
+
+
+def _common(page: Page, size: dict[int, int]) -> int:
+    """The deepest path that holds most of the core's characters and is no block of text itself."""
+    total = sum(size.values())
+    held = dict(size)
+    # a path's number is higher than that of the path around it
+    for path in range(len(page.tags) - 1, 0, -1):
+        if path in held:
+            held[page.around[path]] = held.get(page.around[path], 0) + held[path]
+    top = max(path for path, n in held.items() if n >= COMMON * total)
+    while top and page.tags[top] in TEXT_TAGS:
+        top = page.around[top]
+    return top
+
+
+def content_nodes(page: Page, threshold: float = THRESHOLD) -> list[bool]:
+    """Which text nodes are content."""
+    score = scores(page)
+    best = max(score.values(), default=0.0)
+    core = {key for key, s in score.items() if s >= threshold * best}
+    in_core = [(path, added) in core for path, _, _, added, _ in page.nodes]
+    size: dict[int, int] = {}
+    for (path, _, text, _, _), chosen in zip(page.nodes, in_core, strict=True):
+        if chosen:
+            size[path] = size.get(path, 0) + len(text.strip())
+    if not core:
+        return in_core
+    homes = {page.homes[path] for path, _ in core} - {0}
+    first = in_core.index(True)
+    last = len(in_core) - 1 - in_core[::-1].index(True)
+    top = _common(page, size)
+    under = [False] * len(page.tags)
+    heading = [False] * len(page.tags)
+    for path in range(len(page.tags)):
+        under[path] = path == top or (path > 0 and under[page.around[path]])
+        heading[path] = page.tags[path] in HEADING_TAGS or (path > 0 and heading[page.around[path]])
+    boxes = {box for (_, _, text, _, box), chosen in zip(page.nodes, in_core, strict=True) if chosen and text.strip()}
+    return [
+        chosen or (not added and (page.homes[path] in homes or box in boxes or (under[path] and (first < k < last or (k < first and heading[path])))))
+        for k, ((path, _, _, added, box), chosen) in enumerate(zip(page.nodes, in_core, strict=True))
+    ]
+
+
+def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
+    page = parse(html or "")
     blocks: dict[int, list[str]] = {}
-    for path, block, text, content, boilerplate in nodes:
-        if (path, content, boilerplate) in chosen:
+    for (_, block, text, _, _), chosen in zip(page.nodes, content_nodes(page, threshold), strict=True):
+        if chosen:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(line for line in lines if line)
