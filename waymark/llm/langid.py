@@ -11,7 +11,8 @@ length.  The recursion goes along a word in steps of ``STEP`` bytes and carries
 the sums of the last bytes, as many as the longest piece has.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
-documents with null language or text are not learned from; ties go to the
+documents with null language or text are not learned from, nor are languages
+beyond the ``LANGUAGES`` most frequent; ties go to the
 language that comes first; without any labelled document every text is
 ``und``; repeated rows are judged row by row; other columns are ignored.
 """
@@ -33,6 +34,8 @@ from .kernels import NOT_SPACE, Words, powers, words
 
 #: Documents of each language that are learned from, about (chosen by a hash of their ids).
 SAMPLE = 3000
+#: Most languages that are learned, those with most documents; a number for each piece and language goes to the driver.
+LANGUAGES = 256
 #: Bytes of a word between two scalings of its sums.
 STEP = 24
 ROUNDS = 3
@@ -310,27 +313,28 @@ def _expect(model: Model):
     return run
 
 
-def fit(docs: DataFrame, ranks_path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, ranks_path: str, sample: int = SAMPLE, rounds: int = ROUNDS, languages: int = LANGUAGES) -> Model:
     """A model of docs(doc_id, text, lang); the caller chooses what may be learned from."""
     pieces = load_pieces(ranks_path)
     rows = id_and_text(docs, F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    languages = sorted(sizes)
-    if not languages:
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    rows = rows.where(F.col("lang").isin(list(sizes)))
+    names = sorted(sizes)
+    if not names:
         return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k]))))[F.col("lang")]
+    share = F.create_map(*(F.lit(x) for k in names for x in (k, min(1.0, sample / sizes[k]))))[F.col("lang")]
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     counts = cut(chosen.select("text", "lang").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     length = np.array([len(x) for x in pieces])
     start = np.append(1e-3 ** np.minimum(length, 3) / len(pieces), 0)  # any start that prefers no language
-    p = np.repeat(start[:, None] / start.sum(), len(languages), 1)
+    p = np.repeat(start[:, None] / start.sum(), len(names), 1)
     for _ in range(rounds):
-        got = counts.mapInArrow(_expect(Model(pieces, languages, p)), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-        total = np.zeros((len(pieces) + 1, len(languages)))
+        got = counts.mapInArrow(_expect(Model(pieces, names, p)), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        total = np.zeros((len(pieces) + 1, len(names)))
         total[got["piece"], got["lang"]] = got["n"]
         total[:-1] += SMOOTHING
         p = total / total.sum(0)
-    return Model(pieces, languages, p)
+    return Model(pieces, names, p)
 
 
 def _predict(model: Model):
