@@ -5,10 +5,12 @@ one class, and classes are joined.  Two classes link when their Jaccard
 similarity reaches the threshold; every candidate is verified on whole sets.
 
 Elements have one global order, rare before common, so two linked sets share
-an element among their first few.  Small sets enumerate the pairs (subsets of
-two) of their prefix, which are far rarer than single elements; large sets scan
-the inverted lists of their single prefix elements.  The boundary is the size
-at which enumerating costs as much as scanning, from counts over all classes.
+an element among their first few, and two elements among one more.  Small sets
+enumerate the pairs (subsets of two) of those first elements that other sets
+share, which are far rarer than single elements; large sets scan the inverted
+lists of their single elements.  The boundary is the size up to which
+enumerating costs less than scanning: subset rows against the pairs that meet
+in inverted lists, counted over all classes of every size.
 
 A group of near copies is not expanded into its pairs.  First each inverted
 list links its members to its most central member; the exact round then looks
@@ -47,8 +49,8 @@ THRESHOLD = Fraction(4, 5)
 #: Counters of the rarity table: 2 MB once it is quantised.
 COUNTERS = 1 << 21
 _CHUNK = 1 << 14
-#: Largest set that may enumerate subsets.
-SMALL = 32
+#: What a subset row costs, in pairs that meet in an inverted list.
+SUBSET_PRICE = 1.0
 #: Class keys that are broadcast to pick the sets to verify (16 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
 
@@ -127,7 +129,7 @@ def _prefixes(size: int, threshold: Fraction, rarity: np.ndarray):
             for elements in shingle_sets(batch.column(0), size):
                 n = len(elements)
                 if n:
-                    keep = _prefix_size(n, threshold, 2 if n <= SMALL else 1)
+                    keep = _prefix_size(n, threshold, 2)
                     for column, value in zip(out, (*digest(elements), n, _ordered(elements, rarity)[:keep]), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int64()))], ["d1", "d2", "n", "keys"])
@@ -197,9 +199,10 @@ def _similar(threshold: Fraction):
 class JaccardJoin:
     """The join of one document table; ``components`` is its result."""
 
-    def __init__(self, docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD, counters: int = COUNTERS, broadcast_classes: int = BROADCAST_CLASSES):
+    def __init__(self, docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD, counters: int = COUNTERS, broadcast_classes: int = BROADCAST_CLASSES, subset_price: float = SUBSET_PRICE):
         self.docs, self.size, self.threshold = id_and_text(docs), size, threshold
-        self.counters, self.broadcast_classes = counters, broadcast_classes
+        self.counters, self.broadcast_classes, self.subset_price = counters, broadcast_classes, subset_price
+        self.boundary: int | None = None  # the largest small set, once it is chosen
 
     def _classes(self, counts: DataFrame) -> DataFrame:
         """cid, d1, d2, n, keys of each distinct non-empty set."""
@@ -215,28 +218,39 @@ class JaccardJoin:
         up, down = self.threshold.numerator, self.threshold.denominator
         return F.least(F.col("n"), F.col("n") - F.expr(f"(n * {up} + {down - 1}) div {down}") + shared).cast("int")
 
+    def _boundary(self, shared: DataFrame) -> int:
+        """The size up to which subsets cost less than lists, from (cid, n, pos, members, single) of shared elements.
+
+        Sizes beyond 256 are taken together in steps of a sixteenth of their logarithm, so the driver gets few rows.
+        """
+        step = F.when(F.col("n") <= 256, F.col("n")).otherwise(F.ceil(F.exp(F.ceil(F.log2("n") * 16) / 16 * F.log(F.lit(2.0)))))
+        each = shared.groupBy("cid", "n").agg(F.count("*").alias("k"), F.sum(F.when(F.col("single"), F.col("members") - 1).otherwise(0)).alias("met"))
+        by_size = each.groupBy(step.cast("long").alias("step")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("subsets"), F.sum(F.col("met") / 2).alias("pairs"))
+        best, boundary, saved = 0.0, 0, 0.0
+        for step, subsets, pairs in sorted(map(tuple, by_size.collect())):
+            saved += pairs - self.subset_price * subsets
+            if saved >= best:
+                best, boundary = saved, step
+        return boundary
+
     def _postings(self, classes: DataFrame) -> DataFrame:
         """key, cid, n, pos, small, subset: members of the inverted lists that have several members."""
-        singles = classes.select("cid", "n", F.posexplode(F.slice("keys", 1, self._prefix_column(1))).alias("pos", "key"))
-        shared = singles.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        singles = cut(singles.join(shared, "key"))
-
-        small = f"n <= {SMALL}"
-        sizes = {r["n"]: r["c"] for r in classes.where(small).groupBy("n").agg(F.count("*").alias("c")).collect()}
-        scans = {r["n"]: r["c"] for r in singles.where(small).groupBy("n").agg(F.sum("members").alias("c")).collect()}
-        subsets = {n: c * (p := _prefix_size(n, self.threshold, 2)) * (p - 1) // 2 for n, c in sizes.items()}
-        cost = [sum(c for n, c in subsets.items() if n <= x) + sum(c for n, c in scans.items() if n > x) for x in range(SMALL + 1)]
-        boundary = cost.index(min(cost))
+        firsts = classes.select("cid", "n", F.posexplode("keys").alias("pos", "key")).withColumn("single", F.col("pos") < self._prefix_column(1))
+        lists = firsts.groupBy("key").agg(F.count("*").alias("all"), F.count(F.when(F.col("single"), 1)).alias("members")).where("all > 1")
+        shared = cut(firsts.join(lists.drop("all"), "key"))
+        self.boundary = boundary = self._boundary(shared)
 
         # a small set still scans for large ones that it may link with
         bridge = int((boundary + 1) * self.threshold)
-        lists = singles.where(F.col("n") >= bridge).select("key", "cid", "n", "pos", (F.col("n") <= boundary).alias("small"), F.lit(False).alias("subset"))
-        if boundary:
-            keys = classes.where(F.col("n") <= boundary).select("cid", "n", F.slice("keys", 1, self._prefix_column(2)).alias("k"))
-            pairs = keys.select("cid", "n", F.expr("explode(flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> xxhash64(x, y)))))").alias("key")).distinct()
-            repeated = pairs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-            lists = lists.unionByName(cut(pairs.join(repeated, "key", "left_semi")).select("key", "cid", "n", F.lit(0).alias("pos"), F.lit(True).alias("small"), F.lit(True).alias("subset")))
-        return lists
+        singles = shared.where("single and members > 1").where(F.col("n") >= bridge).select("key", "cid", "n", "pos", (F.col("n") <= boundary).alias("small"), F.lit(False).alias("subset"))
+        if not boundary:
+            return singles
+        # a set's first elements are few, a fifth of it and one
+        keys = shared.where(F.col("n") <= boundary).groupBy("cid", "n").agg(F.array_sort(F.collect_set("key")).alias("k"))
+        pairs = keys.select("cid", "n", F.expr("explode(flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> xxhash64(x, y)))))").alias("key"))
+        repeated = pairs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+        subsets = cut(pairs.join(repeated, "key", "left_semi").select("key", "cid", "n", F.lit(0).alias("pos"), F.lit(True).alias("small"), F.lit(True).alias("subset")).distinct())
+        return singles.unionByName(subsets)
 
     def _may_link(self, a: str, b: str):
         """Size and position bounds of a pair, and the route by which the pair is looked for."""
