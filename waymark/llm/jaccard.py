@@ -245,11 +245,12 @@ class JaccardJoin:
         singles = shared.where("single and members > 1").where(F.col("n") >= bridge).select("key", "cid", "n", "pos", (F.col("n") <= boundary).alias("small"), F.lit(False).alias("subset"))
         if not boundary:
             return singles
-        # a set's first elements are few, a fifth of it and one
-        keys = shared.where(F.col("n") <= boundary).groupBy("cid", "n").agg(F.array_sort(F.collect_set("key")).alias("k"))
-        pairs = keys.select("cid", "n", F.expr("explode(flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> xxhash64(x, y)))))").alias("key"))
+        # a set's first elements are few, a fifth of it and one; of the first two that a link shares the second is at most one further
+        keys = shared.where(F.col("n") <= boundary).groupBy("cid", "n").agg(F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("k"))
+        each = keys.select("cid", "n", F.expr("explode(flatten(transform(k, (x, i) -> transform(slice(k, i + 2, size(k)), y -> struct(xxhash64(x.key, y.key) as key, y.pos - 1 as pos)))))").alias("p"))
+        pairs = each.groupBy("cid", "n", F.col("p.key").alias("key")).agg(F.min("p.pos").alias("pos"))
         repeated = pairs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-        subsets = cut(pairs.join(repeated, "key", "left_semi").select("key", "cid", "n", F.lit(0).alias("pos"), F.lit(True).alias("small"), F.lit(True).alias("subset")).distinct())
+        subsets = cut(pairs.join(repeated, "key", "left_semi").select("key", "cid", "n", "pos", F.lit(True).alias("small"), F.lit(True).alias("subset")))
         return singles.unionByName(subsets)
 
     def _may_link(self, a: str, b: str):
@@ -257,7 +258,7 @@ class JaccardJoin:
         up, down = self.threshold.numerator, self.threshold.denominator
         sizes = f"{down} * least({a}.n, {b}.n) >= {up} * greatest({a}.n, {b}.n)"
         need = f"(({up} * ({a}.n + {b}.n) + {up + down - 1}) div {up + down})"
-        places = f"({a}.subset or ({a}.pos <= {a}.n - {need} and {b}.pos <= {b}.n - {need}))"
+        places = f"({a}.pos <= {a}.n - {need} and {b}.pos <= {b}.n - {need})"
         return F.expr(f"{a}.subset = {b}.subset and ({a}.subset or not ({a}.small and {b}.small)) and {sizes} and {places}")
 
     def _verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -313,7 +314,7 @@ class JaccardJoin:
         x, g = labelled.alias("x"), groups.alias("g")
         best = f"{down} * g.most_n >= {up} * x.n and {down} * x.n >= {up} * g.least_n"
         need = f"(({up} * (x.n + greatest(g.least_n, ({up} * x.n) div {down})) + {up + down - 1}) div {up + down})"
-        fits = f"x.key = g.key and x.subset = g.subset and x.component < g.component and (x.subset or not (x.small and g.small)) and {best} and (x.subset or (x.pos <= x.n - {need} and g.pos <= g.most_n - {need}))"
+        fits = f"x.key = g.key and x.subset = g.subset and x.component < g.component and (x.subset or not (x.small and g.small)) and {best} and x.pos <= x.n - {need} and g.pos <= g.most_n - {need}"
         across = x.join(g, F.expr(fits)).select("x.*", F.col("g.component").alias("other"), F.col("g.small").alias("other_small"))
         x, y = across.alias("x"), labelled.alias("y")
         met = x.join(y, F.expr("x.key = y.key and x.other = y.component and x.other_small = y.small") & self._may_link("x", "y"))
