@@ -52,22 +52,22 @@ def test_jaccard_components(docs):
     want = sorted(((i, len(s), min((x for x in least[root(k)] if x is not None), default=None) if s else i) for k, (i, s) in enumerate(sets)), key=repr)
     # the broadcast and the shuffle give the same, as do lists alone, subsets alone and a boundary between
     boundaries = {}
-    for classes, price in ((1_000_000, 1.0), (0, 1.0), (1_000_000, 0.0), (1_000_000, 1e9)):
+    for classes, price in ((1_000_000, 64.0), (0, 1.0), (1_000_000, 0.0), (1_000_000, 1e9)):
         join = jaccard.JaccardJoin(docs, broadcast_classes=classes, subset_price=price)
         assert sorted((tuple(r) for r in join.components().collect()), key=repr) == want
         boundaries[price] = join.boundary
-    assert boundaries[1e9] <= boundaries[1.0] <= boundaries[0.0] and boundaries[1e9] < boundaries[0.0]
+    assert boundaries[1e9] <= boundaries[64.0] <= boundaries[1.0] <= boundaries[0.0] and boundaries[1e9] < boundaries[0.0]
 
 
 def test_boundary_by_cost(spark):
     """Many short near copies of one text are dearer to scan than to enumerate; long texts that share little are not."""
-    short = [" ".join([*(f"s{j}" for j in range(30)), f"x{k}"]) for k in range(300)]
+    short = [" ".join([*(f"s{j}" for j in range(30)), f"x{k}"]) for k in range(1200)]
     long = [" ".join(["the same passage of seven words here", *(f"l{k}n{j}" for j in range(300))]) for k in range(40)]
     texts = short + long + [" ".join(long[0].split()[:-3])]
     join = jaccard.JaccardJoin(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = {r.doc_id: r.component_id for r in join.components().collect()}
-    assert 27 <= join.boundary < 300
-    assert got == {k: 0 for k in range(300)} | {k: k for k in range(300, 340)} | {340: 300}
+    assert 27 <= join.boundary < 290
+    assert got == {k: 0 for k in range(1200)} | {k: k for k in range(1200, 1240)} | {1240: 1200}
 
 
 def test_one_of_each_group_stays(spark):
