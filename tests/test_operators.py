@@ -1,22 +1,31 @@
 import pytest
 
 from waymark.functions import geo, text
-from waymark.operators import graph, sequences
+from waymark.operators import graph, motion, sequences
 from pyspark.sql import functions as F
 
 
-def test_jump_filter_rules(spark):
-    fixes = [("a", 0, 0.0, 0.0, 0.0), ("a", 1, 1.0, 500.0, 0.0), ("a", 2, 2.0, 1.0, 0.0), ("a", 3, 60.0, 900.0, 0.0), ("b", 0, 0.0, 5.0, 5.0)]
-    fixes += [("c", 0, 0.0, 0.0, 0.0)] + [("c", k, float(k), 400.0, 0.0) for k in range(1, 8)]
-    out = sequences.filter_jumps(spark.createDataFrame(fixes, "key string, seq long, t double, x double, y double")).collect()
-    got = {(r.key, r.seq): r.accepted for r in out}
-    want, state, last = {}, None, None
-    for key, seq, t, x, y in sorted(fixes, key=lambda f: (f[0], f[2], f[1])):
-        state, want[key, seq] = sequences.jump_filter_step(state if key == last else None, t, x, y)
-        last = key
-    assert got == want
-    assert not got["a", 1] and got["a", 3]  # a jump, and a fix after a gap
-    assert [got["c", k] for k in range(8)] == [True] + [False] * 5 + [True, True]  # gives in after five rejects
+def test_jump_filter_rules():
+    def fold(rows):
+        state, out = None, []
+        for row in rows:
+            state, told = motion.GPS_JUMP.step(state, row)
+            out.append(told)
+        return out
+
+    jump = fold([(0, 0.0, 0.0, True), (1000, 500.0, 0.0, True), (2000, 1.0, 0.0, True), (60_000, 900.0, 0.0, True)])
+    assert [a for a, _ in jump] == [True, False, True, True]  # a jump goes, a fix after a gap stays
+    assert fold([(0, 0.0, 0.0, True)] + [(k * 1000, 400.0, 0.0, True) for k in range(1, 6)]) == [(True, False)] + [(False, False)] * 4 + [(True, True)]  # the fifth reject is taken
+    assert fold([(0, 0.0, 0.0, True), (1000, 900.0, 0.0, True), (18_000, 900.0, 0.0, True)])[1:] == [(False, False), (True, True)]  # a gap does not hide that it gave in
+    assert fold([(0, 0.0, 0.0, True), (1000, 900.0, 0.0, False), (1000, None, 0.0, True)])[1:] == [(True, False), (False, False)]
+
+
+def test_places_over_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("v")).repartition(7)
+    got = {r.k: r.place for r in sequences.numbered(rows, F.asc_nulls_last("v"), "k").collect()}
+    want = sorted(((r.v is None, r.v or 0, r.k) for r in rows.collect()))
+    assert got == {k: n for n, (_, _, k) in enumerate(want, 1)}
+    assert sequences.numbered(rows.limit(0), "k").isEmpty()
 
 
 def test_reach_takes_length_of_the_cheapest_path(spark):

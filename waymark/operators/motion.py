@@ -239,3 +239,90 @@ def _trail(state, row):
 
 #: A trail's parts: jumps begin a new one, and points where the last kept one is drop.
 TRAIL = Kernel("x double, y double", "x double, y double, part long", "part long, kept boolean", _trail)
+
+# Fixed values of the jump filter: metres and metres a second that a walker can explain, rejects and ms after which it gives in, ms without a fix that say nothing.
+SLACK_M, SPEED_M_S, REJECTS, GIVES_IN_MS, SILENT_MS = 15.0, 3.5, 5, 10_000, 15_000
+
+
+def _jump(state, row):
+    """State: the accepted fix, fixes rejected since, and the time of the first of them."""
+    ms, x, y, walking = row
+    if ms is None or x is None or y is None:
+        return state or (None, None, None, 0, None), (False, False)
+    accept = lambda gave_in: ((ms, x, y, 0, None), (True, gave_in))
+    if not walking or state is None or state[0] is None:
+        return accept(False)
+    last, x0, y0, rejects, since = state
+    passed = max(0, ms - last)
+    if (rejects == 0 and passed > SILENT_MS) or math.hypot(x - x0, y - y0) <= SLACK_M + SPEED_M_S * passed / 1000.0:
+        return accept(False)
+    since = ms if since is None else since
+    if rejects + 1 >= REJECTS or ms - since >= GIVES_IN_MS:
+        return accept(True)
+    return (last, x0, y0, rejects + 1, since), (False, False)
+
+
+#: Fixes that a walker can have made; a row of rejects, the last one counted, ends the filter's trust in the accepted fix.
+GPS_JUMP = Kernel("ms long, x double, y double, walking boolean", "ms long, x double, y double, rejects long, since long", "accepted boolean, gave_in boolean", _jump)
+
+# Fixed values of shown progress in metres: slack and metres a step that explain a jump, and how far back it may go unconfirmed.
+JUMP_SLACK_M, STEP_M, FREE_BACK_M = 3.0, 1.2, 2.0
+
+
+def _progress(state, row):
+    travelled, steps, reverse = row
+    if travelled is None:
+        return state or (None, None), ("none", state[0] if state else None)
+    if state is not None and state[0] is not None:
+        at, at_steps = state
+        if at_steps is not None and steps is not None and abs(travelled - at) > JUMP_SLACK_M + max(0, steps - at_steps) * STEP_M:
+            return state, ("jump", at)
+        if at - travelled > FREE_BACK_M and not reverse:
+            return state, ("back", at)
+    return (travelled, steps), ("shown", travelled)
+
+
+#: Progress along a route as shown: what steps cannot explain is held, as is going back until a reverse walk is confirmed.
+PROGRESS = Kernel("travelled double, steps long, reverse boolean", "travelled double, steps long", "verdict string, shown double", _progress)
+
+#: Fixed value: metres by which another entrance must be nearer to replace the held one.
+SWITCH_M = 15.0
+
+
+def _entrance(state, row):
+    x, y, door, door_x, door_y = row
+    if x is None or y is None or door is None:
+        return state or (None, None, None), (state[0] if state else None,)
+    best = door, door_x, door_y
+    if state is None or state[0] is None or state[0] == door:
+        return best, (door,)
+    nearer = math.hypot(x - state[1], y - state[2]) - math.hypot(x - door_x, y - door_y)
+    return (best, (door,)) if nearer > SWITCH_M else (state, (state[0],))
+
+
+#: The entrance that is used: the nearest, once it is nearer by a margin than the held one.
+ENTRANCE = Kernel("x double, y double, door long, door_x double, door_y double", "door long, x double, y double", "used long", _entrance)
+
+
+def smoothed(keep: float) -> Kernel:
+    """An exponential mean that keeps this much of what it was; missing values keep it."""
+
+    def step(state, row):
+        (value,) = row
+        if value is None:
+            return state or (None,), (state[0] if state else None,)
+        now = value if state is None or state[0] is None else keep * state[0] + (1 - keep) * value
+        return (now,), (now,)
+
+    return Kernel("value double", "mean double", "mean double", step)
+
+
+def sent_after(ms: int) -> Kernel:
+    """Whether a sample is sent: the first, then with this much time since the last one sent."""
+
+    def step(state, row):
+        (at,) = row
+        send = state is None or state[0] is None or at - state[0] >= ms
+        return ((at,) if send else state), (send,)
+
+    return Kernel("ms long", "at long", "sent boolean", step)

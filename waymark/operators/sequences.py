@@ -1,13 +1,12 @@
-"""Ordered-sequence operators: as-of, gaps, intervals, deltas, keyed state."""
+"""Ordered-sequence operators: as-of, gaps, intervals, deltas, places."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.durable import cut
+
 
 def merged_intervals(spans: DataFrame, key: str) -> DataFrame:
     """key, start, end with overlapping and touching spans of a key merged."""
@@ -36,41 +35,18 @@ def counter_delta(value: Column, window) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), value - F.lag(value).over(window)), F.lit(0.0))
 
 
-# Fixed values of the GPS jump filter.
-SLACK_M, SPEED_M_S, REJECTS, SURRENDER_S, GAP_S = 15.0, 3.5, 5, 10.0, 15.0
-
-
-def jump_filter_step(state: tuple | None, t: float, x: float, y: float) -> tuple[tuple, bool]:
-    """State (t, x, y, rejects, first reject) after a fix, and whether it is accepted."""
-    if state is None or t - state[0] > GAP_S:
-        return (t, x, y, 0, None), True
-    t0, x0, y0, rejects, since = state
-    if ((x - x0) ** 2 + (y - y0) ** 2) ** 0.5 <= SLACK_M + SPEED_M_S * max(0.0, t - t0):
-        return (t, x, y, 0, None), True
-    since = t if since is None else since
-    if rejects + 1 > REJECTS or t - since >= SURRENDER_S:
-        return (t, x, y, 0, None), True
-    return (t0, x0, y0, rejects + 1, since), False
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with place, from 1, in a total order over all of them.
 
-
-def filter_jumps(fixes: DataFrame) -> DataFrame:
-    """fixes(key, seq, t, x, y) with accepted.
-
-    Rows of a key are sorted by Spark and pass through a task as a stream, so
-    that no key is held whole: the state of one key is five numbers.
+    Rows are sorted over ranges; a row's place is its place in its range and the rows of the ranges before,
+    so no task sees all rows.
     """
-    columns = ["key", "seq", "t", "x", "y"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.key != key:
-                    key, state = row.key, None
-                state, accepted = jump_filter_step(state, row.t, row.x, row.y)
-                out.append(accepted)
-            yield frame.assign(accepted=out)
-
-    ordered = fixes.select(*columns).repartition("key").sortWithinPartitions("key", "t", "seq")
-    return ordered.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in fixes.select(*columns).dtypes) + ", accepted boolean")
+    at = cut(rows.orderBy(*order)).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    sizes = sorted(map(tuple, at.groupBy(part.alias("part")).agg(F.count("*")).collect()))  # a row for each range
+    before, total = [], 0
+    for k, n in sizes:
+        before += [F.lit(k), F.lit(total)]
+        total += n
+    offset = F.create_map(*before)[part] if before else F.lit(0)
+    return at.withColumn("place", (offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_at")

@@ -29,9 +29,9 @@ TIMED = SAMPLES.replace("value from events", "value, epoch_us(ts) // 40000000 as
 ORDERED = TIMED + ", o as (select *, row_number() over (partition by session order by seq) as rn from samples)"
 
 
-def folded(first: str, next_: str, told: str) -> str:
-    """SQL that carries a state s from each session's row to the next."""
-    return f"""with recursive {ORDERED}, r as (select session, seq, rn, {first} as s from o where rn = 1
+def folded(first: str, next_: str, told: str, rows: str = ORDERED) -> str:
+    """SQL that carries a state s from each session's row o to the next."""
+    return f"""with recursive {rows}, r as (select session, seq, rn, {first} as s from o where rn = 1
   union all select o.session, o.seq, o.rn, {next_} from r join o on o.session = r.session and o.rn = r.rn + 1) select session, seq, {told} from r"""
 
 
@@ -227,25 +227,59 @@ def trail_segments(spark, d):
     return stateful.replay(rows, "session", "seq", motion.TRAIL)
 
 
-@query(None)
+_STRIDES = ORDERED.replace("select *, row_number()", """select *, seq % 5 as more, sum(seq % 5) over w as steps, case when kind = 'purchase' then sum(seq % 5 * 0.7::double) over w end as metres,
+  case when kind = 'view' then 1.8::double end as cadence, case when kind = 'view' then 0.5 + value / 100 end as pace, row_number()""").replace("as rn from samples)", "as rn from samples window w as (partition by session order by seq rows between unbounded preceding and current row))")
+_STRIDE = """(select case when v.more <= 0 then {'a': z.a, 'l': case when v.metres is not null then v.steps else z.l end, 'm': coalesce(v.metres, z.m), 'w': z.w, 's': 'none'}
+  else {'a': least(1.2, greatest(0.35, z.a + (least(z.a * 1.2, greatest(z.a * 0.8, coalesce(v.d, v.c, 0.7))) - z.a) * case when z.w < 10 then 0.45 else 0.2 end)),
+    'l': case when v.metres is not null then v.steps else z.l end, 'm': coalesce(v.metres, z.m), 'w': z.w + v.more, 's': case when v.d is not null then 'distance' when v.c is not null then 'cadence' else 'fixed' end} end
+  from (select Z as z, {'more': o.more, 'steps': o.steps, 'metres': o.metres,
+    'd': (select case when d between 0.35 and 1.2 then d end from (select case when o.metres is null then null when ZM is null then case when o.steps = o.more and o.metres > 0 then o.metres / nullif(o.more, 0) end
+      when o.steps - ZL <> o.more or o.metres <= ZM then null else (o.metres - ZM) / nullif(o.more, 0) end as d)),
+    'c': (select case when c between 0.35 and 1.2 then c end from (select 1 / (o.pace * o.cadence) as c))} as v))"""
+
+
+@query(folded(_STRIDE.replace("ZM", "null::double").replace("ZL", "null::hugeint").replace("Z as z", "{'a': 0.7::double, 'l': null::hugeint, 'm': null::double, 'w': 0::bigint} as z"), _STRIDE.replace("ZM", "s.m").replace("ZL", "s.l").replace("Z as z", "s as z"), "round(s.a, 6) as stride, s.s as source", _STRIDES))
 def stride_estimates(spark, d):
-    """Strides from distance, else cadence and pace; see the tests of its rules."""
+    """Strides from distance, else cadence and pace."""
     more, metres = F.col("seq") % 5, F.when(F.col("kind") == "purchase", F.sum(F.col("seq") % 5 * 0.7).over(_so_far()))
     rows = _rows(spark, d).select("session", "seq", F.sum(more).over(_so_far()).alias("steps"), more.alias("more"), metres.alias("metres"), F.when(F.col("kind") == "view", 1.8).alias("cadence"), F.when(F.col("kind") == "view", 0.5 + F.col("value") / 100).alias("pace"))
     return stateful.replay(rows, "session", "seq", motion.STRIDE).withColumn("stride", F.round("stride", 6))
 
 
-@query(None)
+_RELATION = "case o.kind when 'view' then 'reverse' when 'click' then 'forward' when 'error' then 'off' end"
+_TURNS = f"""(select case when r is null then z when r = 'off' then {{'n': 'off', 'c': 0::bigint, 'm': 0.0::double}} when z.n = r or z.n = (case r when 'forward' then 'reverse' else 'forward' end) || '?' then {{'n': r, 'c': 0::bigint, 'm': 0.0::double}}
+  when z.n = r || '?' then case when z.c >= 2 and z.m + d >= 1.2 then {{'n': r, 'c': 0::bigint, 'm': 0.0::double}} else {{'n': z.n, 'c': z.c + 1, 'm': z.m + d}} end else {{'n': r || '?', 'c': 1::bigint, 'm': d}} end
+  from (select Z as z, {_RELATION} as r, abs(o.value / 20) as d))"""
+
+
+@query(folded(_TURNS.replace("Z as z", "{'n': 'forward', 'c': 0::bigint, 'm': 0.0::double} as z"), _TURNS.replace("Z as z", "s as z"), "s.n as direction"))
 def travel_direction(spark, d):
-    """Directions along a route, confirmed by distinct steps; see the tests of its rules."""
+    """Directions along a route, confirmed by distinct steps."""
     relation = F.when(F.col("kind") == "view", "reverse").when(F.col("kind") == "click", "forward").when(F.col("kind") == "error", "off").otherwise("unclear")
     rows = _rows(spark, d).select("session", "seq", F.col("seq").alias("peak"), relation.alias("relation"), (F.col("value") / 20).alias("metres"))
     return stateful.replay(rows, "session", "seq", motion.DIRECTION)
 
 
-@query(None)
+_NODES = ORDERED.replace("select *, row_number()", "select *, ((value - lag(value) over w + 180) % 360 + 360) % 360 - 180 as turn, seq % 3 + 1 as ways, sum(value / 10) over (partition by session order by seq rows between unbounded preceding and current row) as metres, row_number()").replace("as rn from samples)", "as rn from samples window w as (partition by session order by seq))")
+_CHECK = "(select {'l': case when k is null then z.l else o.metres end, 'k': k} from (select Z as z, case when abs(o.turn) between 35 and 150 then 'turn' when abs(o.turn) <= 20 and o.ways = 2 and o.metres - ZL >= 9 then 'straight' end as k))"
+
+
+@query(folded(_CHECK.replace("ZL", "0").replace("Z as z", "{'l': 0.0::double} as z"), _CHECK.replace("ZL", "s.l").replace("Z as z", "s as z"), "s.k as kind", _NODES))
 def route_checkpoints(spark, d):
-    """Turns and spaced straight nodes along each track; see the tests of its rules."""
+    """Turns and spaced straight nodes along each track."""
     at = F.sum(F.col("value") / 10).over(_so_far())
     rows = _rows(spark, d).select("session", "seq", geo.turn_degrees(F.lag("value").over(_by()), F.col("value")).alias("turn"), (F.col("seq") % 3 + 1).alias("ways"), at.alias("metres"))
     return stateful.replay(rows, "session", "seq", motion.CHECKPOINTS)
+
+
+_FIXES = """(select case when o.kind = 'error' or z is null or (z.r = 0 and dt > 15000) or d <= 15 + 3.5 * dt / 1000 then {'t': o.tick, 'x': x, 'y': y, 'r': 0, 'f': null::bigint, 'k': true, 'g': false}
+  when z.r + 1 >= 5 or o.tick - coalesce(z.f, o.tick) >= 10000 then {'t': o.tick, 'x': x, 'y': y, 'r': 0, 'f': null::bigint, 'k': true, 'g': true}
+  else {'t': z.t, 'x': z.x, 'y': z.y, 'r': z.r + 1, 'f': coalesce(z.f, o.tick), 'k': false, 'g': false} end
+  from (select s as z, o.value as x, o.value * 3 % 50 as y, greatest(0, o.tick - s.t) as dt, sqrt((o.value - s.x) ** 2 + (o.value * 3 % 50 - s.y) ** 2) as d))"""
+
+
+@query(folded("{'t': tick, 'x': value, 'y': value * 3 % 50, 'r': 0, 'f': null::bigint, 'k': true, 'g': false}", _FIXES, "s.k as accepted, s.g as gave_in"))
+def gps_jump_filter(spark, d):
+    """Fixes that a walker can have made; others count while not walking."""
+    rows = _rows(spark, d).select("session", "seq", F.col("tick").alias("ms"), F.col("value").alias("x"), (F.col("value") * 3 % 50).alias("y"), (F.col("kind") != "error").alias("walking"))
+    return stateful.replay(rows, "session", "seq", motion.GPS_JUMP)

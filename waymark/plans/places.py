@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import text
-from waymark.operators import calendar, search
-from waymark.plans.queries import POINTS, STORES, query
+from waymark.operators import calendar, search, sequences
+from waymark.plans.queries import HANGUL, POINTS, STORES, query
 from waymark.sources import tables as t
 
 GROUPS = STORES + """, groups as (select regexp_replace(lower(name), '[^0-9a-z가-힣ㄱ-ㆎ]', '', 'g') as key, min(id) as first_id from stores group by key)"""
-KOREAN = ("스타벅스", "스타벅스 리저브", "신탁", "오설록", "나이키 라이즈", "나이키", "스튜디오", "ABC마트")
 
 
 def _hits(q: str) -> str:
@@ -41,22 +40,22 @@ def suggest_correction(spark, d):
     return search.suggest(_groups(spark, d), "bluw")
 
 
-_LETTERS = "with w(id, key) as (values " + ", ".join(f"({i}, '{w.lower().replace(' ', '')}')" for i, w in enumerate(KOREAN)) + """),
+_LETTERS = f"""with {HANGUL}, w as (select regexp_replace(lower(name), '[^0-9a-z가-힣ㄱ-ㆎ]', '', 'g') as key, min(id) as id from hangul group by key),
 c as (select id, key, i, key[i] as ch, unicode(key[i]) - 44032 as n from w, unnest(range(1, length(key) + 1)) as u(i)),
-l as (select id, key, string_agg(case when n between 0 and 11171 then 'ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ'[n // 588 + 1] else ch end, '' order by i) as initials from c group by all)"""
+l as (select id, key, string_agg(case when n between 0 and 11171 then '{text.LEADS}'[n // 588 + 1] else ch end, '' order by i) as initials from c group by all)"""
 
 
-@query(f"{_LETTERS} select key, id::bigint as first_id, 0 as rank_in_kind, 1 as kind from l where starts_with(initials, 'ㅅㅌ') order by length(key), id limit 8")
+@query(f"{_LETTERS} select key, id as first_id, 0 as rank_in_kind, 1 as kind from l where starts_with(initials, 'ㅅㅌ') order by length(key), id limit 8")
 def suggest_initials(spark, d):
     """Names by the first letters of their syllables."""
-    names = spark.createDataFrame(list(enumerate(KOREAN)), "id long, name string")
-    return search.suggest(search.name_groups(names), "ㅅㅌ")
+    return search.suggest(search.name_groups(t.hangul_names(spark, d)), "ㅅㅌ")
 
 
-@query(f"{_LETTERS} select key, id::bigint as first_id from l where starts_with(key, '나이키') and key <> '나이키'")
+@query(f"{_LETTERS.replace("from hangul group", "from (select * from hangul union all select 1, '나이키') group")}, s as (select key, id from l where starts_with(key, '나이키') order by length(key), id limit 8) select key, id as first_id from s where key <> '나이키' and exists (select 1 from s where key = '나이키')")
 def name_siblings(spark, d):
-    """What the suggestions hold besides the name that a search confirmed."""
-    names = spark.createDataFrame(list(enumerate(KOREAN)), "id long, name string")
+    """What the suggestions hold besides the name that a search confirmed; nothing where they do not hold it."""
+    names = t.hangul_names(spark, d)
+    names = names.unionByName(names.where("id = 1").select("id", F.lit("나이키").alias("name")))
     return search.siblings(search.suggest(search.name_groups(names), "나이"), "나이키").select("key", "first_id")
 
 
@@ -150,12 +149,13 @@ def diary_counts(spark, d):
     return t.table(spark, d, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_orderpriority").alias("diary")).agg(F.count("*").alias("n"))
 
 
-@query("""select o_orderkey as id, row_number() over (order by o_orderdate + to_days((o_orderkey % 30)::int), o_custkey % 3 <> 0, o_orderkey)::bigint as place from orders qualify place <= 50""")
+@query("""select o_orderkey as id, row_number() over (order by o_orderdate + to_days((o_orderkey % 30)::int), o_custkey % 3 <> 0, o_orderkey)::bigint as place from orders
+  where o_orderdate::date <= date '1996-06-01' and (o_orderdate + to_days((o_orderkey % 30)::int))::date >= date '1996-06-01'""")
 def events_order(spark, d):
-    """The fifty events that end first: those with a way to them before others, then by key."""
+    """Events open on a day, those that end first at first, those with a way to them before others, then by key."""
     end = F.expr("o_orderdate + make_dt_interval(cast(o_orderkey % 30 as int))")
-    first = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), end.alias("end"), (F.col("o_custkey") % 3 != 0).alias("far")).orderBy("end", "far", "id").limit(50)
-    return first.select("id", F.row_number().over(Window.orderBy("end", "far", "id")).cast("long").alias("place"))
+    events = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("start"), end.alias("end"), (F.col("o_custkey") % 3 != 0).alias("far"))
+    return sequences.numbered(events.where("start <= date'1996-06-01' and to_date(end) >= date'1996-06-01'"), "end", "far", "id").select("id", "place")
 
 
 @query("""with e as (select o_orderkey as id, o_custkey as customer, o_orderstatus as status from orders)

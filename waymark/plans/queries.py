@@ -26,6 +26,7 @@ best as (select node, min({'c': cost, 'l': length}) as m from walk group by node
 STORES = "stores as (select p_partkey as id, p_name as name, split_part(p_type, ' ', 1) as category, p_brand as subcategory, (p_size % 5)::int as floor, p_partkey % 30 as node from part)"
 POINTS = "points as (select vec_id as id, embedding[1]::double * 100 as x, embedding[2]::double * 100 as y from embeddings where embedding is not null)"
 SAMPLES = "samples as (select user_id as session, event_id as seq, epoch_us(ts) // 1000 as ms, event_type as kind, value from events)"
+HANGUL = "hangul as (select p_partkey as id, ([" + ", ".join(f"'{w}'" for w in t.BRANDS) + "])[(p_partkey % 8 + 1)::int] || ' ' || chr((44032 + p_partkey * 37 % 11172)::int) || p_size as name from part)"
 
 
 def query(sql: str | None):
@@ -54,12 +55,11 @@ def reach_single_source(spark, d):
     return _reach(spark, d)
 
 
-@query(f"with recursive {REACH}, {STORES} select s.id, r.length, row_number() over (order by r.length nulls last, s.id)::bigint as place from stores s left join reach r using (node) qualify place <= 100")
+@query(f"with recursive {REACH}, {STORES} select s.id, r.length, row_number() over (order by r.length nulls last, s.id)::bigint as place from stores s left join reach r using (node)")
 def search_order_by_reach(spark, d):
-    """Stores by walking distance, unknown distances last; the first hundred places."""
-    ranked = t.stores(spark, d).join(_reach(spark, d), "node", "left").orderBy(F.asc_nulls_last("length"), "id").limit(100)
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("length"), "id")).cast("long")
-    return ranked.select("id", "length", place.alias("place"))
+    """All stores by walking distance, unknown distances last."""
+    found = t.stores(spark, d).join(F.broadcast(_reach(spark, d)), "node", "left").select("id", "length")  # one building's nodes
+    return sequences.numbered(found, F.asc_nulls_last("length"), "id")
 
 
 @query(f"with {EDGES}, ends as (select source as node from edges where not transfer union all select target from edges where not transfer) select node, count(*) as degree from ends group by node")
@@ -103,16 +103,13 @@ def store_name_groups(spark, d):
     return t.stores(spark, d).groupBy(text.match_key(F.col("name")).alias("key")).agg(F.min("id").alias("first_id"), F.count("*").alias("members"), F.min_by("name", "id").alias("name"))
 
 
-_WORDS = ("스타벅스", "오설록", "ㅅㅌ", "값진 닭", "abc 1층")
-
-
-@query("""with w(word) as (values ('스타벅스'), ('오설록'), ('ㅅㅌ'), ('값진 닭'), ('abc 1층')), c as (select word, i, word[i] as ch, unicode(word[i]) - 44032 as n from w, unnest(range(1, length(word) + 1)) as u(i)),
-j as (select word, i, case when n between 0 and 11171 then 'ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ'[n // 588 + 1] else ch end as lead,
-  case when n between 0 and 11171 then 'ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ'[n // 588 + 1] || 'ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ'[n % 588 // 28 + 1] || case when n % 28 > 0 then 'ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ'[n % 28] else '' end else ch end as jamo from c)
-select word, string_agg(jamo, '' order by i) as jamo, string_agg(lead, '' order by i) as initials from j group by word""")
+@query(f"""with {HANGUL}, c as (select id, name, i, name[i] as ch, unicode(name[i]) - 44032 as n from hangul, unnest(range(1, length(name) + 1)) as u(i)),
+  j as (select id, i, case when n between 0 and 11171 then '{text.LEADS}'[n // 588 + 1] else ch end as lead,
+  case when n between 0 and 11171 then '{text.LEADS}'[n // 588 + 1] || '{text.VOWELS}'[n % 588 // 28 + 1] || case when n % 28 > 0 then '{text.TAILS}'[n % 28] else '' end else ch end as jamo from c)
+  select id, string_agg(jamo, '' order by i) as jamo, string_agg(lead, '' order by i) as initials from j group by id""")
 def jamo_forms(spark, d):
-    words = spark.createDataFrame([(w,) for w in _WORDS], "word string")
-    return words.select("word", text.jamo(F.col("word")).alias("jamo"), text.initials(F.col("word")).alias("initials"))
+    """Every store's Hangul name as letters and as initials."""
+    return t.hangul_names(spark, d).select("id", text.jamo(F.col("name")).alias("jamo"), text.initials(F.col("name")).alias("initials"))
 
 
 @query(f"with {STORES}, m as (select id, name, contains(replace(lower(name), ' ', ''), 'widgetred') as hit from stores) select id, name from m where hit or not exists (select 1 from m where hit)")
@@ -251,10 +248,3 @@ def pressure_altitude(spark, d):
 @query(f"with {SAMPLES}, m as (select seq, round(value * 13) as whole from samples) select seq, case when whole >= 1000 then format('{{:.1f}}km', floor(whole / 100) / 10) else whole::bigint || 'm' end as label from m")
 def distance_label(spark, d):
     return t.samples(spark, d).select("seq", geo.distance_label(F.col("value") * 13).alias("label"))
-
-
-@query(None)
-def gps_jump_filter(spark, d):
-    """Fixes that a walker can have made; see the brute-force test."""
-    fixes = t.samples(spark, d).select(F.col("session").alias("key"), "seq", (F.col("ms") / 60000.0).alias("t"), F.col("value").alias("x"), (F.col("value") * 3 % 50).alias("y"))
-    return sequences.filter_jumps(fixes).select("key", "seq", "accepted")

@@ -42,6 +42,20 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Names that stores are given in Hangul.
+BRANDS = ("스타벅스", "스타벅스 리저브", "신탁", "오설록", "나이키 라이즈", "나이키", "스튜디오", "ABC마트")
+
+
+def hangul_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name: every part's name as a brand, a syllable and its size."""
+    key = F.col("p_partkey")
+    code = F.lit(0xAC00) + key * 37 % 11172
+    # a syllable's three bytes in UTF-8
+    syllable = F.decode(F.unhex(F.concat(F.hex(0xE0 + F.shiftright(code, 12)), F.hex(0x80 + F.shiftright(code, 6).bitwiseAND(F.lit(63))), F.hex(0x80 + code.bitwiseAND(F.lit(63))))), "UTF-8")
+    brand = F.element_at(F.array(*map(F.lit, BRANDS)), (key % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(key.alias("id"), F.concat(brand, F.lit(" "), syllable, F.col("p_size").cast("string")).alias("name"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, x, y: the first two components of each embedding, in metres."""
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
