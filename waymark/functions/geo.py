@@ -133,3 +133,31 @@ def guidance_metres(metres: Column) -> Column:
     """Rounded to 5 m below 50 m and to 10 m from there; one unit at least."""
     unit = F.when(metres < 50, 5).otherwise(10)
     return F.greatest(unit, F.round(metres / unit) * unit).cast("int")
+
+
+def project(lat: Column, lng: Column, lat0: Column, lng0: Column) -> tuple[Column, Column]:
+    """Metres east and north of a reference."""
+    return (lng - lng0) * F.cos(F.radians(lat0)) * METRES_PER_DEGREE, (lat - lat0) * METRES_PER_DEGREE
+
+
+def unproject(east: Column, north: Column, lat0: Column, lng0: Column) -> tuple[Column, Column]:
+    """The place so many metres east and north of a reference."""
+    return lat0 + north / METRES_PER_DEGREE, lng0 + east / (F.cos(F.radians(lat0)) * METRES_PER_DEGREE)
+
+
+def similarity_sums() -> list[Column]:
+    """Sums over pairs (x, y) and (u, v) that ``similarity`` needs."""
+    c = F.covar_pop
+    return [
+        (F.var_pop("x") + F.var_pop("y")).alias("a"), (F.var_pop("u") + F.var_pop("v")).alias("b"),
+        (c("x", "u") + c("y", "v")).alias("p"), (c("x", "v") - c("y", "u")).alias("q"), (c("x", "u") - c("y", "v")).alias("fp"), (c("x", "v") + c("y", "u")).alias("fq"),
+    ]
+
+
+def similarity(col) -> dict[str, Column]:
+    """mirrored, scale, angle and rms of the rotation or mirror that takes (x, y) nearest to (u, v)."""
+    turned, flipped = col("p") * col("p") + col("q") * col("q"), col("fp") * col("fp") + col("fq") * col("fq")
+    mirrored = flipped > turned
+    angle = F.when(mirrored, F.atan2(col("fq"), col("fp"))).otherwise(F.atan2(col("q"), col("p")))
+    best = F.greatest(turned, flipped)
+    return {"mirrored": mirrored.alias("mirrored"), "scale": F.sqrt(best) / col("a"), "angle": F.degrees(angle), "rms": F.sqrt(F.greatest(F.lit(0.0), col("b") - best / col("a")))}

@@ -64,3 +64,14 @@ def floor_rank(label: Column) -> Column:
     """B3 is -3, 2F is 2, anything else 0."""
     down, up = F.regexp_extract(label, r"^[Bb](\d+)", 1), F.regexp_extract(label, r"^(\d+)", 1)
     return F.when(down != "", -down.cast("int")).when(up != "", up.cast("int")).otherwise(0)
+
+
+# Fixed value: how escalator nodes are named.
+ESCALATOR = r"(?i)^(.*?)-\s*(UP|DN|DOWN)\s*\(\s*(TO|FR)\s*([A-Za-z0-9]+)\s*\)$"
+
+
+def escalator_name(name: Column) -> Column:
+    """(bank, way, arrives, floor) of an escalator's node name; null for other names."""
+    part = lambda k: F.regexp_extract(name, ESCALATOR, k)
+    told = F.struct(F.trim(part(1)).alias("bank"), F.when(F.upper(part(2)) == "UP", "up").otherwise("down").alias("way"), (F.upper(part(3)) == "TO").alias("arrives"), part(4).alias("floor"))
+    return F.when(part(2) != "", told)
