@@ -161,3 +161,35 @@ def similarity(col) -> dict[str, Column]:
     angle = F.when(mirrored, F.atan2(col("fq"), col("fp"))).otherwise(F.atan2(col("q"), col("p")))
     best = F.greatest(turned, flipped)
     return {"mirrored": mirrored.alias("mirrored"), "scale": F.sqrt(best) / col("a"), "angle": F.degrees(angle), "rms": F.sqrt(F.greatest(F.lit(0.0), col("b") - best / col("a")))}
+
+
+# Fixed values in metres: accuracies that let a fix tell inside and outside, how far inside and outside it must be, and how much a footprint may be too small.
+INSIDE_ACCURACY, OUTSIDE_ACCURACY, INSIDE_BY, OUTSIDE_BY, TOLERANCE = 20.0, 30.0, 5.0, 8.0, 6.0
+
+
+def building_verdict(accuracy: Column, outside: Column, depth: Column) -> Column:
+    """inside, outside or unclear, from a fix's accuracy and its distance outside a footprint or depth inside it; unclear without a footprint."""
+    inner = F.when(outside > 0, F.greatest(F.lit(0.0), TOLERANCE - outside)).otherwise(depth + TOLERANCE)
+    told = F.when((accuracy <= INSIDE_ACCURACY) & (inner >= INSIDE_BY), "inside").when((accuracy <= OUTSIDE_ACCURACY) & (outside - TOLERANCE >= OUTSIDE_BY), "outside")
+    return F.coalesce(told, F.lit("unclear"))
+
+
+def axes(a: Column, b: Column, d: Column, e: Column) -> tuple[Column, Column, Column, Column]:
+    """(ux, uy, vx, vy): unit axes of the map (a b; d e), the second made upright to the first, so scale and shear are gone."""
+    first = F.hypot(a, d)
+    ux, uy = a / first, d / first
+    along = b * ux + e * uy
+    wx, wy = b - along * ux, e - along * uy
+    second = F.hypot(wx, wy)
+    return ux, uy, wx / second, wy / second
+
+
+def between(metres: Column, step: float) -> Column:
+    """Fractions of a length at which points part it evenly into pieces of at most a step."""
+    n = F.greatest(F.lit(0), F.ceil(metres / step).cast("int") - 1)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: i / (n + 1))).otherwise(F.array().cast("array<double>"))
+
+
+def strong_turn(turn: Column, before: Column, after: Column) -> Column:
+    """Whether a turn is told: 35 to 150 degrees between pieces of 1.5 m at least."""
+    return F.coalesce(F.abs(turn).between(35, 150) & (before >= 1.5) & (after >= 1.5), F.lit(False))

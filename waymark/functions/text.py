@@ -75,3 +75,35 @@ def escalator_name(name: Column) -> Column:
     part = lambda k: F.regexp_extract(name, ESCALATOR, k)
     told = F.struct(F.trim(part(1)).alias("bank"), F.when(F.upper(part(2)) == "UP", "up").otherwise("down").alias("way"), (F.upper(part(3)) == "TO").alias("arrives"), part(4).alias("floor"))
     return F.when(part(2) != "", told)
+
+
+def next_floor_rank(rank: Column, step: int) -> Column:
+    """The rank of the floor above (1) or below (-1); there is no floor 0, and none next to an unknown one."""
+    return F.when(rank == 0, None).when(rank + step == 0, rank + 2 * step).otherwise(rank + step)
+
+
+# What a guide says.
+SAYS = {"wrong way": "반대 방향입니다 · 뒤로 돌아가세요", "board escalator": "에스컬레이터를 탑승하세요", "board elevator": "엘리베이터를 탑승하세요", "arrived": "목적지에 도착했습니다", "floor change": "다음 층 이동 지점입니다"}
+ACTIONS = {"right": "우회전", "left": "좌회전", "escalator": "에스컬레이터 탑승", "elevator": "엘리베이터 탑승"}
+SOON, AFTER, STRAIGHT_ON = "잠시 후 ", "미터 후 ", "미터 직진"
+ARRIVAL_M, SOON_M = 5, 7
+
+
+def instruction(reverse: Column, remaining: Column, mode: Column, arrival: Column, turn: Column, turn_metres: Column, rounded) -> Column:
+    """(action, says) of a guide: a wrong way, then boarding or arrival, the next turn, the way to a transfer, straight on.
+
+    ``turn`` is the next told turn (null if none) and ``turn_metres`` its distance;
+    ``rounded`` is how metres are told.
+    """
+    told = lambda action, says: F.struct(F.lit(action).alias("action"), says.alias("says"))
+    way = lambda metres, word: F.when(metres <= SOON_M, F.concat(F.lit(SOON), word)).otherwise(F.concat(rounded(metres).cast("string"), F.lit(AFTER), word))
+    at_end = remaining <= ARRIVAL_M
+    side = lambda action: told(action, way(turn_metres, F.lit(ACTIONS[action])))
+    result = F.when(reverse, told("wrong way", F.lit(SAYS["wrong way"])))
+    for kind in ("escalator", "elevator"):
+        result = result.when(at_end & (mode == kind), told(kind, F.lit(SAYS["board " + kind])))
+    result = result.when(at_end & arrival, told("arrived", F.lit(SAYS["arrived"]))).when(at_end, told("straight", F.lit(SAYS["floor change"])))
+    result = result.when(turn > 0, side("right")).when(turn <= 0, side("left"))
+    for kind in ("escalator", "elevator"):
+        result = result.when(mode == kind, told(kind, way(remaining, F.lit(ACTIONS[kind]))))
+    return result.otherwise(told("straight", F.concat(rounded(remaining).cast("string"), F.lit(STRAIGHT_ON))))

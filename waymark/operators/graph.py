@@ -18,8 +18,8 @@ def checked_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("source", "target", "cost", "length").unionByName(back)
 
 
-def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """node, cost, length: least cost from the start nodes, and the length along that path; ties go to the shorter.
+def reach(edges: DataFrame, start: DataFrame, limit: float | None = None) -> DataFrame:
+    """node, cost, length: least cost from the start nodes, up to a limit, and the length along that path; ties go to the shorter.
 
     Label-correcting rounds: only nodes whose label fell in a round relax their
     edges in the next.  Every round is cut, so lineage stays short.
@@ -28,6 +28,7 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     moved = labels
     while not moved.isEmpty():
         offers = moved.join(edges, moved["node"] == edges["source"]).select(F.col("target").alias("node"), (moved["cost"] + edges["cost"]).alias("cost"), (moved["length"] + edges["length"]).alias("length"))
+        offers = offers if limit is None else offers.where(F.col("cost") <= limit)
         best = labels.withColumn("old", F.lit(True)).unionByName(offers.withColumn("old", F.lit(False)))
         best = cut(best.groupBy("node").agg(F.min(F.struct("cost", "length", (~F.col("old")).alias("new"))).alias("m")).select("node", "m.cost", "m.length", "m.new"))
         moved = best.where("new").drop("new")

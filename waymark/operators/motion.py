@@ -326,3 +326,23 @@ def sent_after(ms: int) -> Kernel:
         return ((at,) if send else state), (send,)
 
     return Kernel("ms long", "at long", "sent boolean", step)
+
+
+# Fixed values of altitudes: time constant in ms, how much of a difference the baseline follows, ms without a sample that begin anew.
+FAST_MS, FOLLOWS, ANEW_MS = 300.0, 0.02, 15_000
+
+
+def _altitude(state, row):
+    ms, metres = row
+    if ms is None or metres is None:
+        return state or (None, None, None), (None, None)
+    if state is None or state[0] is None or ms - state[0] > ANEW_MS:
+        return (ms, metres, metres), (metres, 0.0)
+    last, fast, base = state
+    fast += (metres - fast) * (1.0 - math.exp(-max(0, ms - last) / FAST_MS))
+    delta = fast - base
+    return (ms, fast, base + FOLLOWS * delta), (fast, delta)
+
+
+#: Altitude smoothed by time, and its rise over a baseline that follows the weather while nobody rides.
+ALTITUDE = Kernel("ms long, metres double", "ms long, fast double, base double", "fast double, delta double", _altitude)

@@ -1,6 +1,6 @@
 """All wayfinding queries and their SQL, in the order in which their modules register them."""
 
-from waymark.plans import guidance, motion, places, routes
+from waymark.plans import guidance, motion, places, routes, verdicts
 from waymark.plans.queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "guidance", "motion", "places", "routes"]
+__all__ = ["QUERIES", "SQL", "guidance", "motion", "places", "routes", "verdicts"]
