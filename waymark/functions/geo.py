@@ -193,3 +193,10 @@ def between(metres: Column, step: float) -> Column:
 def strong_turn(turn: Column, before: Column, after: Column) -> Column:
     """Whether a turn is told: 35 to 150 degrees between pieces of 1.5 m at least."""
     return F.coalesce(F.abs(turn).between(35, 150) & (before >= 1.5) & (after >= 1.5), F.lit(False))
+
+
+def polygon_width(ring: Column) -> Column:
+    """Metres from west to east of a ring of (lat, lng) structs, at its mean latitude; 0 below three vertices."""
+    lng = F.transform(ring, lambda p: p["lng"])
+    mean = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(ring)
+    return F.when(F.size(ring) < 3, 0.0).otherwise((F.array_max(lng) - F.array_min(lng)) * METRES_PER_DEGREE * F.cos(F.radians(mean)))
