@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, langid, licenses, packing, secrets, topk, toxicity, urlfilter
+from . import decontaminate, html, jaccard, langid, licenses, packing, secrets, sharding, topk, toxicity, urlfilter
 from .common import table
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,6 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = f"""
 with recursive dw as (select doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
 sh as (
@@ -136,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_decontamination": op10_decontamination,
+        "op13_sharding": op13_sharding,
     }
 
 
