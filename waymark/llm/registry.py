@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, langid, licenses, packing, secrets, sharding, topk, toxicity, urlfilter
+from . import decontaminate, divergence, html, jaccard, langid, licenses, packing, secrets, sharding, topk, toxicity, urlfilter
 from .common import table
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,6 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -127,6 +131,31 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from dw left join n_hit using (doc_id) left join items using (doc_id)
 """
 
+TERMS_SQL = r"regexp_extract_all(" + LOWER_SQL.format("coalesce(text, '')") + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r, {TERMS_SQL} as w from documents),
+g as (select distinct lang, source from d),
+t as (select lang, source, r, unnest(w) as term from d),
+kept as (select lang, term from t group by lang, term having count(distinct r) >= 10),
+v as (select lang, count(*)::hugeint as v from kept group by lang),
+c as (select lang, source, term, count(*)::hugeint as n from t join kept using (lang, term) group by all),
+each as (select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n from g join kept k using (lang) left join c using (lang, source, term)),
+total as (select lang, source, sum(n)::hugeint as total from each group by lang, source),
+share as (select lang, source, term, n, 1 + (1000000000 * (n + 2)) // (total + 2 * v) as p from each join total using (lang, source) join v using (lang)),
+whole as (select lang, term, 1 + (1000000000 * (sum(n)::hugeint + 2)) // (sum(sum(n)) over (partition by lang)::hugeint + 2 * any_value(v)) as q from c join v using (lang) group by lang, term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from share a join share b using (lang, term) where a.source <> b.source group by all),
+ranked as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b using (lang) left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source where a.source <> b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from share join whole using (lang, term) where n > 0 and p > q),
+numbered as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from ranked)
+select lang, source, part, item, value, rank::int as rank from numbered where part = 'pair' or rank <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -140,9 +169,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_decontamination": op10_decontamination,
+        "op12_source_divergence": op12_source_divergence,
         "op13_sharding": op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op10_decontamination": OP10_SQL, "op12_source_divergence": OP12_SQL}
