@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, html, jaccard, langid, licenses, packing, secrets, sharding, topk, toxicity, urlfilter
+from . import decontaminate, divergence, html, jaccard, langid, licenses, negatives, packing, secrets, sharding, topk, toxicity, urlfilter
 from .common import table
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,6 +57,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.whole_vectors(table(spark, sf_dir, "embeddings"), 256, label)
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -131,6 +137,20 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from dw left join n_hit using (doc_id) left join items using (doc_id)
 """
 
+OP11_SQL = """
+with e as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.id as anchor_id, c.id, a.label = c.label as same, list_sum(list_prepend(0, list_transform(range(1, len(a.v) + 1), lambda i: coalesce(a.v[i] * c.v[i], 0))))::bigint as score
+  from e a, e c where a.id % 100 = 0 and a.id <> c.id),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, id) as k from s where same) where k <= 5),
+n as (
+  select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score, row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
 TERMS_SQL = r"regexp_extract_all(" + LOWER_SQL.format("coalesce(text, '')") + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
 
 OP12_SQL = f"""
@@ -169,10 +189,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_decontamination": op10_decontamination,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_source_divergence": op12_source_divergence,
         "op13_sharding": op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op10_decontamination": OP10_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_source_divergence": OP12_SQL}
