@@ -133,3 +133,15 @@ def test_top_k_rules_out_most_of_clustered_vectors(spark):
 
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_malformed_declarations_and_odd_tables(spark):
+    html = ['<![foo[ canonical', '<![foo[ > <link rel="canonical" href="http://a.net/">', "<![CDATA[x]]><!x[ <!-- canonical --!><link rel=canonical href='/2'>", "<![" * 100_000 + "canonical", "<! canonical", "</ canonical"]
+    pages = spark.createDataFrame([(k, f"http://b.com/{k}", h, "x", "y", "z") for k, h in enumerate(html)], "page_id long, url string, html string, node string, component string, rule string")
+    pages = pages.unionByName(pages)  # repeated rows
+    edges = urlfilter.link_edges(pages)
+    assert {tuple(r) for r in edges.collect()} == {("http://b.com/1", "http://a.net/"), ("http://b.com/2", "http://b.com/2")} - {("http://b.com/2", "http://b.com/2")}
+    out = urlfilter.url_verdicts(pages, edges, urlfilter.rule_table(spark)).collect()
+    assert len(out) == 12 and {r.page_id for r in out if r.verdict == "block"} == {1}
+    none = pages.limit(0)
+    assert urlfilter.url_verdicts(none, urlfilter.link_edges(none), urlfilter.rule_table(spark)).collect() == []

@@ -116,3 +116,37 @@ def test_a_missing_third_party_package_is_an_error(tmp_path):
     env = {**os.environ, "PYTHONPATH": f"{tmp_path}:{ROOT}"}
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], env=env, capture_output=True, text=True, cwd=tmp_path, timeout=60)
     assert run.returncode != 0 and "no such" in run.stderr
+
+
+CLASHING = ["_name", "_secrets", "_id", "_d1", "_d2", "_n", "_bad", "_long", "_h1", "_h2", "input5__name", "row", "candidate", "label"]
+
+
+def test_stages_keep_columns_with_the_helpers_names(spark):
+    from waymark.llm import decontaminate, jaccard
+
+    words = " ".join(f"word{k}" for k in range(40))
+    key = "AKIA" + "Q7Z2K9M4P1X8C3V5"
+    texts = [words, words + " more", "use this token " + key, None, "", words, "benchmark " + words]
+    rows = [(k, t, "en", "s", 1, *(f"{c}{k}" for c in CLASHING)) for k, t in enumerate(texts)] + [(6, "another text of id six", "en", "s", 1, *("z" for _ in CLASHING))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
+    held = lambda out: {(r.doc_id, r["_name"], r["_id"], r["_bad"], r["input5__name"], r["label"]) for r in out.collect()}
+    every = held(docs)
+
+    clean = secrets.redact(docs, secrets.train(secrets.seed_findings(spark, 600)), path="source")
+    assert clean.columns == docs.columns and held(clean) == every
+    assert {r.text for r in clean.where("doc_id = 2").collect()} == {"use this token [SECRET]"}
+
+    one = jaccard.keep_one_of_each(docs)
+    assert one.columns == docs.columns and held(one) < every and {r.doc_id for r in one.collect()} == {0, 2, 3, 4, 6}
+
+    benchmark = spark.createDataFrame([(1, words)], "item_id long, text string")
+    by_broadcast = decontaminate.decontaminate(docs, benchmark)
+    by_shuffle = decontaminate.decontaminate(docs, benchmark, broadcast_windows=0)
+    assert by_shuffle.columns == docs.columns and held(by_shuffle) == held(by_broadcast) < every
+
+
+def test_long_jwts_are_one_finding(spark):
+    long = "eyJ" + "a1B2" * 500 + "." + "c3D4" * 300 + ".sig"
+    docs = spark.createDataFrame([(1, f"token={long}"), (2, "x" + "eyJ" * 300_000)], "doc_id long, text string")
+    found = secrets.candidates(docs, "doc_id").collect()
+    assert [(r.doc_id, r.kind, len(r.candidate)) for r in found] == [(1, "jwt", len(long))]

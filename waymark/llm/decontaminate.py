@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, names_apart
 from .kernels import LETTERS_DIGITS, inside_documents, window_hashes, words
 
 WINDOW = 13
@@ -187,14 +187,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bro
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Documents that are not contaminated, all columns kept; each row is judged by its own text."""
+    """Documents that are not contaminated, all columns kept whatever their names; each row is judged by its own text."""
     windows = cut(benchmark_windows(benchmark, size))
     table = _table(windows, broadcast_windows, broadcast_bytes)
     if table is None:
         text = F.col("text").cast("string")
         texts = _numbered(docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")).where("text is not null").distinct())
         bad = _joined(texts, windows).where("contaminated").select("row")
-        return docs.join(texts.join(bad, "row", "left_semi").select(F.col("text").alias("_bad")), text == F.col("_bad"), "left_anti")
+        named, back = names_apart(docs)
+        return back(named.join(texts.join(bad, "row", "left_semi").select(F.col("text").alias("_bad")), text == F.col("_bad"), "left_anti"))
     scan, at = _scan(table), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

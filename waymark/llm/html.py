@@ -46,9 +46,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 _PEERS = {tag: {tag} | ({"dd", "dt"} if tag in ("dd", "dt") else {"td", "th"} if tag in ("td", "th") else set()) for tag in SELF_CLOSING}
 BOILERPLATE_TAGS = frozenset("head nav header footer aside form button select menu dialog search fieldset input".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
+BOILERPLATE_ROLES = frozenset("banner contentinfo complementary search form dialog alert".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements adsense banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus cookie cookies consent gdpr footer footnav header masthead menu nav navbar navigation newsletter notice notices pagination pager popup modal promo promos promoted sidebar sidenav skip sponsor sponsored subscribe toolbar topbar login signup".split()
+    "ad ads adv advert adverts advertisement advertisements adsense banner breadcrumb breadcrumbs comment comments commentlist respond reply replies disqus cookie cookies consent gdpr footer footnav header masthead menu newsletter notice notices pagination pager popup modal promo promos promoted sidebar sidenav skip sponsor sponsored subscribe toolbar topbar login signup".split()
 )
 # names of blocks that add to a text: they are content only if their own ratios say so
 ADDITION_WORDS = frozenset("related recommended share sharing social widget".split())
@@ -73,7 +73,7 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
         return True
     if not attributes:
         return False
-    if (role := _ROLE.search(attributes)) and role[1].lower() in BOILERPLATE_ROLES:
+    if (role := _ROLE.search(attributes)) and (role[1].lower() in BOILERPLATE_ROLES or role[1].lower().startswith("nav")):
         return True
     return bool(_HIDDEN.search(attributes))
 
@@ -172,7 +172,7 @@ def parse(page: str) -> Page:
                 around.append(path)
                 tags.append(tag)
                 homes.append(len(tags) - 1 if tag in CONTENT_TAGS else homes[path])
-            if not names.isdisjoint(BOILERPLATE_WORDS):
+            if not names.isdisjoint(BOILERPLATE_WORDS) or any(name.startswith("nav") for name in names):
                 outer.append(closed)
                 opened.append(False)
                 closed = len(outer) - 1

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, names_apart
 from .components import connected_components
 from .kernels import NOT_SPACE, mix, window_hashes, words
 
@@ -387,7 +387,9 @@ def keep_one_of_each(docs: DataFrame, broadcast_ids: int = 2_000_000, **options)
 
     The row with the smallest id stays, a null id last; of several such rows the one whose set has the smallest name,
     and any one of rows with one id and set.  Rows are judged by id and set, so different texts may share an id.
+    Other columns may have any names.
     """
+    docs, back = names_apart(docs)
     join = JaccardJoin(docs, **options)
     rows, known = join.judged()
     sets = cut(rows.where("n > 0").groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("rows")).join(known, ["d1", "d2"]))
@@ -405,7 +407,7 @@ def keep_one_of_each(docs: DataFrame, broadcast_ids: int = 2_000_000, **options)
     number = F.col("doc_id").cast("long")
     single = docs.join(few(gone.unionByName(several.where("_id is not null"))), number == F.col("_id"), "left_anti").where(number.isNotNull())
     if several.isEmpty():
-        return single
+        return back(single)
     text = F.col("text").cast("string")
     looked = docs.join(few(several), number.eqNullSafe(F.col("_id")), "left_semi").withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(1))})
     texts = looked.select(F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), text.alias("text")).dropDuplicates(["h1", "h2"])
@@ -415,4 +417,4 @@ def keep_one_of_each(docs: DataFrame, broadcast_ids: int = 2_000_000, **options)
     wins = stay.select(F.col("doc_id").alias("_id"), F.col("d1").alias("_s1"), F.col("d2").alias("_s2"))
     full = looked.where("_n > 0").join(wins, number.eqNullSafe(F.col("_id")) & (F.col("_d1") == F.col("_s1")) & (F.col("_d2") == F.col("_s2")), "left_semi")
     full = full.withColumn("_long", number).dropDuplicates(["_long", "_d1", "_d2"])
-    return single.unionByName(full.select(docs.columns)).unionByName(looked.where("_n = 0").select(docs.columns))
+    return back(single.unionByName(full.select(docs.columns)).unionByName(looked.where("_n = 0").select(docs.columns)))

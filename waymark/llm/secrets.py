@@ -13,7 +13,7 @@ a secret.  ``seed_findings`` makes a bounded set of them by rule for tables
 that bring none.
 
 Defined cases: null and empty texts have no findings; tokens of any length are
-searched whole, of a jwt's first part the first 400 characters decide its kind;
+searched whole;
 a score at the threshold is a secret; a token that repeats is a
 finding at each place; a null path is the empty path; repeated rows are scanned
 row by row; labelled findings with null candidate or label are not learned
@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, names_apart
 
 #: Findings of the seed set, trees and their depth, least probability of a secret.
 SEED_FINDINGS = 6000
@@ -58,7 +58,7 @@ FORMATS = (
     ("stripe-key", r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}"),
     ("google-api-key", r"AIza[A-Za-z0-9_-]{35}"),
     ("npm-token", r"npm_[A-Za-z0-9]{36}"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,400}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*"),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*"),
     ("url-password", r"(?<![a-z0-9+.-])(?=[0-9+.-]*+[a-z])[a-z0-9+.-]++://[^\s/:@\"<>]++:[^\s/@\"<>]++@[^\s/\"'<>,;&?#]++"),
     ("generic", _GENERIC),
 )
@@ -236,8 +236,10 @@ def redact(docs: DataFrame, model: PipelineModel, path: str | None = None, mark:
     """docs, all columns and rows kept, with each secret of a text replaced by ``mark``.
 
     Only texts with a candidate are joined with their findings, by hashes of id
-    and text; a text that repeats under its id has the same findings.
+    and text; a text that repeats under its id has the same findings.  Other
+    columns may have any names.
     """
+    docs, back = names_apart(docs)
     has = F.coalesce(suspicious(F.col("text")), F.lit(False))
     name = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id", F.lit(1)).alias("b"))
     named = cut(docs.where(has).withColumn("_name", name))
@@ -247,4 +249,4 @@ def redact(docs: DataFrame, model: PipelineModel, path: str | None = None, mark:
     longest_first = F.array_sort("_secrets", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     clean = F.aggregate(F.coalesce(longest_first, F.array().cast("array<string>")), F.col("text"), lambda text, s: F.replace(text, s, F.lit(mark)))
     kept = named.join(secrets, "_name", "left").select(*(clean.alias("text") if c == "text" else F.col(c) for c in docs.columns))
-    return docs.where(~has).unionByName(kept)
+    return back(docs.where(~has).unionByName(kept))

@@ -70,6 +70,10 @@ class _Links(HTMLParser):
         self.targets: list[str] = []
         self.base: str | None = None
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        at = self.rawdata.find(">", i)  # as browsers read <![...: to the next > or the end
+        return at + 1 if at >= 0 else len(self.rawdata)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("link", "meta", "base"):
             values = {name: value or "" for name, value in reversed(attrs)}  # of a repeated attribute the first counts
