@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,12 +18,16 @@ class Kernel:
     ``step(state, row)`` gets the last state (None at first) and the values of
     ``inputs``, and returns the next state and the values of ``outputs``.
     ``inputs`` and ``state`` are column lists in DDL; every state value may be null.
+    ``pack`` makes a state of Python's values into those columns, ``unpack`` the way
+    back; a table's replay keeps it as it is.
     """
 
     inputs: str
     state: str
     outputs: str
     step: Callable[[tuple | None, tuple], tuple[tuple, tuple]]
+    pack: Callable[[tuple | None], tuple] = lambda state: state
+    unpack: Callable[[tuple], tuple | None] = lambda state: state
 
 
 def _names(ddl: str) -> list[str]:
@@ -30,8 +35,8 @@ def _names(ddl: str) -> list[str]:
 
 
 def _plain(values) -> tuple:
-    """Values as Python has them, missing ones as None."""
-    return tuple(None if v is None or v is pd.NA or v != v else v for v in values)
+    """Values as Python has them, missing ones as None, arrays as lists."""
+    return tuple(v.tolist() if isinstance(v, np.ndarray) else None if v is None or v is pd.NA or v != v else v for v in values)
 
 
 def _ddl(key: str, order: str, kernel: Kernel, rows: DataFrame) -> str:
@@ -70,16 +75,16 @@ def stream(rows: DataFrame, key: str, order: str, kernel: Kernel) -> DataFrame:
     A row that comes after later ones in an earlier batch is stepped when it comes,
     as the devices' own order of arrival is.  State has the kernel's few values.
     """
-    read, made, step = _names(kernel.inputs), _names(kernel.outputs), kernel.step
+    read, made, step, pack, unpack = _names(kernel.inputs), _names(kernel.outputs), kernel.step, kernel.pack, kernel.unpack
     result = [key, order, *made]
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = _plain(held.get) if held.exists else None
+        state = unpack(_plain(held.get)) if held.exists else None
         out = []
         for o, *values in pd.concat(frames)[[order, *read]].sort_values(order).itertuples(index=False, name=None):
             state, told = step(state, _plain(values))
             out.append((group[0], o, *told))
-        held.update(state)
+        held.update(pack(state))
         yield pd.DataFrame(out, columns=result)
 
     grouped = rows.select(key, order, *read).where(f"{key} is not null").groupBy(key)
