@@ -38,6 +38,8 @@ from .kernels import LOWER, PIECE_BYTES, text_buffers
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Sources of a block, kept terms of a slice.
 BLOCK, SLICE = 8, 1 << 16
+#: Parts into which a language's (or a group's) terms are dealt where they meet its totals.
+SALTS = 64
 
 #: Bytes of terms, lower-cased; all others become spaces.
 _SPACED = np.full(256, 32, np.uint8)
@@ -114,6 +116,12 @@ def _unpack(packed: bytes | None, rest: int, terms: int) -> np.ndarray:
     return out
 
 
+def _met(terms: DataFrame, totals: DataFrame, key: list[str]) -> DataFrame:
+    """terms with the totals of their language or group, which may own a third of all terms."""
+    salted = terms.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
+    return salted.join(totals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*key, "salt"]).drop("salt")
+
+
 _CELL = "lang string, slice int, block int, source string, vector binary, item string, value long"
 
 
@@ -195,7 +203,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, bl
     langs = cut(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("m").alias("total")))
     # terms in slices, numbered within each; a slice has about slice_terms of them
     slices = F.ceil(F.col("v") / slice_terms).cast("int")
-    dealt = kept.join(langs, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), slices).cast("int")).withColumn("q", _share("m", "total", "v"))
+    dealt = _met(kept, langs, ["lang"]).withColumn("slice", F.pmod(F.xxhash64("term"), slices).cast("int")).withColumn("q", _share("m", "total", "v"))
     numbered = cut(dealt.select("lang", "term", "slice", "q", (F.row_number().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1).alias("id")))
     occurs = cut(counts.where("term <> ''").select("lang", "source", "term", "n").join(numbered, ["lang", "term"]))
     # the groups with their totals; a language's sources in blocks
@@ -204,7 +212,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, bl
     groups = counts.where("term = ''").select("lang", "source", F.floor(nth / block).cast("int").alias("block"))
     groups = groups.join(totals, ["lang", "source"], "left").join(langs.select("lang", "v"), "lang", "left").fillna(0, ["total", "v"])
     groups = cut(groups.withColumn("rest", _share("0", "total", "v")))
-    shares = occurs.join(groups.select("lang", "source", "block", "total", "v"), ["lang", "source"]).withColumn("p", _share("n", "total", "v"))
+    shares = _met(occurs, groups.select("lang", "source", "block", "total", "v"), ["lang", "source"]).withColumn("p", _share("n", "total", "v"))
     apart = F.expr("(p - q) * (p - q) div (p + q)")
     cells = shares.select("lang", "slice", "block", "source", "id", "term", "p", (F.col("p") > F.col("q")).alias("leads"), apart.alias("value"))
     built = cut(cells.groupBy("lang", "slice", "block").applyInArrow(_cell(top), _CELL))
