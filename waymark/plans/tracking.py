@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.operators import corridors, stateful
+from waymark.operators import corridors, escalators, stateful
 from waymark.plans.queries import QUERIES
-from waymark.sources.tables import edges, nodes, samples
+from waymark.sources.tables import edges, nodes, samples, table
 
 
 def query(f):
@@ -61,3 +61,56 @@ def corridor_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracked = corridor_places(spark, sf_dir).join(rows, ["session", "seq"])
     out = corridors.summary(tracked, "session", "seq", "ms", "metres")
     return out.withColumns({c: F.round(c, 6) for c, kind in out.dtypes if kind == "double"})
+
+
+#: Floors of the building that the queries ride in.
+FLOORS = ("5F", "4F", "3F", "2F", "1F", "B1")
+
+
+def boarding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """building, floor, id, bank, up, to_floor, x, y: a nation is a boarding point of an escalator."""
+    n = F.col("n_nationkey").cast("long")
+    floors = F.array(*map(F.lit, FLOORS))
+    at = (n % 5 + 1).cast("int")
+    up = n % 2 == 0
+    other = F.element_at(floors, F.when(up, F.greatest(at - 1, F.lit(1))).otherwise(at + 1).cast("int"))
+    return table(spark, sf_dir, "nation").select(
+        F.lit(0).alias("building"), F.element_at(floors, at).alias("floor"), n.alias("id"), F.concat(F.lit("ES"), n % 4).alias("bank"), up.alias("up"), other.alias("to_floor"),
+        (n * 37 % 100).cast("double").alias("x"), (n * 53 % 80).cast("double").alias("y"),
+    )
+
+
+def riders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, seq and what a rider's sensors say, a sample a second: each minute stands by a boarding point, rides up or down for 20 seconds, and walks on."""
+    by = Window.partitionBy("session").orderBy("seq")
+    n, s = F.row_number().over(by) - 1, F.col("session")
+    rows = samples(spark, sf_dir).where("session is not null and seq is not null").select("session", "seq", n.alias("n"))
+    at = F.col("n") % 60
+    floor = F.element_at(F.array(*map(F.lit, FLOORS)), (s % 5 + 1).cast("int"))
+    start = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("start"), (F.col("n_nationkey") * 37 % 100).cast("double").alias("x0"), (F.col("n_nationkey") * 53 % 80).cast("double").alias("y0"))
+    rows = rows.withColumns({"start": s % 25, "at": at}).join(start, "start")
+    height = (3.4 + s % 4 * 0.7) * F.when(s % 2 == 0, 1).otherwise(-1)
+    ridden = F.floor(F.col("n") / 60) * height + height * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("at") - 12) / 20.0))
+    stands = F.col("at").between(6, 11)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return rows.select(
+        "session", "seq", (1000 * F.col("n")).cast("long").alias("ms"), F.lit(0).alias("building"), floor.alias("floor"), F.array(*map(F.lit, FLOORS)).alias("floors"), (F.col("n") - F.least(F.col("at") - 12, F.lit(20)) * (F.col("at") > 12).cast("int")).cast("long").alias("steps"),
+        F.lit(1).alias("moved"), F.when(F.col("at") > 34, 1).otherwise(0).alias("stepped"), F.when(stands, F.col("x0") + s % 9).alias("x"), F.when(stands, F.col("y0")).alias("y"),
+        nothing("double").alias("route_m"), nothing("long").alias("expected"), nothing("string").alias("expected_bank"), nothing("boolean").alias("expected_up"), nothing("string").alias("expected_to"), nothing("long").alias("arrival"), F.lit(False).alias("at_once"),
+        ridden.cast("double").alias("altitude"),
+    )
+
+
+@query
+def escalator_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples at which a rider's phase changes, and how."""
+    rows = escalators.near_boarding(riders(spark, sf_dir), boarding_points(spark, sf_dir), ["session", "seq"])
+    told = stateful.replay(rows, "session", "seq", escalators.RIDE).where("size(changes) > 0")
+    return told.withColumn("changes", F.array_join("changes", "; ")).withColumns({c: F.round(c, 6) for c in ("rise", "delta")})
+
+
+@query
+def escalator_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides that have landed, with their boarding points and evidence."""
+    rows = escalators.near_boarding(riders(spark, sf_dir), boarding_points(spark, sf_dir), ["session", "seq"])
+    return escalators.rides(stateful.replay(rows, "session", "seq", escalators.RIDE), "session", "seq").withColumn("rise", F.round("rise", 6))
