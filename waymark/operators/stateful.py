@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -20,6 +21,11 @@ class Kernel:
     ``inputs`` and ``state`` are column lists in DDL; every state value may be null.
     ``pack`` makes a state of Python's values into those columns, ``unpack`` the way
     back; a table's replay keeps it as it is.
+
+    A kernel with timers names the input that is its ``clock`` in ms: ``due(state)``
+    is when the next timer rings, or null, and ``ring(state)`` the state after it and
+    what it says, which is a row without an order.  Timers ring before a row of
+    their time.
     """
 
     inputs: str
@@ -28,6 +34,17 @@ class Kernel:
     step: Callable[[tuple | None, tuple], tuple[tuple, tuple]]
     pack: Callable[[tuple | None], tuple] = lambda state: state
     unpack: Callable[[tuple], tuple | None] = lambda state: state
+    clock: str | None = None
+    due: Callable[[tuple | None], int | None] = lambda state: None
+    ring: Callable[[tuple], tuple[tuple, tuple]] = lambda state: (state, ())
+
+    def rung(self, state: tuple | None, until: int | None) -> tuple[tuple | None, list[tuple]]:
+        """The state after all timers up to a time, and what they say."""
+        out = []
+        while self.clock and until is not None and (at := self.due(state)) is not None and at <= until:
+            state, told = self.ring(state)
+            out.append(told)
+        return state, out
 
 
 def _names(ddl: str) -> list[str]:
@@ -44,15 +61,18 @@ def _ddl(key: str, order: str, kernel: Kernel, rows: DataFrame) -> str:
     return f"{key} {types[key]}, {order} {types[order]}, {kernel.outputs}"
 
 
-def replay(rows: DataFrame, key: str, order: str, kernel: Kernel) -> DataFrame:
-    """key, order and the kernel's outputs for every row.
+def replay(rows: DataFrame, key: str, order: str, kernel: Kernel, late_ms: int = 0) -> DataFrame:
+    """key, order and the kernel's outputs for every row, and for every timer up to ``late_ms`` before the table's last time.
 
     Spark sorts each key's rows and they pass through a task as a stream, so a
     task holds one state, however many rows a key has.  ``order`` is unique in a
     key; rows without a key go.
     """
-    read, made, step = _names(kernel.inputs), _names(kernel.outputs), kernel.step
+    read, made = _names(kernel.inputs), _names(kernel.outputs)
     result = [key, order, *made]
+    clock = read.index(kernel.clock) if kernel.clock else 0
+    last_ms = rows.agg(F.max(kernel.clock)).first()[0] if kernel.clock else None
+    until = None if last_ms is None else last_ms - late_ms
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
@@ -60,32 +80,61 @@ def replay(rows: DataFrame, key: str, order: str, kernel: Kernel) -> DataFrame:
             out = []
             for k, o, *values in frame.itertuples(index=False, name=None):
                 if k != last:
+                    out += [(last, None, *told) for told in kernel.rung(state, until)[1]]
                     last, state = k, None
-                state, told = step(state, _plain(values))
+                values = _plain(values)
+                if kernel.clock:
+                    state, rung = kernel.rung(state, values[clock])
+                    out += [(k, None, *told) for told in rung]
+                state, told = kernel.step(state, values)
                 out.append((k, o, *told))
-            yield pd.DataFrame(out, columns=result)
+            yield _frame(out, result, order)
+        out = [(last, None, *told) for told in kernel.rung(state, until)[1]]
+        if out:
+            yield _frame(out, result, order)
 
     sorted_rows = rows.select(key, order, *read).where(f"{key} is not null").repartition(key).sortWithinPartitions(key, order)
     return sorted_rows.mapInPandas(run, _ddl(key, order, kernel, rows))
 
 
-def stream(rows: DataFrame, key: str, order: str, kernel: Kernel) -> DataFrame:
+def _frame(out: list[tuple], columns: list[str], order: str) -> pd.DataFrame:
+    frame = pd.DataFrame(out, columns=columns)
+    return frame.astype({order: "object"}) if frame[order].isna().any() else frame
+
+
+def stream(rows: DataFrame, key: str, order: str, kernel: Kernel, late_ms: int = 0) -> DataFrame:
     """The same over a streaming table; a micro-batch's rows of a key are sorted, later batches follow on its state.
 
     A row that comes after later ones in an earlier batch is stepped when it comes,
     as the devices' own order of arrival is.  State has the kernel's few values.
+    Timers ring when the watermark, ``late_ms`` behind the last time, passes them.
     """
-    read, made, step, pack, unpack = _names(kernel.inputs), _names(kernel.outputs), kernel.step, kernel.pack, kernel.unpack
+    read, made, timed = _names(kernel.inputs), _names(kernel.outputs), kernel.clock is not None
     result = [key, order, *made]
+    clock = read.index(kernel.clock) if timed else 0
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = unpack(_plain(held.get)) if held.exists else None
+        state = kernel.unpack(_plain(held.get)) if held.exists else None
         out = []
-        for o, *values in pd.concat(frames)[[order, *read]].sort_values(order).itertuples(index=False, name=None):
-            state, told = step(state, _plain(values))
-            out.append((group[0], o, *told))
-        held.update(pack(state))
-        yield pd.DataFrame(out, columns=result)
-
-    grouped = rows.select(key, order, *read).where(f"{key} is not null").groupBy(key)
-    return grouped.applyInPandasWithState(run, _ddl(key, order, kernel, rows), kernel.state, "append", GroupStateTimeout.NoTimeout)
+        if not held.hasTimedOut:
+            for o, *values in pd.concat(frames)[[order, *read]].sort_values(order).itertuples(index=False, name=None):
+                values = _plain(values)
+                if timed:
+                    state, rung = kernel.rung(state, values[clock])
+                    out += [(group[0], None, *told) for told in rung]
+                state, told = kernel.step(state, values)
+                out.append((group[0], o, *told))
+        if timed:
+            passed = held.getCurrentWatermarkMs()
+            state, rung = kernel.rung(state, passed)
+            out += [(group[0], None, *told) for told in rung]
+        held.update(kernel.pack(state))
+        if timed and (at := kernel.due(state)) is not None:
+            held.setTimeoutTimestamp(max(at, passed + 1))
+        yield _frame(out, result, order)
+
+    wanted = rows.select(key, order, *read).where(f"{key} is not null")
+    if timed:
+        wanted = wanted.withColumn("_at", F.timestamp_millis(kernel.clock)).withWatermark("_at", f"{late_ms} milliseconds")
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return wanted.groupBy(key).applyInPandasWithState(run, _ddl(key, order, kernel, rows), kernel.state, "append", timeout)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.operators import corridors, escalators, stateful
-from waymark.plans.queries import QUERIES
+from waymark.operators import corridors, escalators, guiding, motion, stateful
+from waymark.plans.queries import QUERIES, SAMPLES
+from waymark.plans.queries import query as with_sql
 from waymark.sources.tables import edges, nodes, samples, table
 
 
@@ -114,3 +115,83 @@ def escalator_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rides that have landed, with their boarding points and evidence."""
     rows = escalators.near_boarding(riders(spark, sf_dir), boarding_points(spark, sf_dir), ["session", "seq"])
     return escalators.rides(stateful.replay(rows, "session", "seq", escalators.RIDE), "session", "seq").withColumn("rise", F.round("rise", 6))
+
+
+@query
+def guided_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample of a guided walk: shown progress, why it is held, evidence of leaving the route, and rows of timers (seq -1)."""
+    by = Window.partitionBy("session").orderBy("seq")
+    v, n = F.col("value"), F.row_number().over(by) - 1
+    rows = samples(spark, sf_dir).where("session is not null and seq is not null").withColumn("n", n)
+    at = F.col("n") % 40
+    guided = rows.select(
+        "session", "seq", (700 * F.col("n") + F.when(at >= 36, 30_000).otherwise(0)).cast("long").alias("ms"), (F.col("session") * 100 + F.floor(F.col("n") / 40)).cast("long").alias("route"), (0.7 * at + F.when(v > 190, 15).when(v > 180, -4).otherwise(0)).cast("double").alias("travelled"),
+        (F.when(at.between(14, 20), v / 20).otherwise(v / 100)).cast("double").alias("off"), (~at.between(24, 29)).alias("on_edge"), (v > 195).alias("again"), (F.col("kind") == "error").alias("lost"), at.between(16, 23).alias("junction"),
+        F.col("n").cast("long").alias("steps"), F.lit(False).alias("rerouting"), (at == 39).alias("riding"), (F.col("session") % 3 == 0).alias("reverse"), F.when(at >= 30, 40.0 - at).alias("board_m"),
+    )
+    told = stateful.replay(guided, "session", "seq", guiding.GUIDE)
+    return told.fillna(-1, ["seq"]).withColumn("shown", F.round("shown", 6))
+
+
+def route_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """routes (route, nth, edge, source, target): ten of eight edges each, odd ones walked backwards; edges (edge, source, target) between nodes one apart."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("source"))
+    lines = n.select((F.col("source") * 100 + (F.col("source") + 1) % 25).alias("edge"), "source", ((F.col("source") + 1) % 25).alias("target"))
+    each = n.where("source < 10").select(F.col("source").alias("route"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    from_, back = (F.col("route") + F.col("k")) % 25, F.col("route") % 2 == 1
+    to = (from_ + 1) % 25
+    routes = each.select("route", F.when(back, 7 - F.col("k")).otherwise(F.col("k")).cast("long").alias("nth"), (from_ * 100 + to).alias("edge"), F.when(back, to).otherwise(from_).alias("source"), F.when(back, from_).otherwise(to).alias("target"))
+    return routes, lines
+
+
+def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, seq, route, moved, crossed_nodes, relocated: an event is a step over one to three parts of edges, some of them twice."""
+    s, q, v = F.col("session"), F.col("seq"), F.col("value")
+    at = (s % 10 + q % 9) % 25
+    edge = lambda n: n * 100 + (n + 1) % 25
+    first = F.struct(edge(at).alias("edge"), (v % 5).alias("from_m"), (v % 7).alias("to_m"))
+    second = F.struct(edge((at + 1) % 25).alias("edge"), F.lit(0.0).alias("from_m"), (v % 3).alias("to_m"))
+    moved = F.when(q % 3 == 0, F.array(first)).when(q % 3 == 1, F.array(first, second)).otherwise(F.array(first, second, first))
+    crossed = F.when(q % 2 == 0, F.array(at, (at + 1) % 25)).otherwise(F.array().cast("array<long>"))
+    rows = samples(spark, sf_dir).where("session is not null and seq is not null and value is not null")
+    return rows.select("session", "seq", "ms", (s % 10).alias("route"), moved.alias("moved"), crossed.alias("crossed_nodes"), (q % 17 == 0).alias("relocated"))
+
+
+@with_sql(f"""with {SAMPLES}, lines as (select n_nationkey * 100 + (n_nationkey + 1) % 25 as edge, n_nationkey as s, (n_nationkey + 1) % 25 as t from nation),
+routes as (select n_nationkey as route, ((n_nationkey + k) % 25) * 100 + (n_nationkey + k + 1) % 25 as edge, n_nationkey % 2 = 1 as back from nation, range(8) r(k) where n_nationkey < 10),
+placed as (select session, seq, session % 10 as route, (session % 10 + seq % 9) % 25 as n, value as v, seq % 17 = 0 as relocated from samples where value is not null),
+parts as (
+  select session, seq, route, 0 as nth, n * 100 + (n + 1) % 25 as edge, v % 7 - v % 5 as m from placed
+  union all select session, seq, route, 1, ((n + 1) % 25) * 100 + (n + 2) % 25, v % 3 from placed where seq % 3 > 0
+  union all select session, seq, route, 2, n * 100 + (n + 1) % 25, v % 7 - v % 5 from placed where seq % 3 = 2),
+met as (select p.*, r.edge is null as off, case when r.back then -m else m end as signed from parts p left join routes r on r.route = p.route and r.edge = p.edge),
+stops as (select session, seq, min(nth) filter (off) as stop from met group by all),
+sums as (select m.session, m.seq, any_value(stop) as stop, coalesce(sum(signed) filter (stop is null or nth < stop), 0.0) as signed_m from met m join stops s on s.session = m.session and s.seq = m.seq group by all),
+told as (select a.session, a.seq, a.route, a.n, case when relocated then 0.0 else signed_m end as metres, case when relocated then 'relocated' when stop is not null then 'off' when signed_m > 1e-6 then 'forward' when signed_m < -1e-6 then 'reverse' else 'ambiguous' end as relation from placed a join sums using (session, seq))
+select session, seq, round(metres, 6) as signed_m, relation,
+  case when relation in ('forward', 'reverse', 'ambiguous') and seq % 2 = 0 then array_to_string(list_filter([n, (n + 1) % 25], lambda x: (x - route + 25) % 25 <= 8), ',') else '' end as crossed
+from told""")
+def step_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each step lies on its session's route: signed metres over repeated parts, relation, route nodes passed."""
+    routes, lines = route_lines(spark, sf_dir)
+    out = guiding.relation(route_steps(spark, sf_dir), routes, lines, ["session", "seq"])
+    return out.select("session", "seq", F.round("signed_m", 6).alias("signed_m"), "relation", F.array_join(F.col("crossed").cast("array<string>"), ",").alias("crossed"))
+
+
+@query
+def checkpoint_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on the checkpoints of each session's route as its steps pass them."""
+    routes, lines = route_lines(spark, sf_dir)
+    steps = route_steps(spark, sf_dir)
+    related = guiding.relation(steps, routes, lines, ["session", "seq"]).join(steps.select("session", "seq", "route", "moved"), ["session", "seq"])
+    directed = related.withColumns({"peak": F.col("seq"), "metres": F.col("signed_m")})
+    direction = stateful.replay(directed, "session", "seq", motion.DIRECTION)
+    by = Window.partitionBy("route").orderBy("nth")
+    points = routes.withColumn("out", F.lead("edge").over(by)).where("out is not null").withColumn("kind", F.when(F.col("nth") % 2 == 0, "turn").otherwise("straight"))
+    nodes_of = points.groupBy("route").agg(F.sort_array(F.collect_list(F.struct("nth", "target", "kind", "out"))).alias("c"))
+    edge = F.element_at("moved", -1)["edge"]
+    rows = related.join(direction, ["session", "seq"]).join(nodes_of, "route").select(
+        "session", "seq", F.col("seq").alias("peak"), "route", "relation", "direction", "signed_m", "crossed", F.col("c.target").alias("nodes"), F.col("c.kind").alias("kinds"), F.col("c.out").alias("outs"),
+        F.transform("c", lambda c: (F.abs(c["target"] - F.col("seq") % 25) % 3).cast("double")).alias("metres"), edge.alias("edge"), (F.col("relation") != "off").alias("on_route"), F.lit(False).alias("lost"), (F.col("seq") % 19 == 0).alias("unsure"), F.lit(False).alias("rerouting"),
+    )
+    return stateful.replay(rows, "session", "seq", guiding.CHECKPOINT).where("decision is not null")
