@@ -37,7 +37,7 @@ from .kernels import LOWER, PIECE_BYTES, text_buffers
 #: Fixed values of the contract: the documents that keep a term, the terms listed for a group, the scale of shares.
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Sources of a block, kept terms of a slice.
-BLOCK, SLICE = 8, 1 << 16
+BLOCK, SLICE = 8, 1 << 13
 #: Parts into which a language's (or a group's) terms are dealt where they meet its totals.
 SALTS = 64
 
@@ -197,9 +197,11 @@ def meets(block, turn: int, seats: int):
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, block: int = BLOCK, slice_terms: int = SLICE) -> DataFrame:
     """lang, source, part, item, value, rank: every other source of the language (pair) and the terms that a source has more of (term)."""
     spark = docs.sparkSession
-    counts = cut(term_counts(docs))
-    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("m"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    kept = cut(kept.select("lang", "term", "m"))
+    # what a language keeps is known where its counts of a term meet, so that the many rare terms are written nowhere
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).withColumns({"m": F.sum("n").over(of_term), "in_docs": F.sum("docs").over(of_term)})
+    counts = cut(counts.where((F.col("term") == "") | (F.col("in_docs") >= least_docs)).select("lang", "source", "term", "n", "m"))
+    kept = cut(counts.where("term <> ''").select("lang", "term", "m").distinct())
     langs = cut(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("m").alias("total")))
     # terms in slices, numbered within each; a slice has about slice_terms of them
     slices = F.ceil(F.col("v") / slice_terms).cast("int")
