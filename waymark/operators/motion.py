@@ -346,3 +346,32 @@ def _altitude(state, row):
 
 #: Altitude smoothed by time, and its rise over a baseline that follows the weather while nobody rides.
 ALTITUDE = Kernel("ms long, metres double", "ms long, fast double, base double", "fast double, delta double", _altitude)
+
+
+# Fixed values of the walk's offset: confidence it needs, time constants in seconds of following and of forgetting, its most, the turn that holds it and for how long.
+SURE, FOLLOW_S, FORGET_S, OFFSET_DEG, TURNING_DEG, TURNED_MS = 0.35, 2.5, 12.0, 60.0, 20.0, 1_500
+
+
+def _offset(state, row):
+    ms, swinging, net, walk, sure, heading = row
+    last, offset, held = state or (None, 0.0, None)
+    if ms is None:
+        return (last, offset, held), (offset, False)
+    passed = 0.0 if last is None else max(0, ms - last) / 1000.0
+    if net is not None and net > TURNING_DEG:
+        held = ms + TURNED_MS
+    if not swinging:
+        return (ms, offset * math.exp(-passed / FORGET_S), held), (offset * math.exp(-passed / FORGET_S), False)
+    if (held is not None and ms < held) or sure is None or sure < SURE or walk is None or heading is None:
+        return (ms, offset, held), (offset, False)
+    # the way that is walked has no front: its nearer end is meant
+    now = (heading + offset) % 360.0
+    ahead = walk % 360.0 if abs(_turn(now, walk)) <= abs(_turn(now, walk + 180.0)) else (walk + 180.0) % 360.0
+    wanted = _turn(heading, ahead)
+    offset = _turn(0.0, offset + _turn(offset, wanted) * (1.0 - math.exp(-passed / FOLLOW_S)))
+    offset = max(-OFFSET_DEG, min(OFFSET_DEG, offset))
+    return (ms, offset, held), (offset, True)
+
+
+#: How far a swinging phone points beside the way its owner walks: it follows sure directions, forgets without swinging and is held in turns.
+WALK_OFFSET = Kernel("ms long, swinging boolean, net double, walk double, sure double, heading double", "ms long, offset double, held long", "offset double, active boolean", _offset)

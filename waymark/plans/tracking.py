@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.operators import corridors, escalators, guiding, motion, stateful
+from waymark.operators import corridors, escalators, guiding, motion, preview, stateful
+from waymark.plans.motion import folded
 from waymark.plans.queries import QUERIES, SAMPLES
 from waymark.plans.queries import query as with_sql
 from waymark.sources.tables import edges, nodes, samples, table
@@ -195,3 +196,98 @@ def checkpoint_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("c", lambda c: (F.abs(c["target"] - F.col("seq") % 25) % 3).cast("double")).alias("metres"), edge.alias("edge"), (F.col("relation") != "off").alias("on_route"), F.lit(False).alias("lost"), (F.col("seq") % 19 == 0).alias("unsure"), F.lit(False).alias("rerouting"),
     )
     return stateful.replay(rows, "session", "seq", guiding.CHECKPOINT).where("decision is not null")
+
+
+def _turned(a: str, b: str) -> str:
+    """SQL for the shortest turn from a to b, in (-180, 180]."""
+    d = f"((({b}) - ({a})) % 360 + 360) % 360"
+    return f"(case when {d} > 180 then {d} - 360 else {d} end)"
+
+
+_WALKED = SAMPLES + """, o as (select *, row_number() over w as rn, 100 * (row_number() over w)::bigint as tick, (value * 3.6) % 360 as heading, (value * 7 + seq) % 360 as walk, (seq % 10) / 10.0 as sure, kind <> 'error' as swinging, case when kind = 'purchase' then 30.0 else 5.0 end as net from samples window w as (partition by session order by seq))"""
+_HELD = "case when o.net > 20 then o.tick + 1500 else s.h end"
+_AHEAD = f"case when abs({_turned('o.heading + s.v', 'o.walk')}) <= abs({_turned('o.heading + s.v', 'o.walk + 180')}) then o.walk else o.walk + 180 end"
+_NEW = f"greatest(-60.0::double, least(60.0::double, {_turned('0', 's.v + ' + _turned('s.v', _turned('o.heading', _AHEAD)) + ' * (1 - exp(-(o.tick - s.t) / 2500.0::double))')}))"
+
+
+@with_sql(folded(
+    "{'t': tick, 'v': 0.0::double, 'h': case when net > 20 then tick + 1500 else -1 end, 'a': swinging and not net > 20 and sure >= 0.35}",
+    f"case when not o.swinging then {{'t': o.tick, 'v': s.v * exp(-(o.tick - s.t) / 12000.0::double), 'h': {_HELD}, 'a': false}} when o.tick < {_HELD} or o.sure < 0.35 then {{'t': o.tick, 'v': s.v, 'h': {_HELD}, 'a': false}} else {{'t': o.tick, 'v': {_NEW}, 'h': {_HELD}, 'a': true}} end",
+    "round(s.v, 6) as walk_offset, s.a as active", _WALKED))
+def walk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each sample's phone points beside the way that is walked."""
+    by = Window.partitionBy("session").orderBy("seq")
+    v, q = F.col("value"), F.col("seq")
+    rows = samples(spark, sf_dir).select(
+        "session", "seq", (100 * F.row_number().over(by)).cast("long").alias("ms"), (F.col("kind") != "error").alias("swinging"), F.when(F.col("kind") == "purchase", 30.0).otherwise(5.0).alias("net"),
+        ((v * 7 + q) % 360).alias("walk"), (q % 10 / 10.0).alias("sure"), ((v * 3.6) % 360).alias("heading"),
+    )
+    return stateful.replay(rows, "session", "seq", motion.WALK_OFFSET).select("session", "seq", F.round("offset", 6).alias("walk_offset"), "active")
+
+
+def _seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples with n, their place in the session, as seconds."""
+    return samples(spark, sf_dir).where("session is not null and seq is not null").withColumn("n", (F.row_number().over(Window.partitionBy("session").orderBy("seq"))).cast("long"))
+
+
+@query
+def step_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks shown before they are confirmed: what each sample shows, what waits, and the lead."""
+    rows = _seconds(spark, sf_dir)
+    n, more = F.col("n"), F.when(F.col("kind") == "view", 2).otherwise(1)
+    by = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("count", F.sum(more).over(by))
+    batch = F.floor(n / 25) * 25
+    confirmed = F.max(F.when(n % 25 == 0, F.col("count"))).over(by)
+    known = seen.select(
+        "session", "seq", "count", (600 * n).alias("peak_ms"), (n % 40 > 2).alias("tracking"), F.when(F.col("seq") % 31 > 0, F.col("value") * 3.6).alias("heading"), (0.3 + F.col("seq") % 10 / 10.0).alias("stride"),
+        F.coalesce(confirmed, F.lit(0)).alias("steps"), (0.7 * F.coalesce(confirmed, F.lit(0))).alias("metres"), F.when(batch > 0, 600 * batch).alias("through"), F.when(F.col("seq") % 3 == 0, 1.6).alias("cadence"),
+    )
+    told = stateful.replay(known, "session", "seq", preview.PREVIEW)
+    shown = {c: F.array_join(F.transform(c, lambda x: F.round(x, 6)), ",") for c in ("shown_xs", "shown_ys")}
+    return told.withColumn("shown", F.array_join("shown", ",")).withColumns(shown).withColumns({c: F.round(c, 6) for c in ("metres", "x", "y", "ahead_m")})
+
+
+@with_sql(f"""with {SAMPLES}, n as (select *, row_number() over (partition by session order by seq) as n from samples),
+steps as (select session, 1000 * n as ms, value / 100 as dx, (value % 7) / 10 as dy, value / 50 as m from n where kind in ('view', 'click')),
+batches as (select session, 1000 * n + 500 as ms, 1000 * (n - 3) as through, value as x, value / 2 as y from n where n % 8 = 0),
+asked as (select session, seq, 1000 * n + 700 as ms from n),
+at as (select a.session, a.seq, a.ms, arg_max(b.through, b.ms) as through, arg_max(b.x, b.ms) as bx, arg_max(b.y, b.ms) as b_y from asked a left join batches b on b.session = a.session and b.ms <= a.ms group by all),
+placed as (select p.session, p.seq, p.ms, coalesce(any_value(bx), 0) + coalesce(sum(dx) filter (s.ms > coalesce(p.through, -1)), 0) as x, coalesce(any_value(b_y), 0) + coalesce(sum(dy) filter (s.ms > coalesce(p.through, -1)), 0) as y,
+  count(s.ms) filter (s.ms > coalesce(p.through, -1)) as ahead, coalesce(sum(m) filter (s.ms > coalesce(p.through, -1)), 0) as ahead_m, coalesce(sum(dx), 0) as tx, coalesce(sum(dy), 0) as ty
+  from "at" p left join steps s on s.session = p.session and s.ms <= p.ms group by p.session, p.seq, p.ms),
+moved as (select *, x - lag(x) over w - (tx - lag(tx) over w) as gx, y - lag(y) over w - (ty - lag(ty) over w) as gy from placed window w as (partition by session order by seq))
+select session, seq, round(x, 6) as x, round(y, 6) as y, ahead, round(ahead_m, 6) as ahead_m, round(coalesce(sqrt(gx * gx + gy * gy), 0), 6) as taken_back from moved""".replace("at as (select a.session", '"at" as (select a.session'))
+def reconciled_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places from the last batch and the steps shown since its end, and what each batch takes back."""
+    rows, n, v = _seconds(spark, sf_dir), F.col("n"), F.col("value")
+    steps = rows.where("kind in ('view', 'click')").select("session", (1000 * n).alias("ms"), (v / 100).alias("dx"), (v % 7 / 10).alias("dy"), (v / 50).alias("metres"))
+    batches = rows.where("n % 8 = 0").select("session", (1000 * n + 500).alias("ms"), (1000 * (n - 3)).alias("through"), v.alias("x"), (v / 2).alias("y"))
+    out = preview.reconciled(rows.select("session", "seq", (1000 * n + 700).alias("ms")), batches, steps, "session")
+    return out.withColumn("ahead", F.col("ahead").cast("long")).withColumns({c: F.round(c, 6) for c in ("x", "y", "ahead_m", "taken_back")})
+
+
+@with_sql(f"""with {SAMPLES}, n as (select *, row_number() over (partition by session order by seq) as n from samples),
+turns as (select session, 1000 * n as "at", kind = 'click' as "on" from n where kind in ('click', 'error')),
+batches as (select session, seq as batch, 3 + seq % 7 as steps, case when seq % 13 > 0 then 1000 * (n - 5) - 300 end as a, 1000 * n - 300 as b, seq % 2 = 0 as "on", case when seq % 3 > 0 then list_transform(range(0, 4 + seq % 3), lambda k: 1000 * (n - 6) + 1300 * k) end as peaks from n where n % 5 = 0),
+spans as (select * from batches where a is not null),
+p as (select session, batch, unnest(peaks) as "at", a, b from spans),
+inside as (select p.*, coalesce((select arg_max(t."on", t.at) from turns t where t.session = p.session and t.at <= p.at), true) as state from p where p.at > a and p.at <= b),
+by_peak as (select session, batch, count(*) as n_peaks, count(*) filter (state) as n_on, coalesce(list("at" order by "at") filter (state), []) as on_peaks from inside group by all),
+ranges as (select session, "at" as s, coalesce(lead("at") over (partition by session order by "at"), 1e15::bigint) as e, "on" from turns
+  union all select session, -1e15::bigint, min("at"), true from turns group by session union all select distinct session, -1e15::bigint, 1e15::bigint, true from n where session not in (select session from turns)),
+laps as (select b.session, b.batch, greatest(s, a) as s, least(e, b) as e from spans b join ranges r on r.session = b.session and r."on" and r.s < b and r.e > a),
+by_time as (select session, batch, sum(e - s) as on_ms, min(s) as s, max(e) as e from laps group by all),
+met as (select b.*, by_peak.n_peaks, by_peak.on_peaks, t.s, t.e, case when a is null then b."on"::int::double when coalesce(n_peaks, 0) > 0 then n_on / n_peaks else coalesce(on_ms, 0) / (b.b - a) end as fraction
+  from batches b left join by_peak using (session, batch) left join by_time t using (session, batch)),
+kept as (select *, least(steps, round(steps * fraction))::bigint as kept from met)
+select session, batch, kept, round(fraction, 6) as fraction, case when a is not null and kept < steps and s is not null then s else a end as from_ms, case when a is not null and kept < steps and s is not null then e else b end as to_ms,
+  array_to_string(case when a is not null and kept < steps and on_peaks is not null then on_peaks else peaks end, ',') as peaks from kept""")
+def tracked_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of each batch that were walked while tracking was on, by its peaks, else by time."""
+    rows, n, q = _seconds(spark, sf_dir), F.col("n"), F.col("seq")
+    turns = rows.where("kind in ('click', 'error')").select("session", (1000 * n).alias("at"), (F.col("kind") == "click").alias("on"))
+    peaks = F.transform(F.sequence(F.lit(0).cast("long"), 3 + q % 3), lambda k: 1000 * (n - 6) + 1300 * k)
+    batches = rows.where("n % 5 = 0").select("session", q.alias("batch"), (3 + q % 7).alias("steps"), F.when(q % 13 > 0, 1000 * (n - 5) - 300).alias("a"), (1000 * n - 300).alias("b"), (q % 2 == 0).alias("on"), F.when(q % 3 > 0, peaks).alias("peaks"))
+    out = preview.tracked_part(batches, turns, "session", F.lit(True))
+    return out.withColumns({"fraction": F.round("fraction", 6), "peaks": F.array_join(F.col("peaks").cast("array<string>"), ",")})
