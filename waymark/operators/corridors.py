@@ -444,10 +444,10 @@ def networks(edges: DataFrame) -> DataFrame:
     """floor, network: a floor's corridors as one text.
 
     edges: floor, id, source, target, both, access, xs, ys (a line of at least two
-    points).  A row holds one floor, whose size a building bounds; edges between
+    points), and a penalty for matching if there is one.  A row holds one floor, whose size a building bounds; edges between
     floors are left out before.
     """
-    line = F.struct("id", "source", "target", "both", "access", "xs", "ys")
+    line = F.struct("id", "source", "target", "both", "access", "xs", "ys", *(["penalty"] if "penalty" in edges.columns else []))
     return edges.where("size(xs) >= 2 and size(xs) = size(ys)").groupBy("floor").agg(F.to_json(F.sort_array(F.collect_list(line))).alias("network"))
 
 

@@ -138,11 +138,12 @@ def tracked_part(batches: DataFrame, turns: DataFrame, key: str, first_on: Colum
     peaks = spans.select(key, "batch", F.explode(inside).alias("at")).select(key, F.col("at").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("on"), F.lit(None).cast("boolean").alias("was"), "batch", F.lit("peak").alias("what"))
     # a turn at a span's beginning counts, one at its end does not
     events = switched.unionByName(asks(F.col("a"), 2, "a")).unionByName(asks(F.col("b"), -1, "b")).unionByName(peaks)
-    so_far, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(1, Window.unboundedFollowing)
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(key).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)  # what follows, without a frame to the end
     known = events.withColumn("state", F.coalesce(F.last("on", ignorenulls=True).over(so_far), first_on))
     lasted = F.when(F.coalesce(F.lag("state").over(by), first_on), F.col("at") - F.lag("at").over(by)).otherwise(0)
     known = known.withColumn("lasted", F.coalesce(lasted, F.lit(0))).withColumns(
-        {"total": F.sum("lasted").over(so_far), "off_at": F.last(F.when((F.col("on") == F.lit(False)) & F.col("was"), F.col("at")), ignorenulls=True).over(so_far), "on_at": F.first(F.when(F.col("on"), F.col("at")), ignorenulls=True).over(ahead)}
+        {"total": F.sum("lasted").over(so_far), "off_at": F.last(F.when((F.col("on") == F.lit(False)) & F.col("was"), F.col("at")), ignorenulls=True).over(so_far), "on_at": F.last(F.when(F.col("on"), F.col("at")), ignorenulls=True).over(later)}
     )
     of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
     sides = known.where("what in ('a', 'b')").groupBy(key, "batch").agg(*(of(w, c).alias(f"{c}_{w}") for w in "ab" for c in ("total", "state", "off_at", "on_at")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.operators import corridors, escalators, guiding, motion, preview, stateful
+from waymark.operators import corridors, escalators, guiding, matching, motion, preview, shapes, stateful
 from waymark.plans.motion import folded
 from waymark.plans.queries import QUERIES, SAMPLES
 from waymark.plans.queries import query as with_sql
@@ -291,3 +291,57 @@ def tracked_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = rows.where("n % 5 = 0").select("session", q.alias("batch"), (3 + q % 7).alias("steps"), F.when(q % 13 > 0, 1000 * (n - 5) - 300).alias("a"), (1000 * n - 300).alias("b"), (q % 2 == 0).alias("on"), F.when(q % 3 > 0, peaks).alias("peaks"))
     out = preview.tracked_part(batches, turns, "session", F.lit(True))
     return out.withColumns({"fraction": F.round("fraction", 6), "peaks": F.array_join(F.col("peaks").cast("array<string>"), ",")})
+
+
+@query
+def map_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample's edge by the plain map matcher, whether it is suspect or recovered, and its way along the graph."""
+    rows = corridors.with_network(walks(spark, sf_dir).select("session", "seq", "floor", "x", "y"), corridors.networks(floor_edges(spark, sf_dir)), "session", "seq")
+    told = stateful.replay(rows, "session", "seq", matching.MATCH)
+    return told.withColumns({c: F.round(c, 6) for c in ("progress", "at_x", "at_y", "away", "way")})
+
+
+@with_sql("""with n as (select n_nationkey as node, (n_nationkey * 37 % 100)::double as x, (n_nationkey * 53 % 80)::double as y from nation),
+r as (select n_nationkey as route, k, (n_nationkey + k) % 25 as a, (n_nationkey + k + 1) % 25 as b, n_nationkey % 2 = 1 as back from nation, range(8) t(k) where n_nationkey < 10),
+pts as (
+  select route, case when back then 7 - k else k end as nth, case when back then 2 - p else p end as p, case p when 0 then s.x when 1 then (s.x + t.x) / 2 + 1 else t.x end as x, case p when 0 then s.y when 1 then (s.y + t.y) / 2 - 1 else t.y end as y
+  from r join n s on s.node = a join n t on t.node = b, range(3) q(p) where a % 3 > 0 or p <> 1),
+kept as (select * from pts where nth = 0 or p > 0)
+select route, sum(metres) as metres, max(lats) as lats, max(lons) as lons from (
+  select route, (select sum(5 + (3 * a + 5 * b) % 17) from r where r.route = kept.route)::double as metres,
+    string_agg(round(37.5 + 0.00001 * (y + 0.1 * x), 9)::varchar, ',' order by nth, p) as lats, string_agg(round(127.0 + 0.00001 * (x - 0.1 * y), 9)::varchar, ',' order by nth, p) as lons from kept group by route) group by route""")
+def floor_route_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of routes on the globe: the lines of their edges put together, turned where walked backwards."""
+    routes, lines = route_lines(spark, sf_dir)
+    at = nodes(spark, sf_dir).select("id", "x", "y")
+    a, b = at.toDF("source", "ax", "ay"), at.toDF("target", "bx", "by")
+    bent = F.col("source") % 3 > 0
+    mid = lambda p, q, by: (F.col(p) + F.col(q)) / 2 + by
+    length = (5 + (3 * F.col("source") + 5 * F.col("target")) % 17).cast("double")
+    drawn = lines.join(a, "source").join(b, "target").select("edge", "source", "target", length.alias("length"), F.when(bent, F.array("ax", mid("ax", "bx", 1), "bx")).alias("xs"), F.when(bent, F.array("ay", mid("ay", "by", -1), "by")).alias("ys"))
+    out = shapes.route_line(routes, drawn, at)
+    lat = F.zip_with("xs", "ys", lambda x, y: F.round(37.5 + 0.00001 * (y + 0.1 * x), 9).cast("string"))
+    lon = F.zip_with("xs", "ys", lambda x, y: F.round(127.0 + 0.00001 * (x - 0.1 * y), 9).cast("string"))
+    return out.select("route", "metres", F.array_join(lat, ",").alias("lats"), F.array_join(lon, ",").alias("lons"))
+
+
+@with_sql(f"""with {SAMPLES}, t as (select session, value as v, 7 * row_number() over (partition by session order by seq) + case when seq % 23 = 0 then 3 else 0 end + 60 * (row_number() over (partition by session order by seq) // 50) as ms from samples),
+p as (select session, ms, v, lead(ms) over w as ms2, lead(v) over w as v2 from t window w as (partition by session order by ms)),
+e as (select session, max(ms) - 5 * 399 as start from t group by session),
+f as (select p.*, start, unnest(range(greatest(0, floor((ms - start) / 5.0)::bigint + 1), floor((ms2 - start) / 5.0)::bigint + 1)) as frame from p join e using (session) where ms2 > ms and ms2 >= start)
+select session, frame::int as frame, case when ms2 - ms <= 40 then round(v + (v2 - v) * (start + frame * 5 - ms) / (ms2 - ms), 6) end as v from f""")
+def resampled_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 400 frames of each session at 200 Hz, on the lines between its samples; null over longer gaps."""
+    n = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
+    rows = samples(spark, sf_dir).where("session is not null and seq is not null").withColumn("n", n)
+    timed = rows.select("session", F.col("value").alias("v"), (7 * F.col("n") + F.when(F.col("seq") % 23 == 0, 3).otherwise(0) + 60 * F.floor(F.col("n") / 50)).alias("ms"))
+    return shapes.on_grid(timed, "session", "ms", ["v"], 5, 400, 40).withColumn("v", F.round("v", 6))
+
+
+@query
+def label_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a floor's store labels are placed: far from those before, and large. A part is a store, forty brands and kinds are floors."""
+    key = F.col("p_partkey")
+    floor = F.concat_ws("/", F.col("p_brand"), F.split("p_type", " ")[0], F.col("p_size").cast("string"))
+    stores = table(spark, sf_dir, "part").select(floor.alias("floor"), key.alias("id"), F.col("p_name").alias("name"), (37.5 + key * 37 % 1009 * 1e-6).alias("lat"), (127.0 + key * 53 % 997 * 1e-6).alias("lon"), (key * 13 % 211).cast("double").alias("area"))
+    return shapes.label_priority(stores)
