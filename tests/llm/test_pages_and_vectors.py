@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from waymark.llm import registry, topk, urlfilter
+from waymark.llm import html, registry, topk, urlfilter
 from waymark.llm.components import connected_components
 
 
@@ -132,7 +132,7 @@ def test_top_k_rules_out_most_of_clustered_vectors(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_malformed_declarations_and_odd_tables(spark):
@@ -145,3 +145,36 @@ def test_malformed_declarations_and_odd_tables(spark):
     assert len(out) == 12 and {r.page_id for r in out if r.verdict == "block"} == {1}
     none = pages.limit(0)
     assert urlfilter.url_verdicts(none, urlfilter.link_edges(none), urlfilter.rule_table(spark)).collect() == []
+
+
+LONG = "<h1>Title</h1>" + "<p>Long text, with commas. And more of it, as is usual.</p>" * 6
+ALONE = "One sentence that stands alone here, with words. Another, too."
+
+
+def test_compound_names_say_what_they_are_as_a_whole():
+    for kept in ('<section class="advert-free">%s</section>', '<p class="ad-hoc-query">%s</p>', '<p class="notice-of-death">%s</p>', '<ul class="menu-of-the-day"><li>%s</li></ul>'):
+        assert ALONE in html.main_text(f"<body><article>{LONG}{kept % ALONE}</article></body>")
+    for goes in ("comments-area", "cookie-banner", "site-header", "site-footer", "nav-wrap", "page_sidebar_2"):
+        block = f'<div class="{goes}"><p>{ALONE}</p></div>'
+        for page in (f"<div>{LONG}</div>{block}", f"{block}<div>{LONG}</div>", f"{block}<article>{LONG}</article>", f"<article>{LONG}</article>{block}"):
+            assert ALONE not in html.main_text(f"<body>{page}</body>"), (goes, page[:20])
+
+
+def test_the_threshold_decides_where_nothing_is_marked():
+    page = f"<body><div><a>Home</a><a>Other</a></div><div>{LONG}<div>Short note.</div></div><div>c example</div></body>"
+    found = {t: html.main_text(page, t) for t in (0.0, 0.25, 1.0)}
+    assert "Home" in found[0.0] or "c example" in found[0.0]
+    assert found[0.25].startswith("Title") and "Home" not in found[0.25] and "c example" not in found[0.25]
+
+
+def test_unmarked_pages_of_the_tables():
+    """Without article, menus' tags and names the text is the same for most pages."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] or "" for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    tags = re.compile(r"(</?)(?:article|main|nav|aside|footer|header|form|dialog|menu|search)\b", re.I)
+    names = re.compile(r"\s(?:class|id|role|aria-\w+|style|hidden)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+    same = sum(html.main_text(p) == html.main_text(names.sub("", tags.sub(r"\1div", p))) for p in pages)
+    assert same >= 0.95 * len(pages)

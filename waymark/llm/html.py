@@ -5,9 +5,12 @@ told apart.  Each path gets two ratios: characters a node and punctuation marks
 a node.  Their fusion, weighed by what the path's tags say (more inside an
 article or main element, less inside a block named as an addition, nothing
 inside boilerplate), is smoothed over the paths in page order.  Paths at or above a
-share of the page's best score are the core.  Content is the core, all else
-that a core article or a core path's own container holds, and what lies between
-core paths in their common container, headings before them included.  The text of content nodes, block by
+share of the page's best score are the core.  The innermost element that holds
+most of the core holds the content: the core in it, all else that a core article
+or a core path's own container holds, and what lies between core paths in their
+common container, headings before them included.  A class or id names boilerplate
+only as a whole: every part of it is such a word or says what kind of block it is.
+The text of content nodes, block by
 block in page order, is the page's text.
 
 Defined cases: null and empty html give the empty text; unclosed, crossed and
@@ -37,6 +40,9 @@ SMOOTH = (0.1, 0.8, 0.1)
 INSIDE, ADDITION = 3.0, 0.3
 #: Share of the core's characters that the common container of a page holds.
 COMMON = 0.8
+#: An element holds the content, whatever lies beside it, from this share of the core's characters on: all of them at a
+#: threshold of 0, where all paths are core, and less the fewer paths a threshold makes core (0.6 at 0.25), never under half.
+HOLDS = lambda threshold: max(0.5, 1 - 1.6 * threshold)
 
 # Element names and words of class and id attributes.
 RAW = frozenset("script style noscript template svg iframe object textarea title xmp".split())
@@ -54,8 +60,8 @@ BOILERPLATE_WORDS = frozenset(
 ADDITION_WORDS = frozenset("related recommended share sharing social widget".split())
 TEXT_TAGS = INLINE | frozenset("p blockquote pre ul ol li dl dd dt table tbody thead tr td th figure figcaption h1 h2 h3 h4 h5 h6".split())
 HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# names that hold one of these say what else is on the page; headings of content are content
-BESIDE = frozenset("with without no not has".split())
+# a compound name says what an element is if all its parts are such words or say only where or what kind of block it is; headings of content are content
+PLACES = frozenset("site page post entry article story blog news main global top bottom left right inner outer primary secondary area bar block body box col column content container group holder inner item items links list panel row section strip widget wrap wrapper zone form title text unit slot".split())
 HEADINGS = frozenset("header masthead".split())
 CONTENT_TAGS = frozenset("article main".split())
 
@@ -78,16 +84,23 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def _named(tag: str, attributes: str, content: bool) -> frozenset[str]:
-    """The words by which a class or id says what an element is: whole names, inside content also their parts."""
+def _says(word: str) -> bool:
+    """Whether a word names boilerplate."""
+    return word in BOILERPLATE_WORDS or word.startswith("nav")
+
+
+def _named(tag: str, attributes: str, content: bool) -> tuple[bool, bool]:
+    """Whether a class or id says that an element is boilerplate, and whether it says that it adds to a text."""
     if not attributes or tag in ("html", "body"):
-        return frozenset()
-    found: set[str] = set()
+        return False, False
+    closes = adds = False
     for name in " ".join(a or b or c for a, b, c in _MARKS.findall(attributes)).lower().split():
-        parts = re.split("[_-]+", name) if content and tag not in CONTENT_TAGS else [name]
-        if BESIDE.isdisjoint(parts):
-            found.update(part for part in parts if not (content and part in HEADINGS))
-    return frozenset(found)
+        parts = [part for part in re.split("[_-]+", name) if part and not part.isdigit()]
+        known = [part for part in parts if _says(part) or part in ADDITION_WORDS]
+        if known and all(part in known or part in PLACES for part in parts) and not (content and HEADINGS.issuperset(known)):
+            adds = adds or not ADDITION_WORDS.isdisjoint(known)
+            closes = closes or any(map(_says, known))
+    return closes, adds
 
 
 @dataclass
@@ -98,6 +111,7 @@ class Page:
     tags: list[str]
     homes: list[int]  # the innermost article or main that a path lies in or is, 0 for none
     nodes: list[tuple[int, int, str, bool, int]]  # path, block, text, inside an addition, number of the element that its block of text lies in
+    within: list[int]  # of each such element the one around it
 
 
 def parse(page: str) -> Page:
@@ -106,7 +120,7 @@ def parse(page: str) -> Page:
     number: dict[tuple[int, str], int] = {}
     # an open element: (tag, path, is boilerplate, number of the innermost one around that a class or id closes, is an addition, box)
     stack: list[tuple[str, int, bool, int, bool, int]] = [("", 0, False, 0, False, 0)]
-    boxes = 0
+    boxes = [0]
     depth: dict[str, int] = {}  # how many elements of a name are open
     nodes: list[tuple[int, int, str, bool, bool, int, int]] = []
     outer = [0]  # of each closed element the one around it
@@ -163,8 +177,8 @@ def parse(page: str) -> Page:
             _, path, boilerplate, closed, added, box = stack[-1]
             content = bool(homes[path])
             boilerplate = boilerplate or (_is_boilerplate(tag, attributes) and not (tag == "header" and content))
-            names = frozenset() if boilerplate else _named(tag, attributes, content)
-            added = added or not names.isdisjoint(ADDITION_WORDS)
+            closes, adds = (False, False) if boilerplate else _named(tag, attributes, content)
+            added = added or adds
             # an element that is an article has a path of its own
             key = (path, f"{tag} {len(tags)}" if tag == "article" else tag)
             if key not in number:
@@ -172,7 +186,7 @@ def parse(page: str) -> Page:
                 around.append(path)
                 tags.append(tag)
                 homes.append(len(tags) - 1 if tag in CONTENT_TAGS else homes[path])
-            if not names.isdisjoint(BOILERPLATE_WORDS) or any(name.startswith("nav") for name in names):
+            if closes and tag not in CONTENT_TAGS:
                 outer.append(closed)
                 opened.append(False)
                 closed = len(outer) - 1
@@ -182,14 +196,14 @@ def parse(page: str) -> Page:
                     opened[wrapper] = True
                     wrapper = outer[wrapper]
             if tag not in TEXT_TAGS:
-                boxes += 1
-                box = boxes
+                boxes.append(box)
+                box = len(boxes) - 1
             stack.append((tag, number[key], boilerplate, closed, added, box))
             depth[tag] = depth.get(tag, 0) + 1
     shut = [False]
     for k in range(1, len(outer)):
         shut.append(shut[outer[k]] or not opened[k])
-    return Page(around, tags, homes, [(path, n, entities.unescape(text), added, box) for path, n, text, boilerplate, added, closed, box in nodes if not (boilerplate or shut[closed])])
+    return Page(around, tags, homes, [(path, n, entities.unescape(text), added, box) for path, n, text, boilerplate, added, closed, box in nodes if not (boilerplate or shut[closed])], boxes)
 
 
 def scores(page: Page) -> dict[tuple[int, bool], float]:
@@ -225,6 +239,20 @@ def _common(page: Page, size: dict[int, int]) -> int:
     return top
 
 
+def _holder(page: Page, size: dict[int, int], share: float) -> list[bool]:
+    """Which elements lie in the innermost one that holds most of the core's characters."""
+    total, held = sum(size.values()), [0] * len(page.within)
+    for box in range(len(page.within) - 1, -1, -1):  # an element's number is higher than that of the one around it
+        held[box] += size.get(box, 0)
+        if box:
+            held[page.within[box]] += held[box]
+    top = max((box for box, n in enumerate(held) if n >= share * total), default=0)
+    inside = [False] * len(page.within)
+    for box in range(len(page.within)):
+        inside[box] = box == top or (box > 0 and inside[page.within[box]])
+    return inside
+
+
 def content_nodes(page: Page, threshold: float = THRESHOLD) -> list[bool]:
     """Which text nodes are content."""
     score = scores(page)
@@ -232,15 +260,17 @@ def content_nodes(page: Page, threshold: float = THRESHOLD) -> list[bool]:
     core = {key for key, s in score.items() if s >= threshold * best}
     in_core = [(path, added) in core for path, _, _, added, _ in page.nodes]
     size: dict[int, int] = {}
-    for (path, _, text, _, _), chosen in zip(page.nodes, in_core, strict=True):
+    sizes: dict[int, int] = {}
+    for (path, _, text, _, box), chosen in zip(page.nodes, in_core, strict=True):
         if chosen:
             size[path] = size.get(path, 0) + len(text.strip())
+            sizes[box] = sizes.get(box, 0) + len(text.strip())
     if not core:
         return in_core
     homes = {page.homes[path] for path, _ in core} - {0}
     first = in_core.index(True)
     last = len(in_core) - 1 - in_core[::-1].index(True)
-    top = _common(page, size)
+    top, holds = _common(page, size), _holder(page, sizes, HOLDS(threshold))
     under = [False] * len(page.tags)
     heading = [False] * len(page.tags)
     for path in range(len(page.tags)):
@@ -248,7 +278,7 @@ def content_nodes(page: Page, threshold: float = THRESHOLD) -> list[bool]:
         heading[path] = page.tags[path] in HEADING_TAGS or (path > 0 and heading[page.around[path]])
     boxes = {box for (_, _, text, _, box), chosen in zip(page.nodes, in_core, strict=True) if chosen and text.strip()}
     return [
-        chosen or (not added and (page.homes[path] in homes or box in boxes or (under[path] and (first < k < last or (k < first and heading[path])))))
+        page.homes[path] in homes and not added or holds[box] and (chosen or (not added and (box in boxes or (under[path] and (first < k < last or (k < first and heading[path]))))))
         for k, ((path, _, _, added, box), chosen) in enumerate(zip(page.nodes, in_core, strict=True))
     ]
 
