@@ -150,3 +150,25 @@ def test_long_jwts_are_one_finding(spark):
     docs = spark.createDataFrame([(1, f"token={long}"), (2, "x" + "eyJ" * 300_000)], "doc_id long, text string")
     found = secrets.candidates(docs, "doc_id").collect()
     assert [(r.doc_id, r.kind, len(r.candidate)) for r in found] == [(1, "jwt", len(long))]
+
+
+def test_look_alikes_of_the_tables_kind_are_rejected_and_their_secrets_kept(spark):
+    """The same forty hex digits are a secret behind a token's name and none behind a commit's."""
+    words = secrets.word_list(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(words) > 20_000 and {"password", "network", "zurich"} <= set(words)
+    model = secrets.train(secrets.seed_findings(spark), words=words)
+    hexa = "269b1cea0846965f2d3ecb5cdb87c0edc7a7a587"
+    texts = [
+        f'ring token = "{hexa}" eringing', f'jo@mail6.example.com token = "{hexa}" de', f"the build of commit {hexa} passed", f'sha1 = "{hexa}" of the file', "use network_password_version_12 here",
+        'token = "xxxxxxxxxxxxxxxx123"', "etag: 5f93f983524def3dca464469d2cf9f3e", "trace 123e4567-e89b-12d3-a456-426614174000 ended",
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.is_secret for r in secrets.scan(docs, model, words=words).collect()}
+    assert out == {k: k < 2 for k in range(len(texts))}
+
+
+def test_coverage_is_that_of_the_longest_words(spark):
+    words = ["pass", "word", "password", "network"]
+    rows = spark.createDataFrame([("MyPasswordNetwork",), ("passwor",), ("xyz",), ("pa-ss-word",), ("",), ("password" * 2000,)], "candidate string")
+    out = {r.candidate: round(r.covered * max(1, len(r.candidate))) for r in secrets.with_coverage(rows, words).collect()}
+    assert out == {"MyPasswordNetwork": 15, "passwor": 4, "xyz": 0, "pa-ss-word": 4, "": 0, "password" * 2000: 16_000}

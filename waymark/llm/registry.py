@@ -16,7 +16,8 @@ WORDS_SQL = r"regexp_extract_all(" + LOWER_SQL.format("coalesce(text, '')") + r"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.seed_findings(spark)), path="source")
+    words = secrets.word_list(public_tokenizers.path("word_bpe_49k.json"))
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.seed_findings(spark), words=words), path="source", words=words)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

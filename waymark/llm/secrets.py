@@ -22,6 +22,9 @@ from; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -68,7 +71,7 @@ CANDIDATE = "|".join(f"(?:{p})" for _, p in FORMATS)
 # What every candidate has: letters beside digits in one run, or what a known format begins with.
 MIXED = "[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]"
 BEGINNINGS = "AKIA ASIA AROA AIDA ghp_ gho_ ghu_ ghs_ ghr_ glpat- xox sk_live_ sk_test_ rk_live_ rk_test_ AIza npm_ eyJ ://".split()
-# Words that cover a candidate, and neighbours that speak for and against a secret.
+# Words of look-alikes, which also are the dictionary where no word list is given, and neighbours that speak for and against a secret.
 DICTIONARY = (
     "password passwd secret example sample dummy changeme change your insert here test token key placeholder default admin user login value string name api access private public data file image "
     "version build release branch commit index content document page item node class static service server client config sender receiver number system module package license general "
@@ -87,6 +90,49 @@ _FEATURES = [
 ]
 
 
+#: Letters of the shortest and the longest dictionary word that counts, and how many pairs of letters count as common.
+WORD_LETTERS, COMMON_PAIRS = (4, 12), 150
+
+
+def word_list(path: str) -> list[str]:
+    """The words of a public vocabulary file (a tokenizer's json whose whole words end with a suffix): its lower-case entries of fitting length."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix") or ""
+    least, most = WORD_LETTERS
+    words = (token.removesuffix(end) for token in model["vocab"] if token.endswith(end))
+    return sorted({w for w in words if least <= len(w) <= most and w.isascii() and w.isalpha() and w.islower()})
+
+
+def _pairs(words: list[str]) -> list[str]:
+    """The pairs of letters that most words have."""
+    seen = Counter(pair for w in words for pair in {w[k : k + 2] for k in range(len(w) - 1)})
+    return [pair for pair, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:COMMON_PAIRS]]
+
+
+def with_coverage(findings: DataFrame, words: list[str]) -> DataFrame:
+    """findings with covered: the share of a candidate's characters that lie in dictionary words.
+
+    Every run of a word's length within a candidate's letters is looked up by a
+    join, so time does not grow with the dictionary; the dictionary is a
+    vocabulary's size and broadcast.
+    """
+    least, most = WORD_LETTERS
+    known = findings.sparkSession.range(1).select(F.explode(F.split(F.lit(" ".join(words)), " ")).alias("_word"))
+    rows = cut(findings.withColumn("_row", F.monotonically_increasing_id()))
+    text = F.lower("candidate")
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - least + 1)), lambda i: F.struct(i.alias("i"), F.length(F.regexp_extract(F.substring(text, i, F.lit(most)), "^[a-z]+", 0)).alias("n")))
+    runs = rows.select("_row", text.alias("_text"), F.explode(F.filter(at, lambda a: a["n"] >= least)).alias("a"))
+    parts = runs.select("_row", "_text", F.col("a.i").alias("_at"), F.explode(F.sequence(F.lit(least), F.col("a.n"))).alias("_n"))
+    found = parts.withColumn("_word", F.substring(F.col("_text"), F.col("_at"), F.col("_n"))).join(F.broadcast(known), "_word")
+    # the longest word at each place covers what shorter ones there do
+    longest = found.groupBy("_row", "_at").agg(F.max("_n").alias("_n"))
+    places = longest.select("_row", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1)).alias("p")).distinct()
+    covers = places.groupBy("_row").agg(F.count("*").alias("_letters"))
+    out = rows.join(covers, "_row", "left")
+    return out.select(*findings.columns, (F.coalesce("_letters", F.lit(0)) / F.greatest(F.length("candidate"), F.lit(1))).alias("covered"))
+
+
 def _any_of(words: str) -> str:
     return "|".join(words.split())
 
@@ -95,8 +141,10 @@ def _as_words(words: str) -> str:
     return rf"(?i)(?:^|[^a-z0-9])(?:{_any_of(words)})(?:[^a-z0-9]|$)"
 
 
-def with_features(findings: DataFrame) -> DataFrame:
-    """findings with candidate, before, after, path and the forest's features."""
+def with_features(findings: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """findings with candidate, before, after, path and the forest's features; words: the dictionary."""
+    words = words or [w for w in DICTIONARY.split() if len(w) >= WORD_LETTERS[0]]
+    findings = with_coverage(findings, words)
     c = F.col("candidate")
     length = F.length(c)
     share = lambda pattern: F.length(F.regexp_replace(c, f"[^{pattern}]", "")) / length
@@ -105,11 +153,10 @@ def with_features(findings: DataFrame) -> DataFrame:
     known = F.lit(0.0)
     for k, (_, pattern) in reversed(list(enumerate(FORMATS[:-1], 1))):
         known = F.when(c.rlike(f"^(?:{pattern})"), float(k)).otherwise(known)
-    uncovered = F.length(F.regexp_replace(c, f"(?i){_any_of(DICTIONARY)}", ""))
     letters = F.regexp_extract_all(c, F.lit("([A-Za-z]+)"), F.lit(1))
     # transitions between letters: the share of them that dictionary words make too
     pairs = F.regexp_extract_all(F.concat(F.lower(c), F.regexp_replace(F.lower(c), "^.", " ")), F.lit("([a-z][a-z])"), F.lit(1))
-    made = F.array(*map(F.lit, sorted({word[k : k + 2] for word in DICTIONARY.split() for k in range(len(word) - 1)})))
+    made = F.array(*map(F.lit, _pairs(words)))
     around = F.concat_ws(" ", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
     yes = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
     return findings.withColumns(
@@ -123,7 +170,6 @@ def with_features(findings: DataFrame) -> DataFrame:
             "transitions": 1 - F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) / length,
             "common_pairs": F.coalesce(F.size(F.filter(pairs, lambda p: F.array_contains(made, p))) / F.nullif(F.size(pairs), F.lit(0)), F.lit(0.0)),
             "vowel_pairs": F.size(F.regexp_extract_all(c, F.lit("(?i)([aeiou][bcdfghjklmnpqrstvwxyz])"), F.lit(1))) / length,
-            "covered": 1 - uncovered / length,
             "longest_letters": F.coalesce(F.array_max(F.transform(letters, F.length)), F.lit(0)) / length,
             "is_hex": yes(c.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
             "is_uuid": yes(c.rlike("(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")),
@@ -201,6 +247,8 @@ def seed_findings(spark: SparkSession, count: int = SEED_FINDINGS) -> DataFrame:
     # a known format is a secret without a word beside it too
     bare = is_secret & (form >= 4) & (F.pmod(F.xxhash64(i, F.lit("bare")), F.lit(3)) > 0)
     before = F.when(bare, pick(["", '{"a":"', ',"b":"', "1,order,", "url=", "see "], "s4")).when(is_secret, lead).when(hashed, F.concat(against, pick([" ", ": ", " is ", "="], "s2"))).otherwise(F.concat(pick(["the ", "see ", "a ", ""], "s3"), F.when(F.pmod(i, F.lit(3)) == 0, lead).otherwise(F.lit(""))))
+    # what stands before has often nothing to do with it, whatever it speaks of
+    before = F.concat(pick(["", "", "", "", "jo.5@mail.example.com ", "the order ", "a test, "], "aside"), before)
     path = pick(["src/app.py", "config/prod.yaml", "web", "notes", ".env", ""], "path")
     return spark.range(count).select(
         F.when(is_secret, secret).otherwise(look_alike).alias("candidate"),
@@ -211,28 +259,28 @@ def seed_findings(spark: SparkSession, count: int = SEED_FINDINGS) -> DataFrame:
     )
 
 
-def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
-    """A forest from labelled findings (candidate, before, after, path, label)."""
-    rows = with_features(labelled.where("candidate is not null and candidate <> '' and label in (0, 1)")).select(*_FEATURES, F.col("label").cast("double").alias("label"))
+def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, words: list[str] | None = None) -> PipelineModel:
+    """A forest from labelled findings (candidate, before, after, path, label); words: the dictionary, which must be that of the scan."""
+    rows = with_features(labelled.where("candidate is not null and candidate <> '' and label in (0, 1)"), words).select(*_FEATURES, F.col("label").cast("double").alias("label"))
     assembler = VectorAssembler(inputCols=_FEATURES, outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=17, featuresCol="features", labelCol="label")
     return PipelineModel([assembler, forest.fit(assembler.transform(cut(rows)))])
 
 
-def judged(found: DataFrame, model: PipelineModel, threshold: float = THRESHOLD) -> DataFrame:
+def judged(found: DataFrame, model: PipelineModel, threshold: float = THRESHOLD, words: list[str] | None = None) -> DataFrame:
     """found with score (probability of a secret) and is_secret."""
-    scored = model.transform(with_features(found))
+    scored = model.transform(with_features(found, words))
     probability = F.element_at(vector_to_array("probability"), 2)
     return scored.select(*found.columns, probability.alias("score"), (probability >= threshold).alias("is_secret"))
 
 
-def scan(docs: DataFrame, model: PipelineModel, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: PipelineModel, path: str | None = None, threshold: float = THRESHOLD, words: list[str] | None = None) -> DataFrame:
     """doc_id, word, kind, secret_sha256, length, score, is_secret of each candidate; the secret itself is not repeated."""
-    found = judged(candidates(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", path=path), model, threshold)
+    found = judged(candidates(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", path=path), model, threshold, words)
     return found.select("doc_id", "word", "kind", F.sha2("candidate", 256).alias("secret_sha256"), F.length("candidate").cast("long").alias("length"), "score", "is_secret")
 
 
-def redact(docs: DataFrame, model: PipelineModel, path: str | None = None, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, model: PipelineModel, path: str | None = None, mark: str = "[SECRET]", threshold: float = THRESHOLD, words: list[str] | None = None) -> DataFrame:
     """docs, all columns and rows kept, with each secret of a text replaced by ``mark``.
 
     Only texts with a candidate are joined with their findings, by hashes of id
@@ -243,7 +291,7 @@ def redact(docs: DataFrame, model: PipelineModel, path: str | None = None, mark:
     has = F.coalesce(suspicious(F.col("text")), F.lit(False))
     name = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id", F.lit(1)).alias("b"))
     named = cut(docs.where(has).withColumn("_name", name))
-    found = judged(candidates(named, "_name", path=path), model, threshold).where("is_secret")
+    found = judged(candidates(named, "_name", path=path), model, threshold, words).where("is_secret")
     secrets = found.groupBy("_name").agg(F.collect_set("candidate").alias("_secrets"))
     # the longest first, so that none is left in part where one holds another
     longest_first = F.array_sort("_secrets", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
