@@ -33,7 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
-    return secrets.redact(docs, secrets.train(secrets.seed_findings(spark)), path="source")
+    words = secrets.word_list(public_tokenizers.path("word_bpe_49k.json"))
+    return secrets.redact(docs, secrets.train(secrets.seed_findings(spark), words=words), path="source", words=words)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
