@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import dates, geo, text
 from waymark.operators import motion, stateful
 from waymark.plans.motion import ORDERED, TIMED, _by, _rows, _so_far, folded
-from waymark.plans.queries import EDGES, POINTS, REACH, STORES, _reach, query
+from waymark.plans.queries import EDGES, POINTS, REACH, SAMPLES, STORES, _reach, query
 from waymark.sources import tables as t
 
 
@@ -16,9 +16,10 @@ def _range(ms: int):
     return Window.partitionBy("session").orderBy("tick").rangeBetween(-ms, 0)
 
 
-_DEVIATIONS = f"""{TIMED}, w as (select session, seq, tick, value, list({{'s': seq, 'v': value}}) over r as l, min(tick) over r as since,
+_WINDOWED = """, w as (select session, seq, tick, value, list({'s': seq, 'v': value}) over r as l, min(tick) over r as since,
     atan2(avg(sin(radians(value))) over r, avg(cos(radians(value))) over r) as mean from samples window r as (partition by session order by tick range between WIDE preceding and current row)),
 d as (select session, seq, tick, since, len(l) as n, list_transform(l, lambda e: ((e.v - degrees(mean) + 180) % 360 + 360) % 360 - 180) as d, list_sort(l) as l from w)"""
+_DEVIATIONS = TIMED + _WINDOWED
 
 
 def _deviations(rows: DataFrame, ms: int) -> DataFrame:
@@ -40,13 +41,23 @@ def swing_range(spark, d):
     return held.select("session", "seq", F.when(F.col("n") < 6, 0.0).otherwise(F.round(swing, 6)).alias("swing"))
 
 
-@query(f"""with {_DEVIATIONS.replace("WIDE", "2000")}, h as (select *, n >= 4 and tick - since >= 800 and list_max(list_transform(d, lambda x: abs(x))) <= 60 as held from d)
+#: Samples of a phone that is held still but for errors: each 150 ms, headings an eighth of the value.
+_STEADY = SAMPLES.replace("value from events", "value / 8 + case when event_type = 'error' then 40 else 0 end as value, 150 * row_number() over (partition by user_id order by event_id) as tick from events")
+
+
+def settled(held: DataFrame, samples: int = 8, span_ms: int = 1200, most_deg: float = 12.0) -> DataFrame:
+    """session, seq, converged: whether a window has ever had enough samples over enough time with none far from their mean."""
+    now = (F.col("n") >= samples) & (F.col("tick") - F.col("since") >= span_ms) & (F.array_max(F.transform("d", F.abs)) <= most_deg)
+    return held.withColumn("settled", now).select("session", "seq", F.max("settled").over(_so_far()).alias("converged"))
+
+
+@query(f"""with {_STEADY + _WINDOWED.replace("WIDE", "2000")}, h as (select *, n >= 8 and tick - since >= 1200 and list_max(list_transform(d, lambda x: abs(x))) <= 12 as held from d)
 select session, seq, coalesce(bool_or(held) over (partition by session order by seq rows between unbounded preceding and current row), false) as converged from h""")
 def heading_convergence(spark, d):
-    """Whether a heading has ever settled: enough samples over enough of 2 s, none far from their mean."""
-    held = _deviations(_rows(spark, d), 2000)
-    settled = (F.col("n") >= 4) & (F.col("tick") - F.col("since") >= 800) & (F.array_max(F.transform("d", F.abs)) <= 60)
-    return held.withColumn("settled", settled).select("session", "seq", F.max("settled").over(_so_far()).alias("converged"))
+    """Whether a heading has ever settled: 8 samples over 1.2 s of the last 2 s, none 12 degrees from their mean."""
+    steady = F.col("value") / 8 + F.when(F.col("kind") == "error", 40.0).otherwise(0.0)
+    rows = t.samples(spark, d).withColumns({"value": steady, "tick": (150 * F.row_number().over(_by())).cast("long")})
+    return settled(_deviations(rows, 2000))
 
 
 _BASE = f"{TIMED}, b as (select session, seq, tick, value, max({{'t': tick, 's': seq, 'v': value}}) over (partition by session order by tick range between unbounded preceding and WIDE preceding) as b, first_value(value) over (partition by session order by tick, seq) as f from samples)"
@@ -72,10 +83,15 @@ def settle_rise(spark, d):
     return _base(_rows(spark, d).withColumn("begun", first), 3000).select("session", "seq", F.round(F.col("value") - F.coalesce("base.value", "begun"), 6).alias("rise"))
 
 
+def _from_end(last: int):
+    """What follows a row, told from the end, since a frame to the end is summed anew for each row."""
+    return Window.partitionBy("session").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, last)
+
+
 @query(f"with {TIMED} select session, seq, round(sum(value) over (partition by session order by seq rows between current row and unbounded following), 4) as remaining from samples")
 def remaining_sums(spark, d):
     """What is left from each sample to its session's end."""
-    return _rows(spark, d).select("session", "seq", F.round(F.sum("value").over(_by().rowsBetween(0, Window.unboundedFollowing)), 4).alias("remaining"))
+    return _rows(spark, d).select("session", "seq", F.round(F.sum("value").over(_from_end(0)), 4).alias("remaining"))
 
 
 @query(f"""with {TIMED}, m as (select *, floor(value / 40)::int as edge, coalesce((floor(value / 40) <> lag(floor(value / 40)) over (partition by session order by seq))::int, 0) as moved from samples),
@@ -142,7 +158,7 @@ def entrance_hysteresis(spark, d):
 @query(f"""with recursive {REACH}, {STORES} select category, arg_min(s.id, {{'u': r.length is null, 'l': coalesce(r.length, 0), 'f': s.floor <> 0, 'id': s.id}}) as id, min(r.length) as length from stores s left join reach r using (node) group by category""")
 def nearest_by_walking(spark, d):
     """The store of each category at the least walking distance; the current floor's first where none can be reached."""
-    found = t.stores(spark, d).join(F.broadcast(_reach(spark, d)), "node", "left")
+    found = t.stores(spark, d).join(_reach(spark, d), "node", "left")
     order = F.struct(F.col("length").isNull(), F.coalesce("length", F.lit(0.0)), F.col("floor") != 0, "id")
     return found.groupBy("category").agg(F.min_by("id", order).alias("id"), F.min("length").alias("length"))
 

@@ -58,7 +58,7 @@ def reach_single_source(spark, d):
 @query(f"with recursive {REACH}, {STORES} select s.id, r.length, row_number() over (order by r.length nulls last, s.id)::bigint as place from stores s left join reach r using (node)")
 def search_order_by_reach(spark, d):
     """All stores by walking distance, unknown distances last."""
-    found = t.stores(spark, d).join(F.broadcast(_reach(spark, d)), "node", "left").select("id", "length")  # one building's nodes
+    found = t.stores(spark, d).join(_reach(spark, d), "node", "left").select("id", "length")
     return sequences.numbered(found, F.asc_nulls_last("length"), "id")
 
 

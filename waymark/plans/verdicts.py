@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geo, text
 from waymark.operators import graph, lines, motion, stateful
 from waymark.plans import guidance, routes
+from waymark.plans.guidance import _from_end
 from waymark.plans.motion import TIMED, _by, _rows, _so_far, folded
 from waymark.plans.queries import EDGES, POINTS, REACH, SQL, STORES, _reach, query
 from waymark.sources import tables as t
@@ -130,13 +131,16 @@ def transit_offers(spark, d):
     return trips.withColumn("place", F.row_number().over(Window.partitionBy("customer").orderBy("o_totalprice", "id")).cast("long")).where("place <= 3").drop("o_totalprice")
 
 
-@query("""with a as (select o_custkey as customer, o_orderkey as id, o_orderkey % 4 as points, row_number() over (partition by o_custkey order by o_orderkey) - 1 as idx from orders)
-select customer, id from a where idx <> customer % 3 and points >= 2""")
+@query("""with lines as (select l_orderkey as id, list({'x': l_partkey, 'y': l_suppkey} order by l_linenumber, l_partkey, l_suppkey) as line from lineitem where l_orderkey % 3 > 0 or l_linenumber = 1 group by l_orderkey),
+a as (select o_custkey as customer, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as idx from orders)
+select customer, a.id, len(line) as points, line[1].x as first_x, line[-1].x as last_x from a join lines using (id) where idx <> customer % 3 and len(line) >= 2""")
 def route_alternatives(spark, d):
-    """Routes that are drawn beside the selected one: those with a line to draw."""
+    """Routes that are drawn beside the selected one: those whose line has two points at least. An order is a route, its items are the points of its line."""
     routes = t.table(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("id"))
-    numbered = routes.withColumn("idx", F.row_number().over(Window.partitionBy("customer").orderBy("id")) - 1)
-    return numbered.where("idx <> customer % 3 and id % 4 >= 2").select("customer", "id")
+    numbered = routes.withColumn("idx", F.row_number().over(Window.partitionBy("customer").orderBy("id")) - 1).where("idx <> customer % 3")
+    points = t.table(spark, d, "lineitem").where("l_orderkey % 3 > 0 or l_linenumber = 1").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("line"))
+    drawn = numbered.join(points, "id").where(F.size("line") >= 2)
+    return drawn.select("customer", "id", F.size("line").cast("long").alias("points"), F.element_at("line", 1)["l_partkey"].alias("first_x"), F.element_at("line", -1)["l_partkey"].alias("last_x"))
 
 
 @query(f"with {STORES}, asked(q, subcategory, floor) as (values (1, 'Brand#11', 2), (2, 'Brand#12', null), (3, 'Brand#13', 0)) select q, id from stores s join asked a on a.subcategory = s.subcategory and (a.floor is null or a.floor = s.floor)")
@@ -167,7 +171,7 @@ def nearest_nodes(spark, d):
 @query(f"""with recursive {REACH}, {STORES} select subcategory, count(*) as stores, arg_min(s.floor, {{'l': r.length, 'id': s.id}}) filter (r.length is not null) as floor from stores s left join reach r using (node) group by subcategory having count(*) > 1""")
 def grouped_facility_floor(spark, d):
     """For each kind with several facilities, the floor of the one that is nearest to walk to; none if none can be reached."""
-    found = t.stores(spark, d).join(F.broadcast(_reach(spark, d)), "node", "left")
+    found = t.stores(spark, d).join(_reach(spark, d), "node", "left")
     nearest = F.min(F.when(F.col("length").isNotNull(), F.struct("length", "id", "floor")))["floor"]
     return found.groupBy("subcategory").agg(F.count("*").alias("stores"), nearest.alias("floor")).where("stores > 1")
 
@@ -209,7 +213,7 @@ def next_turn(spark, d):
     """How far the next told turn is from each vertex of a path, and to which side."""
     path = _path(spark, d).withColumn("done", F.sum(F.coalesce("before", F.lit(0.0))).over(_so_far()))
     strong = F.when(geo.strong_turn(F.round("turn", 6), F.col("before"), F.col("after")), F.struct("done", "turn"))
-    ahead = path.withColumn("strong", strong).withColumn("n", F.min("strong").over(_by().rowsBetween(1, Window.unboundedFollowing))).where("n is not null")
+    ahead = path.withColumn("strong", strong).withColumn("n", F.min("strong").over(_from_end(-1))).where("n is not null")
     return ahead.select("session", "seq", F.round(F.col("n.done") - F.col("done"), 4).alias("metres"), F.when(F.col("n.turn") > 0, "right").otherwise("left").alias("side"))
 
 
