@@ -178,3 +178,22 @@ def test_unmarked_pages_of_the_tables():
     names = re.compile(r"\s(?:class|id|role|aria-\w+|style|hidden)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
     same = sum(html.main_text(p) == html.main_text(names.sub("", tags.sub(r"\1div", p))) for p in pages)
     assert same >= 0.95 * len(pages)
+
+
+def test_scores_past_doubles_and_longs(spark):
+    import random
+
+    pick = random.Random(6)
+    near = [[float(pick.randrange(10**9)) * 10**6 + pick.randrange(10) for _ in range(3)] for _ in range(40)]
+    rows = [(k, v) for k, v in enumerate(near)] + [(100 + k, [float(2**40 + k), float(2**20 + k), 1.0]) for k in range(30)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 1)
+    queries = vectors.where("vec_id in (3, 101, 117)")
+    for more in ({}, {"first": 5, "pivots": 2, "candidate_block": 7}):
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(vectors, queries, 4, **more).collect())
+        want = []
+        for q in (3, 101, 117):
+            own = dict(rows)[q]
+            score = lambda v, own=own: max(-(2**63 - 1), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(own, v, strict=True))))
+            best = sorted((-score(v), i) for i, v in rows if i != q)[:4]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        assert got == want and {r[3] for r in got if r[0] == 3} == {2**63 - 1}

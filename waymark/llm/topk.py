@@ -15,6 +15,7 @@ a bounded set of candidates first gives every query a k-th score to start from.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part; shorter vectors count as filled up with zeros, an empty one too;
+scores are exact at any size and cut to the range of a long;
 repeated ids are separate rows and only a query's own id is left out; fewer than
 k candidates give fewer rows; ties go to the smaller id; an empty table gives no rows.
 """
@@ -47,7 +48,9 @@ def integer_vectors(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~bad)
-    return good.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    # from 2^53 on a double is whole, and a long would not hold all of them
+    whole = lambda x: F.when(F.abs(x * scale) < 2.0**53, F.floor(x * scale).cast("double")).otherwise(x * scale)
+    return good.select("vec_id", F.transform("e", whole).alias("v"))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -72,6 +75,18 @@ def _with_pivots(pivots: np.ndarray, dims: int):
     return run
 
 
+#: The largest score; smaller and larger products are cut to its range.
+_LONG = (1 << 63) - 1
+
+
+def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products as longs, exact: doubles hold them as far as no sum can pass 2^53, else Python's numbers do."""
+    if np.abs(x).max(initial=0.0) * np.abs(q).max(initial=0.0) * max(1, len(q)) < 2.0**53:
+        return (x @ q).astype(np.int64)
+    wide = [int(c) for c in q.tolist()]
+    return np.array([min(_LONG, max(-_LONG, sum(int(a) * b for a, b in zip(row, wide, strict=True)))) for row in x.tolist()], np.int64)
+
+
 def _best(score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     top = np.lexsort((who, -score))[:k]
     return score[top], who[top]
@@ -82,9 +97,9 @@ def _pass(query_ids: np.ndarray, q: np.ndarray, own: np.ndarray, least: np.ndarr
     q2, dims = (q * q).sum(1), q.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = [np.zeros(0)] * len(q)
+        scores = [np.zeros(0, np.int64)] * len(q)
         names = [np.zeros(0, np.int64)] * len(q)
-        floor = least.copy()
+        floor = least - np.where(np.isfinite(least), np.abs(least), 0) * 1e-12  # a score past 2^53 is rounded
         evaluated = np.zeros(len(q), np.int64)
         for batch in (b.slice(a, block) for b in batches for a in range(0, b.num_rows, block)):
             ids, x, to = np.asarray(batch.column(0)), _matrix(batch.column(1), dims), _matrix(batch.column(2), pivots)
@@ -92,10 +107,12 @@ def _pass(query_ids: np.ndarray, q: np.ndarray, own: np.ndarray, least: np.ndarr
             low, high = to.min(0), to.max(0)
             gap = np.maximum(np.maximum(low[None, :] - own, own - high[None, :]), 0).max(1)
             # rounding of the distances must never lower a bound below the true score
-            most = (q2 + x2.max() - np.maximum(gap - 1e-6 * (1 + gap), 0) ** 2) / 2 + 1e-3
+            most = (q2 + x2.max() - np.maximum(gap - 1e-6 * (1 + gap), 0) ** 2) / 2 + 1e-3 + 1e-12 * (q2 + x2.max())
+            most = np.where(most > _LONG, np.inf, most)  # cut scores tie
             for i in np.flatnonzero(most >= floor).tolist():
                 bound = np.abs(to - own[i]).max(1)
-                each = (q2[i] + x2 - np.maximum(bound - 1e-6 * (1 + bound), 0) ** 2) / 2 + 1e-3
+                each = (q2[i] + x2 - np.maximum(bound - 1e-6 * (1 + bound), 0) ** 2) / 2 + 1e-3 + 1e-12 * (q2[i] + x2)
+                each = np.where(each > _LONG, np.inf, each)
                 near = np.flatnonzero((each >= floor[i]) & (ids != query_ids[i]))
                 near = near[np.argsort(-each[near], kind="stable")]
                 for at in range(0, len(near), step):
@@ -103,16 +120,16 @@ def _pass(query_ids: np.ndarray, q: np.ndarray, own: np.ndarray, least: np.ndarr
                         break
                     some = near[at : at + step]
                     evaluated[i] += len(some)
-                    scores[i], names[i] = _best(np.concatenate((scores[i], x[some] @ q[i])), np.concatenate((names[i], ids[some])), k)
+                    scores[i], names[i] = _best(np.concatenate((scores[i], _scores(x[some], q[i]))), np.concatenate((names[i], ids[some])), k)
                     if len(scores[i]) == k:
-                        floor[i] = max(floor[i], scores[i][-1])
+                        floor[i] = max(floor[i], scores[i][-1] - abs(float(scores[i][-1])) * 1e-12)
         n = [len(s) for s in scores]
         first = np.zeros(sum(n), np.int64)
         first[np.cumsum([0, *n[:-1]])[np.array(n) > 0]] = evaluated[np.array(n) > 0]
         some = [(s, w) for s, w in zip(scores, names, strict=True) if len(s)]
         if some:
             score, who = (np.concatenate(c) for c in zip(*some, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(who, pa.int64()), pa.array(score.astype(np.int64)), pa.array(first)], ["query_id", "vec_id", "score", "evaluated"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(who, pa.int64()), pa.array(score, pa.int64()), pa.array(first)], ["query_id", "vec_id", "score", "evaluated"])
 
     return run
 
@@ -150,6 +167,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVO
         ids, q = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64).reshape(len(rows), dims)
         score = q @ x.T
         score[ids[:, None] == known_ids[None, :]] = -np.inf
+        score = np.clip(score, -float(_LONG), float(_LONG), out=score, where=np.isfinite(score))
         least = np.partition(score, -k, 1)[:, -k] if len(known) >= k else np.full(len(q), -np.inf)
         found = laid.select("vec_id", "v", "d").mapInArrow(_pass(ids, q, _distances(q, table), least, k, STEP, candidate_block, len(table)), _BEST)
         found = cut(found) if blocks > 1 else found  # a pass leaves its rows, not its queries
