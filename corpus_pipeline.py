@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.durable import shared_folder
+from waymark.durable import remove, shared_folder
 from waymark.llm import decontaminate, jaccard, packing, secrets, toxicity
 from waymark.llm.common import table
 from waymark.shipping import ship
@@ -56,11 +56,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written to the shared folder of spark.checkpoint.dir."""
-    shared = shared_folder(spark)
+    """All stages over the documents; each result is written to the shared folder of spark.checkpoint.dir.
+
+    A stage's folder goes once the next stage has written its own, so a run leaves
+    its last one; a run that failed leaves one, and the next run has folders of its own.
+    """
+    shared, last = shared_folder(spark), None
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         at = f"{shared}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if last:
+            remove(spark, last)
+        last = at
     return docs
