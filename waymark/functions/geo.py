@@ -35,6 +35,24 @@ def equirectangular_metres(lat1: Column, lng1: Column, lat2: Column, lng2: Colum
     return F.hypot(east, lat2 - lat1) * METRES_PER_DEGREE
 
 
+#: Fixed value: the mean radius of the earth in metres.
+EARTH_M = 6371008.8
+
+
+def great_circle_metres(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Metres on a sphere, which differ from those on an ellipsoid by half a percent at most; round them for whole metres."""
+    half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), F.lit(2))
+    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(half)))
+
+
+def offset_by(lat: Column, lng: Column, bearing: Column, metres: Column) -> Column:
+    """(lat, lng) of the point so many metres away in a heading, on a sphere."""
+    around, ahead, north = metres / EARTH_M, F.radians(bearing), F.radians(lat)
+    to = F.asin(F.sin(north) * F.cos(around) + F.cos(north) * F.sin(around) * F.cos(ahead))
+    east = F.atan2(F.sin(ahead) * F.sin(around) * F.cos(north), F.cos(around) - F.sin(north) * F.sin(to))
+    return F.struct(F.degrees(to).alias("lat"), (lng + F.degrees(east)).alias("lng"))
+
+
 def compass_label(bearing: Column) -> Column:
     names = F.array(*map(F.lit, ("N", "NE", "E", "SE", "S", "SW", "W", "NW")))
     return F.element_at(names, (F.pmod(F.floor((normalised_degrees(bearing) + 22.5) / 45), F.lit(8)) + 1).cast("int"))
