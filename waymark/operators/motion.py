@@ -8,9 +8,8 @@ from waymark.operators.stateful import Kernel
 
 
 def _turn(a: float, b: float) -> float:
-    """The shortest turn from a to b, in (-180, 180]."""
-    d = (b - a) % 360.0
-    return d - 360.0 if d > 180.0 else d
+    """The shortest turn from a to b, in [-180, 180), by the operations of SQL, so that a turn right at a bound is the same there."""
+    return math.fmod(math.fmod(b - a + 180.0, 360.0) + 360.0, 360.0) - 180.0
 
 
 # Time constants of the heading in seconds, and the longest time between samples that counts.
