@@ -30,3 +30,8 @@ def test_headings_two_degrees_apart_are_sent(same):
     hours = [datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=10 * i) for i in range(8)]
     sent = same("emit_throttle", [(at, user, "view", heading) for user, from_ in enumerate((0.01, 0.03, 0.05, 0.07)) for at, heading in zip(hours, (from_, from_ + 2), strict=False)])
     assert all(row[-1] for row in sent)
+
+
+def test_local_days_take_the_nearest_millisecond(same):
+    times = ("2024-01-01 00:00:59.9994", "2024-01-01 00:00:59.9995", "2024-01-01 23:59:59.9999", "2024-02-29 00:59:59.999999", "1969-12-31 23:59:59.9996", "1969-07-20 20:17:40", "1969-12-31 00:00:00")
+    same("local_days", [(at, 0, "view", 0.0) for at in times])

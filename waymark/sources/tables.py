@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 #: Milliseconds since 1970 of a timestamp without zone, whatever the session's zone.
 MILLISECONDS = "datediff(ts, date'1970-01-01') * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + cast(extract(second from ts) * 1000 as bigint)"
 
+#: The same to the nearest millisecond, halves away from 1970.
+NEAREST_MILLISECONDS = "cast(round(datediff(ts, date'1970-01-01') * 86400000BD + hour(ts) * 3600000BD + minute(ts) * 60000BD + extract(second from ts) * 1000) as bigint)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
