@@ -35,3 +35,8 @@ def test_headings_two_degrees_apart_are_sent(same):
 def test_local_days_take_the_nearest_millisecond(same):
     times = ("2024-01-01 00:00:59.9994", "2024-01-01 00:00:59.9995", "2024-01-01 23:59:59.9999", "2024-02-29 00:59:59.999999", "1969-12-31 23:59:59.9996", "1969-07-20 20:17:40", "1969-12-31 00:00:00")
     same("local_days", [(at, 0, "view", 0.0) for at in times])
+
+
+def test_turns_right_at_a_bound_make_checkpoints(same):
+    turns = [(236.02, 256.02), (236.03, 256.03), (405.96, 255.96), (405.97, 255.97), (300.01, 335.01), (300.02, 335.02), (511.9, 546.9)]
+    same("route_checkpoints", [("2024-01-01", user, "view", value) for user, pair in enumerate(turns) for value in pair])

@@ -15,8 +15,8 @@ def normalised_degrees(angle: Column) -> Column:
 
 
 def turn_degrees(from_: Column, to: Column) -> Column:
-    """The shortest turn, in [-180, 180)."""
-    return F.pmod(to - from_ + 180.0, F.lit(360.0)) - 180.0
+    """The shortest turn, in [-180, 180), by the operations of SQL, so that a turn right at a bound is the same there."""
+    return ((to - from_ + 180.0) % 360.0 + 360.0) % 360.0 - 180.0
 
 
 def heading_delta(from_: Column, to: Column) -> Column:
