@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,17 +114,38 @@ def polygon_depth(x: Column, y: Column, ring: Column) -> Column:
 
 
 def smallest_box(ring: Column, step: float = 0.5) -> Column:
-    """(area, angle, width, height) of the smallest box around a ring, by a sweep of angles under 180; the first smallest wins."""
-    rad = lambda a: F.radians(a)
-
-    def box(k: Column) -> Column:
-        a = rad(k * step)
-        along = F.transform(ring, lambda p: p["x"] * F.cos(a) + p["y"] * F.sin(a))
-        across = F.transform(ring, lambda p: p["y"] * F.cos(a) - p["x"] * F.sin(a))
-        w, h = F.array_max(along) - F.array_min(along), F.array_max(across) - F.array_min(across)
-        return F.struct((w * h).alias("area"), (k * step).alias("angle"), w.alias("width"), h.alias("height"))
-
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(round(180 / step) - 1)), box))
+    """(area, angle, width, height) of the smallest box around a ring, by a sweep of angles under 180; the first smallest wins.
+
+    Corners without both coordinates do not count; without any corner only the angle is told.
+    """
+    angles = [k * step for k in range(round(180 / step))]
+    turned = [(math.cos(math.radians(a)), math.sin(math.radians(a))) for a in angles]
+
+    @F.arrow_udf("area double, angle double, width double, height double")
+    def boxes(rings: pa.Array) -> pa.Array:
+        corners = rings.flatten()
+        x, y = (corners.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        lengths = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)
+        told = ~(np.asarray(corners.field("x").is_null()) | np.asarray(corners.field("y").is_null()) | np.asarray(corners.is_null()))
+        row = np.repeat(np.arange(len(rings)), lengths)[told]
+        x, y = x[told], y[told]
+        has, first = np.unique(row, return_index=True)
+        best = np.full((4, len(rings)), np.nan)
+        if len(has):
+            found = best[:, has]
+            for angle, (c, s) in zip(angles, turned, strict=True):
+                sides = [np.maximum.reduceat(v, first) - np.minimum.reduceat(v, first) for v in (x * c + y * s, y * c - x * s)]
+                area = sides[0] * sides[1]
+                less = area < found[0] if angle else np.full(len(has), True)
+                found[:, less] = np.stack([area, np.full(len(has), angle), *sides])[:, less]
+            best[:, has] = found
+        empty = np.full(len(rings), True)
+        empty[has] = False
+        best[1, empty] = 0.0
+        columns = [pa.array(v, mask=None if k == 1 else empty) for k, v in enumerate(best)]
+        return pa.StructArray.from_arrays(columns, ["area", "angle", "width", "height"])
+
+    return boxes(ring)
 
 
 def affine(x: Column, y: Column, m: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
