@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,28 +13,32 @@ VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 TAILS = "ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
 
 
+# Fixed value: what a match key leaves out.
+LEFT_OUT = "[^0-9a-z가-힣ㄱ-ㆎ]"
+
+
 def match_key(name: Column) -> Column:
     """Lower case; digits, Latin letters, Hangul syllables and letters only."""
-    return F.regexp_replace(F.lower(name), "[^0-9a-z가-힣ㄱ-ㆎ]", "")
+    return F.regexp_replace(F.lower(name), LEFT_OUT, "")
 
 
 def collapsed(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"\s+", "")
 
 
-def _syllables(text: Column, of) -> Column:
+def _syllables(text: Column, of, between: str = "") -> Column:
     def one(c: Column) -> Column:
         n = F.ascii(c) - 0xAC00
         return F.when((n >= 0) & (n < 11172), of(n)).otherwise(c)
 
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), between)
 
 
-def jamo(text: Column) -> Column:
+def jamo(text: Column, between: str = "") -> Column:
     """Each syllable as its letters; other characters as they are."""
     at = lambda letters, k: F.substring(F.lit(letters), k + 1, F.lit(1))
     tail = lambda n: F.when(n % 28 == 0, "").otherwise(F.substring(F.lit(TAILS), n % 28, F.lit(1)))
-    return _syllables(text, lambda n: F.concat(at(LEADS, F.floor(n / 588).cast("int")), at(VOWELS, F.floor(n % 588 / 28).cast("int")), tail(n)))
+    return _syllables(text, lambda n: F.concat(at(LEADS, F.floor(n / 588).cast("int")), at(VOWELS, F.floor(n % 588 / 28).cast("int")), tail(n)), between)
 
 
 def initials(text: Column) -> Column:
@@ -46,9 +52,25 @@ def prefix_distance(query: Column, text: Column) -> Column:
 
 
 def syllable_offset(letters: Column, text: Column) -> Column:
-    """Characters of a text before the first one from which its letters begin with the given ones; null if none."""
-    starts = F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.when(jamo(F.substring(text, k, F.length(text))).startswith(letters), k - 1))
-    return F.array_min(starts)
+    """Characters of a text, which has one line, before the first one from which its letters begin with the given ones; null if none."""
+    # a mark before each character's letters; a match begins at one and passes others
+    marked = F.concat(F.lit("\n"), jamo(text, "\n"))
+    pattern = F.regexp_replace(letters, r"([\s\S])", r"\\n?\\Q$1\\E")
+    found = F.regexp_instr(marked, F.regexp_replace(pattern, r"^\\n\?", r"\\n"))
+    before = F.substring(marked, F.lit(1), found - 1)
+    return F.when(found > 0, F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))
+
+
+def may_hold(text: Column, typed: str) -> Column:
+    """False only for match keys without a character that can begin what is typed: a letter, or a syllable that starts with it."""
+    typed = re.sub(LEFT_OUT, "", typed.lower())
+    if not typed:
+        return F.lit(False)
+    first, code = typed[0], ord(typed[0]) - 0xAC00
+    lead = LEADS[code // 588] if 0 <= code < 11172 else first
+    block = 0xAC00 + LEADS.index(lead) * 588 if lead in LEADS else None
+    syllables = f"|[{chr(block)}-{chr(block + 587)}]" if block else ""
+    return text.rlike(f"\\Q{lead}\\E{syllables}")
 
 
 def highlights(name: Column, needle: str) -> Column:

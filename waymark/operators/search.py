@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import text
@@ -30,7 +30,7 @@ def suggest(groups: DataFrame, query: str, limit: int = SUGGESTIONS) -> DataFram
     offset = F.when(consonants, F.when(text.initials(key).startswith(q), 0)).otherwise(text.syllable_offset(letters, key))
     kind = F.when(consonants, INITIALS).when(F.col("rank_in_kind") == 0, PREFIX).otherwise(PARTIAL)
     typed = groups.where(q != "")
-    hits = typed.select("key", "first_id", offset.alias("rank_in_kind")).where("rank_in_kind is not null").withColumn("kind", kind)
+    hits = typed.where(text.may_hold(key, query)).select("key", "first_id", offset.alias("rank_in_kind")).where("rank_in_kind is not null").withColumn("kind", kind)
     some = F.broadcast(hits.limit(1).select(F.lit(True).alias("some")))
     near = typed.where(~consonants & (F.length(q) >= MIN_CORRECTED)).select("key", "first_id", text.prefix_distance(letters, text.jamo(key)).alias("rank_in_kind"))
     near = near.where(F.col("rank_in_kind") <= MAX_DISTANCE).join(some, F.lit(True), "left_anti").withColumn("kind", F.lit(CORRECTION))
@@ -41,8 +41,9 @@ def siblings(suggestions: DataFrame, confirmed: str) -> DataFrame:
     """Suggestions besides the confirmed name; none where it is not among them, corrections never."""
     sure = suggestions.where(F.col("kind") != CORRECTION)
     own = F.col("key") == text.match_key(F.lit(confirmed))
-    found = F.broadcast(sure.where(own).limit(1).select(F.lit(True).alias("found")))
-    return sure.where(~own).join(found, F.lit(True), "left_semi")
+    # suggestions are a few rows, made once
+    held = sure.withColumn("own", own).withColumn("found", F.max("own").over(Window.partitionBy(F.lit(0))))
+    return held.where("found and not own").drop("own", "found")
 
 
 def _floor(label: Column) -> Column:
