@@ -51,10 +51,11 @@ def itinerary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda a, b: F.concat(a.cast("string"), F.lit(","), b.cast("string"))
     shape = F.when(p % 4 > 0, F.concat_ws(" ", pair(p % 90, s % 45), F.lit("broken"), pair(p % 90 + 1, s % 45 + 1)))
     stop = lambda lat, lon: F.struct(F.lit("stop").alias("name"), lat.cast("string").alias("lat"), lon.cast("string").alias("lon"))
+    stations = F.array(*(F.struct(F.lit(str(i)).alias("stationName")) for i in range(1, 7)))
     leg = F.struct(
         "l_linenumber", mode.alias("mode"), q.alias("q"), p.alias("p"), s.alias("s"), (q * 10).cast("string").alias("sectionTime"), (q * 7).cast("string").alias("distance"), F.when(p % 5 > 0, F.concat(F.lit("line:"), s)).otherwise(" ").alias("route"),
         F.when(p % 2 == 0, F.lit("00ff0a")).otherwise("green").alias("routeColor"), stop(s % 30 + 1, p % 60 + 1).alias("start"), stop(s % 30 + 2, p % 60).alias("end"), F.struct(shape.alias("linestring")).alias("passShape"),
-        F.struct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (q % 7).cast("int"))), lambda i: F.struct(i.cast("string").alias("stationName"))).alias("stationList")).alias("passStopList"),
+        F.struct(F.slice(stations, F.lit(1), F.greatest(F.lit(1), (q % 7).cast("int"))).alias("stationList")).alias("passStopList"),
     )
     rows = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(leg)).alias("legs"), F.sum(q * 10).alias("t"))
     return rows.select("id", F.to_json(F.struct(F.col("t").cast("string").alias("totalTime"), F.lit("60").alias("totalWalkTime"), "legs")).alias("doc"))
@@ -67,7 +68,7 @@ select l.id, row_number() over (partition by l.id order by n, mode, q, p, s)::in
 from legs l join kinds k using (id)""")
 def transit_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legs of itineraries: mode, time, length, line, colour, stations, and points from their shape or else their ends."""
-    out = documents.itineraries(itinerary_documents(spark, sf_dir), "id", "doc").select("id", F.col("seconds").alias("total"), "kind", F.posexplode("legs").alias("place", "leg"))
+    out = documents.legs(itinerary_documents(spark, sf_dir), "id", "doc")
     short = F.when(F.col("leg.route").contains(":"), F.element_at(F.split("leg.route", ":"), 2)).otherwise(F.col("leg.route"))
     return out.select(
         "id", (F.col("place") + 1).alias("place"), "total", "kind", "leg.mode", "leg.seconds", "leg.metres", short.alias("short_name"), "leg.colour", "leg.stations",

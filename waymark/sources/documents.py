@@ -66,33 +66,52 @@ def line(value: Column) -> Column:
     return F.filter(read, lambda p: p["lng"].isNotNull() & p["lat"].isNotNull())
 
 
+def _itineraries(documents: DataFrame, id_: str, column: str) -> DataFrame:
+    """id, minutes and walk seconds, kind of JSON itineraries, and their legs as they are written."""
+    i = documents.select(F.col(id_).alias("id"), F.from_json(column, ITINERARY).alias("i")).select("id", "i.*")
+    i = i.withColumn("modes", F.array_sort(F.array_distinct(F.filter(F.transform("legs", lambda x: F.lower(x["mode"])), lambda m: m != "walk"))))
+    modes = F.coalesce("modes", F.array().cast("array<string>"))
+    kind = F.when(modes == F.array(F.lit("bus")), "bus").when(modes == F.array(F.lit("subway")), "subway").when(modes == F.array(F.lit("bus"), F.lit("subway")), "bus+subway").otherwise("all")
+    return i.select("id", F.round(number(F.col("totalTime"))).cast("int").alias("seconds"), F.round(number(F.col("totalWalkTime"))).cast("int").alias("walk_seconds"), kind.alias("kind"), "legs")
+
+
+def _steps(x: Column) -> Column:
+    return F.coalesce(F.flatten(F.transform(x["steps"], lambda s: line(s["linestring"]))), F.array().cast("array<struct<lng: double, lat: double>>"))
+
+
+def _leg(x: Column, drawn: Column) -> Column:
+    """A leg with its line, or its two ends where that has under two points."""
+    ends = F.filter(F.array(*(_point(x[e]["lat"], x[e]["lon"]) for e in ("start", "end"))), lambda p: p.isNotNull())
+    points = F.when(F.size(drawn) >= 2, drawn).otherwise(F.transform(ends, lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))))
+    stops = F.coalesce(F.size(x["passStopList"]["stationList"]), F.lit(0))
+    colour = F.when(x["routeColor"].rlike("^[0-9A-Fa-f]{6}$"), F.concat(F.lit("#"), x["routeColor"]))
+    return F.struct(
+        F.lower(x["mode"]).alias("mode"), F.coalesce(F.round(number(x["sectionTime"])).cast("int"), F.lit(0)).alias("seconds"), F.coalesce(number(x["distance"]), F.lit(0.0)).alias("metres"),
+        text(x["route"]).alias("route"), colour.alias("colour"), F.greatest(F.lit(0), stops - 1).alias("stations"), points.alias("points"),
+    )
+
+
+def legs(documents: DataFrame, id_: str, column: str) -> DataFrame:
+    """id, total, kind, place (from 0), leg of the legs of JSON itineraries, a row each; a line is read once."""
+    x = F.col("x")
+    told = _itineraries(documents, id_, column).select("id", F.col("seconds").alias("total"), "kind", F.posexplode("legs").alias("place", "x"))
+    told = told.withColumn("drawn", line(x["passShape"]["linestring"]))
+    told = told.withColumn("drawn", F.when(F.size("drawn") >= 2, F.col("drawn")).otherwise(_steps(x)))
+    return told.select("id", "total", "kind", "place", _leg(x, F.col("drawn")).alias("leg"))
+
+
 def itineraries(documents: DataFrame, id_: str, column: str) -> DataFrame:
     """id, minutes and walk seconds, kind, legs(mode, seconds, metres, route, colour, stations, points) of JSON itineraries.
 
     A leg's line is its shape, else its steps' lines together, else its two ends.
     Stations are counted between boarding and leaving.  Kinds tell modes besides walking.
     """
-    i = documents.select(F.col(id_).alias("id"), F.from_json(column, ITINERARY).alias("i")).select("id", "i.*")
-
-    def ends(leg: Column) -> Column:
-        each = F.array(*(_point(leg[e]["lat"], leg[e]["lon"]) for e in ("start", "end")))
-        return F.transform(F.filter(each, lambda p: p.isNotNull()), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat")))
 
     def leg(x: Column) -> Column:
         shape = line(x["passShape"]["linestring"])
-        steps = F.coalesce(F.flatten(F.transform(x["steps"], lambda s: line(s["linestring"]))), F.array().cast("array<struct<lng: double, lat: double>>"))
-        points = F.when(F.size(shape) >= 2, shape).when(F.size(steps) >= 2, steps).otherwise(ends(x))
-        stops = F.coalesce(F.size(x["passStopList"]["stationList"]), F.lit(0))
-        colour = F.when(x["routeColor"].rlike("^[0-9A-Fa-f]{6}$"), F.concat(F.lit("#"), x["routeColor"]))
-        return F.struct(
-            F.lower(x["mode"]).alias("mode"), F.coalesce(F.round(number(x["sectionTime"])).cast("int"), F.lit(0)).alias("seconds"), F.coalesce(number(x["distance"]), F.lit(0.0)).alias("metres"),
-            text(x["route"]).alias("route"), colour.alias("colour"), F.greatest(F.lit(0), stops - 1).alias("stations"), points.alias("points"),
-        )
-
-    legs = i.withColumn("legs", F.transform(F.coalesce("legs", F.array().cast(f"array<{LEG}>")), leg))
-    modes = F.array_sort(F.array_distinct(F.filter(F.transform("legs", lambda x: x["mode"]), lambda m: m != "walk")))
-    kind = F.when(modes == F.array(F.lit("bus")), "bus").when(modes == F.array(F.lit("subway")), "subway").when(modes == F.array(F.lit("bus"), F.lit("subway")), "bus+subway").otherwise("all")
-    return legs.select("id", F.round(number(F.col("totalTime"))).cast("int").alias("seconds"), F.round(number(F.col("totalWalkTime"))).cast("int").alias("walk_seconds"), kind.alias("kind"), "legs")
+        return _leg(x, F.when(F.size(shape) >= 2, shape).otherwise(_steps(x)))
+
+    return _itineraries(documents, id_, column).withColumn("legs", F.transform(F.coalesce("legs", F.array().cast(f"array<{LEG}>")), leg))
 
 
 def line_features(tracks: DataFrame, style: str) -> DataFrame:
