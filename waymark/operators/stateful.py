@@ -61,12 +61,13 @@ def _ddl(key: str, order: str, kernel: Kernel, rows: DataFrame) -> str:
     return f"{key} {types[key]}, {order} {types[order]}, {kernel.outputs}"
 
 
-def replay(rows: DataFrame, key: str, order: str, kernel: Kernel, late_ms: int = 0) -> DataFrame:
+def replay(rows: DataFrame, key: str, order: str, kernel: Kernel, late_ms: int = 0, spread: bool = False) -> DataFrame:
     """key, order and the kernel's outputs for every row, and for every timer up to ``late_ms`` before the table's last time.
 
     Spark sorts each key's rows and they pass through a task as a stream, so a
     task holds one state, however many rows a key has.  ``order`` is unique in a
-    key; rows without a key go.
+    key; rows without a key go.  ``spread`` keeps all of spark.sql.shuffle.partitions
+    as tasks, for kernels whose cost a row's bytes do not tell.
     """
     read, made = _names(kernel.inputs), _names(kernel.outputs)
     result = [key, order, *made]
@@ -93,7 +94,8 @@ def replay(rows: DataFrame, key: str, order: str, kernel: Kernel, late_ms: int =
         if out:
             yield _frame(out, result, order)
 
-    sorted_rows = rows.select(key, order, *read).where(f"{key} is not null").repartition(key).sortWithinPartitions(key, order)
+    tasks = [int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if spread else []
+    sorted_rows = rows.select(key, order, *read).where(f"{key} is not null").repartition(*tasks, key).sortWithinPartitions(key, order)
     return sorted_rows.mapInPandas(run, _ddl(key, order, kernel, rows))
 
 

@@ -45,7 +45,7 @@ def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corridor_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corridors.with_network(walks(spark, sf_dir), corridors.networks(floor_edges(spark, sf_dir)), "session", "seq")
-    return stateful.replay(rows, "session", "seq", corridors.CORRIDOR)
+    return stateful.replay(rows, "session", "seq", corridors.CORRIDOR, spread=True)
 
 
 @query
